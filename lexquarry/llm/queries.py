@@ -7,13 +7,34 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexquarry.llm import confusables
+from lexquarry.llm import confusables, encoding, mixing
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of every document by byte_bpe_50k."""
+    return encoding.encode_corpus(_t(spark, sf_dir, "documents")).select("doc_id", "ids")
+
+
+def _mix(spark: SparkSession, sf_dir: str) -> mixing.Mix:
+    sizes = encoding.token_counts(_t(spark, sf_dir, "documents"), ["doc_id", "source"])
+    sizes = sizes.withColumn("members", F.array("source"))
+    return mixing.mix_sources(sizes, _t(spark, sf_dir, "mix_targets"), "doc_id", "members", "size")
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mix, each with its source and the number of times it is used."""
+    return _mix(spark, sf_dir).documents
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached share of every listed source, with its shortfall."""
+    return _mix(spark, sf_dir).shares
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of documents whose texts display alike although their characters differ."""
     pairs = confusables.display_alike(_t(spark, sf_dir, "documents"))
@@ -26,6 +47,9 @@ def p9_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p7_ids": p7_ids,
+    "p8_mix": p8_mix,
+    "p8_shares": p8_shares,
     "p9_found": p9_found,
     "p9_forms": p9_forms,
 }
