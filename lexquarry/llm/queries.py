@@ -7,13 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexquarry.llm import confusables, encoding, mixing
+from lexquarry.llm import confusables, encoding, mixing, splitting
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _oversized_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "chunks").where(~F.coalesce("is_parent", F.lit(False)))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks that are not parents and hold more than 600 words."""
+    return splitting.split_oversized(_oversized_chunks(spark, sf_dir), ["ord"]).where("piece = 1").select("ord")
+
+
+def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Their pieces of at most 600 words, with up to 60 words repeated."""
+    return splitting.split_oversized(_oversized_chunks(spark, sf_dir), ["ord", "chunk_id", "section_no"])
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of every document by byte_bpe_50k."""
     return encoding.encode_corpus(_t(spark, sf_dir, "documents")).select("doc_id", "ids")
@@ -47,6 +61,8 @@ def p9_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p6_found": p6_found,
+    "p6_pieces": p6_pieces,
     "p7_ids": p7_ids,
     "p8_mix": p8_mix,
     "p8_shares": p8_shares,
@@ -54,4 +70,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p9_forms": p9_forms,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p6_found": r"""
+        SELECT ord FROM chunks
+        WHERE is_parent IS DISTINCT FROM true AND len(regexp_extract_all(text, '\S+')) > 600""",
+}
