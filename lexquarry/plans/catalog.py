@@ -6,6 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexquarry.plans import integrity
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+for part in (integrity,):
+    QUERIES |= part.QUERIES
+    SQL |= part.SQL
 FLAGSHIP = "p3_found"
