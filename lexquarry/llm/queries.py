@@ -7,13 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexquarry.llm import confusables, encoding, mixing, splitting
+from lexquarry.llm import canonical, confusables, encoding, mixing, splitting
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue entry of every legislation file name and of every instrument cited, -1 for none."""
+    found = canonical.instruments(_t(spark, sf_dir, "chunks"), _t(spark, sf_dir, "act_catalog"))
+    return found.select("field", "item", F.col("entry").alias("act_id")).distinct()
+
+
+def p2_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values that have no entry, and how often each was entered."""
+    found = canonical.instruments(_t(spark, sf_dir, "chunks"), _t(spark, sf_dir, "act_catalog"))
+    return found.where(F.col("entry") == canonical.NONE).groupBy("field", "value").agg(F.count("*").alias("n"))
+
+
 def _oversized_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "chunks").where(~F.coalesce("is_parent", F.lit(False)))
 
@@ -61,6 +73,8 @@ def p9_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p2_found": p2_found,
+    "p2_unmatched": p2_unmatched,
     "p6_found": p6_found,
     "p6_pieces": p6_pieces,
     "p7_ids": p7_ids,
