@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexquarry.llm import canonical, confusables, encoding, mixing, splitting
+from lexquarry.llm import canonical, confusables, encoding, mixing, ocr, splitting
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,18 @@ def p2_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where(F.col("entry") == canonical.NONE).groupBy("field", "value").agg(F.count("*").alias("n"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of scanned pages that are furniture, broken or misread."""
+    docs = _t(spark, sf_dir, "extracted_docs")
+    return ocr.noisy_lines(docs, ocr.learn(docs)).distinct()
+
+
+def p4_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The continuous readable paragraphs of every document."""
+    docs = _t(spark, sf_dir, "extracted_docs")
+    return ocr.readable(docs, ocr.learn(docs))
+
+
 def _oversized_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "chunks").where(~F.coalesce("is_parent", F.lit(False)))
 
@@ -75,6 +87,8 @@ def p9_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_unmatched": p2_unmatched,
+    "p4_found": p4_found,
+    "p4_paragraphs": p4_paragraphs,
     "p6_found": p6_found,
     "p6_pieces": p6_pieces,
     "p7_ids": p7_ids,
