@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexquarry.llm import canonical, confusables, encoding, mixing, ocr, splitting
+from lexquarry.llm import canonical, confusables, encoding, mixing, neardup, ocr, splitting
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,12 @@ def p4_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ocr.readable(docs, ocr.learn(docs))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of at least 40 words whose sets of three-word runs have a Jaccard similarity of 0.6 or more."""
+    members, pairs = neardup.near_duplicates(_t(spark, sf_dir, "chunks"), "chunk_id")
+    return neardup.linked_ids(members, pairs, "chunk_id").select(F.col("a").alias("chunk_a"), F.col("b").alias("chunk_b"))
+
+
 def _oversized_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "chunks").where(~F.coalesce("is_parent", F.lit(False)))
 
@@ -89,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_unmatched": p2_unmatched,
     "p4_found": p4_found,
     "p4_paragraphs": p4_paragraphs,
+    "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_pieces": p6_pieces,
     "p7_ids": p7_ids,
