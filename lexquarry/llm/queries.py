@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexquarry.llm import canonical, confusables, encoding, mixing, neardup, ocr, splitting
+from lexquarry.llm import canonical, confusables, encoding, mixing, names, neardup, ocr, splitting
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spellings of the same person or organisation."""
+    return names.variant_pairs(names.case_spellings(_t(spark, sf_dir, "extracted_docs"), _t(spark, sf_dir, "chunks")))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The catalogue entry of every legislation file name and of every instrument cited, -1 for none."""
     found = canonical.instruments(_t(spark, sf_dir, "chunks"), _t(spark, sf_dir, "act_catalog"))
@@ -91,6 +96,7 @@ def p9_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_unmatched": p2_unmatched,
     "p4_found": p4_found,
