@@ -38,10 +38,10 @@ TRIE = 5_000
 
 # Given names and what they are shortened to.
 GIVEN = """
-alexander alex sandy; benjamin ben benny; charles charlie chuck; deborah debbie deb; edward ned ed eddie ted; elizabeth liz beth betty eliza;
+alexander alex sandy; benjamin ben benny; charles charlie chuck; deborah debbie deb; edward ned ed eddie; elizabeth liz beth betty eliza;
 frederick fred freddie; gregory greg; harold harry hal; isabella bella izzy; jonathan jon jonny; joseph joe joey; katherine kate kathy katie;
 leonard len lenny leo; margaret maggie meg peggy; michael mike mick; nicholas nick; olivia liv livvy; oswald oz ozzie; patricia pat patty tricia;
-raymond ray; robert bob rob bobby; samantha sam; susanna sue susan susie; theodore theo teddy; thomas tom tommy; victoria vicky tori; vincent vince vin;
+raymond ray; robert bob rob bobby; samantha sam; susanna sue susan susie; theodore ted theo teddy; thomas tom tommy; victoria vicky tori; vincent vince vin;
 william bill will billy; zachary zach zack; david dave; daniel dan; andrew andy; matthew matt; anthony tony; christopher chris; james jim jimmy; john jack
 """
 TITLES = "justice mr mrs ms mst miss dr prof sir mian messrs hon honble the chief judge etc and others another ors anr"

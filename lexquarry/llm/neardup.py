@@ -14,7 +14,6 @@ representatives enter the forest.  No candidate is capped or dropped.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -28,52 +27,62 @@ from lexquarry.storage import cut
 SHINGLE, SIMILAR, LEAST_WORDS = 3, 0.6, 40
 TREES, DEPTH, BITS, LEAST = 12, 5, 12, 3
 DENSE = 200
-#: Differing sketch bits (of 128) beyond which a pair can't be similar: for a similarity of 0.6 the mean is 26 with a deviation of 5.
-APART = 46
+#: Differing sketch bits (of 128) beyond which a pair can't be similar: for a similarity of 0.6 the mean is 26 with a deviation of 5; a chance pair has about 60.
+APART = 42
 #: A list of keys is broadcast up to this many rows (16 MB).
 BROADCAST_ROWS = 1_000_000
 
-_word = re.compile("[a-z0-9]+")
+_plain = bytes(c if chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789" else 32 for c in range(256))
 _rng = np.random.default_rng(20240601)
 _mult = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _mix = _rng.integers(1, 1 << 63, 4, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def words(text: str) -> list[str]:
-    return _word.findall(text.lower())
+def words(text: str) -> list[bytes]:
+    """The maximal runs of ``[a-z0-9]`` in the lower-cased text."""
+    return text.lower().encode("ascii", "replace").translate(_plain).split()
 
 
 class Hasher:
     """Hashes of words, remembered between batches."""
 
     def __init__(self, most: int = 500_000):
-        self.seen: dict[str, int] = {}
+        self.seen: dict[bytes, int] = {}
         self.most = most
 
-    def __call__(self, tokens: list[str]) -> np.ndarray:
+    def __call__(self, tokens: list[bytes]) -> np.ndarray:
         seen = self.seen
         if len(seen) > self.most:
             seen.clear()
         for w in set(tokens).difference(seen):
-            seen[w] = int.from_bytes(blake2b(w.encode(), digest_size=8).digest(), "little")
+            seen[w] = int.from_bytes(blake2b(w, digest_size=8).digest(), "little")
         return np.fromiter(map(seen.__getitem__, tokens), np.uint64, len(tokens))
 
 
 def shingles(h: np.ndarray) -> np.ndarray:
-    """Hashes of all runs of three words of one hashed text."""
+    """Hashes of all runs of three words in a row of hashed words."""
     x = h[:-2] * _mix[0] + (h[1:-1] ^ (h[1:-1] >> np.uint64(31))) * _mix[1] + (h[2:] ^ (h[2:] >> np.uint64(29))) * _mix[2]
     return (x ^ (x >> np.uint64(32))) * _mix[3]
 
 
-def signature(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each set of shingle hashes: a digest of the set, the sketch (two words), the labels."""
-    n = len(rows)
+def signature(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts whose hashed words follow each other in ``h``: a digest of each shingle set, the sketches (two words), the labels."""
+    n = len(sizes)
+    ends = np.cumsum(sizes)
+    x = shingles(h)
+    inside = np.ones(len(x), bool)
+    for k in (1, 2):  # runs that reach into the next text
+        at = ends[:-1] - k
+        inside[at] = False
+    x = x[inside]
+    starts = np.concatenate(([0], np.cumsum(sizes - 2)[:-1]))
     least = np.empty((n, 64), np.uint64)
+    for p, m in enumerate(_mult):
+        least[:, p] = np.minimum.reduceat(x * m, starts)
     sums = np.empty(n, np.uint64)
-    for i, x in enumerate(rows):
-        u = np.unique(x)
+    for i, (a, b) in enumerate(zip(starts.tolist(), [*starts[1:].tolist(), len(x)])):
+        u = np.unique(x[a:b])
         sums[i] = np.sum((u ^ (u >> np.uint64(30))) * _mix[0], dtype=np.uint64) ^ np.uint64(len(u))
-        least[i] = np.min(u[:, None] * _mult[None, :], axis=0) if len(u) < 64 else _minima(u)
     v = (least ^ (least >> np.uint64(29))) * _mix[1]
     v ^= v >> np.uint64(32)
     bits = np.packbits(np.stack([(v >> np.uint64(7)) & np.uint64(1), (v >> np.uint64(19)) & np.uint64(1)], 2).reshape(n, 128).astype(np.uint8), axis=1).view(np.int64)
@@ -86,28 +95,24 @@ def signature(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return sums.view(np.int64), bits, labels.view(np.int64)
 
 
-def _minima(u: np.ndarray) -> np.ndarray:
-    out = np.full(64, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(u), 512):
-        np.minimum(out, np.min(u[at : at + 512, None] * _mult[None, :], axis=0), out=out)
-    return out
+#: Texts that are hashed together, so that their shingles stay in the processor's cache.
+TOGETHER = 100
 
 
 def _sign(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     hasher = Hasher()
     for b in batches:
-        keep, rows = [], []
-        for i, t in enumerate(b.column(1).to_pylist()):
-            w = words(t)
-            if len(w) >= least:
-                keep.append(i)
-                rows.append(shingles(hasher(w)))
-        if not keep:
-            continue
-        sums, bits, labels = signature(rows)
-        flat = pa.array(labels.reshape(-1))
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, TREES, dtype=np.int32)), flat)
-        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array(sums), pa.array(bits[:, 0].copy()), pa.array(bits[:, 1].copy()), lists], ["_id", "_set", "_s0", "_s1", "_labels"])
+        texts = b.column(1).to_pylist()
+        for lo in range(0, len(texts), TOGETHER):
+            split = [words(t) for t in texts[lo : lo + TOGETHER]]
+            keep = [i for i, w in enumerate(split) if len(w) >= least]
+            if not keep:
+                continue
+            sizes = np.fromiter((len(split[i]) for i in keep), np.int64, len(keep))
+            sums, bits, labels = signature(hasher([w for i in keep for w in split[i]]), sizes)
+            flat = pa.array(labels.reshape(-1))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, TREES, dtype=np.int32)), flat)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([lo + i for i in keep], pa.int64())), pa.array(sums), pa.array(bits[:, 0].copy()), pa.array(bits[:, 1].copy()), lists], ["_id", "_set", "_s0", "_s1", "_labels"])
 
 
 def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -120,24 +125,24 @@ def candidates(reps: DataFrame) -> DataFrame:
     rows = reps.select("_set", "_s0", "_s1", F.explode("_labels").alias("_label"))
     parts, left = [], rows
     for depth in range(LEAST, DEPTH + 1):
-        at = left.withColumn("_key", F.shiftright("_label", BITS * (DEPTH - depth)))
+        at = left.withColumn("_key", F.shiftleft(F.shiftrightunsigned("_label", BITS * (DEPTH - depth)), BITS * (DEPTH - depth)) + F.lit(depth))  # the depth keeps regions of different depths apart
         if depth < DEPTH:
             dense = cut(at.groupBy("_key").agg(F.count("*").alias("_n")).where(F.col("_n") > DENSE).select("_key"))
             if dense.isEmpty():
-                parts.append(at.withColumn("_depth", F.lit(depth)))
+                parts.append(at)
                 break
             dense = sized(dense)
-            parts.append(at.join(dense, "_key", "left_anti").withColumn("_depth", F.lit(depth)))
+            parts.append(at.join(dense, "_key", "left_anti"))
             left = at.join(dense, "_key", "left_semi").drop("_key")
         else:
-            parts.append(at.withColumn("_depth", F.lit(depth)))
+            parts.append(at)
     keyed = parts[0]
     for p in parts[1:]:
         keyed = keyed.unionByName(p)
-    keyed = keyed.select("_depth", "_key", "_set", "_s0", "_s1")
-    other = keyed.select(F.col("_depth").alias("_depth2"), F.col("_key").alias("_key2"), F.col("_set").alias("_b"), F.col("_s0").alias("_t0"), F.col("_s1").alias("_t1"))
+    keyed = keyed.select("_key", "_set", "_s0", "_s1")
+    other = keyed.select(F.col("_key").alias("_key2"), F.col("_set").alias("_b"), F.col("_s0").alias("_t0"), F.col("_s1").alias("_t1"))
     apart = F.bit_count(F.col("_s0").bitwiseXOR(F.col("_t0"))) + F.bit_count(F.col("_s1").bitwiseXOR(F.col("_t1")))
-    on = (F.col("_key") == F.col("_key2")) & (F.col("_depth") == F.col("_depth2")) & (F.col("_set") < F.col("_b")) & (apart <= APART)
+    on = (F.col("_key") == F.col("_key2")) & (F.col("_set") < F.col("_b")) & (apart <= APART)
     return keyed.join(other, on).select(F.col("_set").alias("_a"), "_b").distinct()
 
 
