@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexquarry.plans import graphs, integrity, profiles, texts
+from lexquarry.plans import graphs, integrity, profiles, searches, texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-for part in (integrity, texts, profiles, graphs):
+for part in (integrity, texts, profiles, graphs, searches):
     QUERIES |= part.QUERIES
     SQL |= part.SQL
 FLAGSHIP = "p3_found"

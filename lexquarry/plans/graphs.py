@@ -108,10 +108,16 @@ def bounded_bfs(spark, sf_dir):
     return G.expand_sections(edges, seeds, 2, 1000)
 
 
+def _with_belongs(spark, sf_dir) -> DataFrame:
+    """The edges with those that the chunk ids of section nodes stand for."""
+    own = _t(spark, sf_dir, "nodes").where("label = 'Section'").select(F.explode("chunk_ids").alias("from_id"), F.col("id").alias("to_id"))
+    belongs = own.select(F.lit("BELONGS_TO").alias("type"), F.lit("Chunk").alias("from_label"), "from_id", F.lit("Section").alias("to_label"), "to_id")
+    return belongs.unionByName(_t(spark, sf_dir, "edges").select(*belongs.columns))
+
+
 def chunk_sections(spark, sf_dir):
-    edges = _t(spark, sf_dir, "edges")
-    chunks = edges.where("type = 'BELONGS_TO'").select(F.col("from_id").alias("id")).where("id is not null").distinct()
-    return G.sections_of_chunks(edges, chunks, 25)
+    edges = _with_belongs(spark, sf_dir)
+    return G.sections_of_chunks(edges, edges.where("type = 'BELONGS_TO' and from_id is not null").select(F.col("from_id").alias("id")).distinct(), 25)
 
 
 def citing_judgments(spark, sf_dir):
@@ -119,7 +125,7 @@ def citing_judgments(spark, sf_dir):
 
 
 def expanded_evidence(spark, sf_dir):
-    edges = _t(spark, sf_dir, "edges")
+    edges = _with_belongs(spark, sf_dir)
     chunks = edges.where("type = 'BELONGS_TO' and from_id is not null").select(F.col("from_id").alias("id")).distinct().orderBy("id").limit(24)
     return G.expand_evidence(edges, chunks, 1, 1000)
 
@@ -195,11 +201,12 @@ SQL = {
         h1 AS (SELECT DISTINCT b AS id FROM both_ WHERE a IN (SELECT id FROM h0) AND b NOT IN (SELECT id FROM h0)),
         h2 AS (SELECT DISTINCT b AS id FROM both_ WHERE a IN (SELECT id FROM h1) AND b NOT IN (SELECT id FROM h0) AND b NOT IN (SELECT id FROM h1))
         SELECT id, 1 AS hop FROM h1 UNION ALL SELECT id, 2 FROM h2""",
-    "chunk_sections": "SELECT DISTINCT to_id AS section_id, from_id AS via_chunk FROM edges WHERE type = 'BELONGS_TO' AND to_label = 'Section' AND from_id IS NOT NULL ORDER BY to_id NULLS FIRST, from_id LIMIT 25",
+    "chunk_sections": "SELECT DISTINCT id AS section_id, c AS via_chunk FROM (SELECT id, unnest(chunk_ids) AS c FROM nodes WHERE label = 'Section') ORDER BY id, c LIMIT 25",
     "citing_judgments": "SELECT to_id AS section_id, from_id AS judgment_id, (row_number() OVER (PARTITION BY to_id ORDER BY from_id))::INT AS rank FROM (SELECT DISTINCT to_id, from_id FROM edges WHERE type = 'CITES' AND to_id IS NOT NULL AND from_id IS NOT NULL) QUALIFY rank <= 20",
     "expanded_evidence": f"""
-        WITH {_BOTH}, ch AS (SELECT DISTINCT from_id AS id FROM edges WHERE type = 'BELONGS_TO' AND from_id IS NOT NULL ORDER BY id LIMIT 24),
-        s AS (SELECT DISTINCT to_id AS id FROM edges WHERE type = 'BELONGS_TO' AND to_label = 'Section' AND from_id IN (SELECT id FROM ch)),
+        WITH {_BOTH}, bel AS (SELECT unnest(chunk_ids) AS from_id, id AS to_id FROM nodes WHERE label = 'Section'),
+        ch AS (SELECT DISTINCT from_id AS id FROM bel WHERE from_id IS NOT NULL ORDER BY id LIMIT 24),
+        s AS (SELECT DISTINCT to_id AS id FROM bel WHERE from_id IN (SELECT id FROM ch)),
         n AS (SELECT DISTINCT b AS id FROM both_ WHERE a IN (SELECT id FROM s) AND b NOT IN (SELECT id FROM s WHERE id IS NOT NULL)),
         x AS (SELECT id, 'section' AS role FROM s UNION ALL SELECT id, 'neighbour' FROM n),
         cj AS (SELECT DISTINCT to_id, from_id FROM edges WHERE type = 'CITES' AND to_id IS NOT NULL AND from_id IS NOT NULL),
