@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexquarry.plans import chunkings, graphs, integrity, profiles, searches, texts
+from lexquarry.plans import chunkings, flows, graphs, integrity, profiles, searches, texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-for part in (integrity, texts, profiles, chunkings, graphs, searches):
+for part in (integrity, texts, profiles, chunkings, graphs, searches, flows):
     QUERIES |= part.QUERIES
     SQL |= part.SQL
 FLAGSHIP = "p3_found"

@@ -1,0 +1,124 @@
+"""The bounded multi-hop loop: retrieve, rerank, expand, fetch from the graph, finalise.
+
+The driver only steps through the states; pools, evidence and scores are
+DataFrames whose size is bounded by hops and top-k.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from lexquarry.operators import graph as G
+from lexquarry.operators import retrieval as R
+from lexquarry.sources.tables import Settings
+from lexquarry.storage import cut
+
+Planner = Callable[[str, DataFrame, int], dict]
+Scorer = Callable[[Column, Column], Column]
+
+
+class LexicalStore:
+    """Chunks searched by the words they share with the query; a stand-in for any store with this one method."""
+
+    def __init__(self, chunks: DataFrame):
+        first = chunks.where("chunk_id is not null")
+        w = W.partitionBy("chunk_id").orderBy("ord")
+        self.chunks = first.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+    def search(self, query: str, filters: dict | None, top_k: int) -> DataFrame:
+        """``(id, doc, section_no, parent_id, text, score, rank)`` of the best ``top_k``."""
+        rows = self.chunks.where(R.matches(filters or {})).select(F.col("chunk_id").alias("id"), "doc", "section_no", "parent_id", "text")
+        scored = rows.withColumn("score", R.overlap_score(F.lit(query), F.col("text"))).where("score > 0")
+        best = scored.orderBy(F.desc("score"), "id").limit(top_k)
+        return best.withColumn("rank", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("score"), "id")))
+
+
+@dataclass
+class State:
+    question: str
+    query: str
+    filters: dict | None = None
+    hop: int = 0
+    pool: DataFrame | None = None
+    hop_rows: DataFrame | None = None
+    graph_evidence: DataFrame | None = None
+    low: bool = False
+    notes: list[str] = field(default_factory=list)
+
+
+class MultiHop:
+    """One question's run; the hooks are a planner, a scorer and a graph (``edges``)."""
+
+    def __init__(self, store: LexicalStore, settings: Settings = Settings(), scorer: Scorer = R.overlap_score, planner: Planner | None = None, edges: DataFrame | None = None):
+        self.store, self.settings, self.scorer, self.planner, self.edges = store, settings, scorer, planner, edges
+
+    def run(self, question: str, filters: dict | None = None) -> State:
+        s = State(question, question, {k: v for k, v in (filters or {}).items() if v not in (None, "", [])})
+        while True:
+            self.retrieve(s)
+            self.rerank(s)
+            if not s.low or s.hop > self.settings.max_hops:
+                break
+            self.expand(s)
+        if self.edges is not None:
+            self.expand_graph(s)
+        self.finalise(s)
+        return s
+
+    def retrieve(self, s: State) -> None:
+        s.hop += 1
+        found = cut(self.store.search(s.query, s.filters, self.settings.top_k).withColumn("hop", F.lit(s.hop)))
+        s.hop_rows = found
+        s.low = found.isEmpty()
+        self._pool(s, found)
+
+    def _pool(self, s: State, rows: DataFrame) -> None:
+        """Rows whose id is not in the pool yet; the first of an id wins."""
+        cols = ["id", "doc", "section_no", "parent_id", "text", "hop"]
+        new = rows.where("id is not null").dropDuplicates(["id"]).select(*cols)
+        s.pool = cut(new if s.pool is None else s.pool.unionByName(new.join(s.pool.select("id"), "id", "left_anti").select(*cols)))
+
+    def rerank(self, s: State) -> None:
+        scored = s.hop_rows.withColumn("q", F.lit(0)).withColumn("query", F.lit(s.query))
+        s.hop_rows = cut(R.rerank(scored, self.scorer, self.settings.rerank))
+        best = s.hop_rows.agg(F.max("rerank_score")).first()[0]
+        s.low = s.low or best is None or best < self.settings.threshold
+
+    def expand(self, s: State) -> None:
+        """The planner's next query, else parents and their children of the pooled rows."""
+        if self.planner:
+            try:
+                plan = self.planner(s.query, s.hop_rows, s.hop)
+                s.query = plan.get("next_query") or s.question
+                s.filters = {k: v for k, v in (plan.get("filters") or {}).items() if v not in (None, "", [])}
+                s.notes.append(str(plan.get("note", "")))
+                return
+            except Exception as e:  # noqa: BLE001 - a planner's failure falls through to the structure
+                s.notes.append(f"planner failed: {e}")
+        chunks = self.store.chunks
+        parents = s.pool.where("parent_id <> ''").select("parent_id").distinct()
+        up = chunks.join(F.broadcast(parents.select(F.col("parent_id").alias("chunk_id"))), "chunk_id", "left_semi")
+        kids = R.children(chunks, F.broadcast(parents)).select("chunk_id")
+        down = chunks.join(F.broadcast(kids), "chunk_id", "left_semi")
+        rows = up.unionByName(down).select(F.col("chunk_id").alias("id"), "doc", "section_no", "parent_id", "text", F.lit(s.hop).alias("hop"))
+        self._pool(s, rows)
+        s.query, s.filters = s.question, None
+
+    def expand_graph(self, s: State) -> None:
+        ids = s.pool.orderBy("hop", "id").limit(self.settings.seeds).select("id")
+        s.graph_evidence = cut(G.expand_evidence(self.edges, ids, 1, self.settings.max_nodes))
+
+    def finalise(self, s: State) -> None:
+        w = W.partitionBy(F.lit(0)).orderBy("hop", "id")
+        rows = s.pool.withColumn("rank", F.row_number().over(w)).withColumn("q", F.lit(0)).withColumn("query", F.lit(s.question))
+        s.pool = cut(R.rerank(rows, self.scorer, self.settings.final).drop("q", "query", "rank"))
+
+
+def shown_evidence(pool: DataFrame, most: int = 12) -> DataFrame:
+    """Evidence for display: scores of four decimals, texts of 300 characters, the first ``most``."""
+    return pool.where(F.col("place") <= most).select("place", "id", "doc", "section_no", F.bround("rerank_score", 4).alias("score"), F.left("text", F.lit(300)).alias("text"))
