@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexquarry.storage import spread
+
 #: What a value without an entry gets.
 NONE = -1
 #: Most rows of a canonical list: it is collected and sent to every worker.
@@ -255,5 +257,5 @@ def instruments(chunks: DataFrame, catalog: DataFrame) -> DataFrame:
     """Every legislation file name and every instrument cited in a chunk's text, ``(field, item, value, entry)``."""
     law = F.lower("doc_type").isin("statute", "rules", "amendment")
     docs = chunks.where(law & F.col("doc").isNotNull()).select(F.lit("doc").alias("field"), F.col("doc").alias("item"), F.col("doc").alias("said")).distinct()
-    texts = chunks.where(F.col("text").rlike(r"(?i)\bs(?:s?\.|ections?)\s*\d|--\s*s")).select("chunk_id", F.explode(cited(F.col("text"))).alias("c")).select("c.field", F.col("chunk_id").alias("item"), "c.said")
+    texts = spread(chunks.select("chunk_id", "text")).where(F.col("text").rlike(r"(?i)\bs(?:s?\.|ections?)\s*\d|--\s*s")).select("chunk_id", F.explode(cited(F.col("text"))).alias("c")).select("c.field", F.col("chunk_id").alias("item"), "c.said")
     return link_values(docs.unionByName(texts), catalog, "act_id", "act_name")

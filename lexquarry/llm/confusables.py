@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexquarry.storage import cut
+from lexquarry.storage import cut, spread
 
 # Letters of the same look, Latin / Cyrillic / Greek ("." where a script has none).
 LOOKALIKES = """
@@ -150,7 +150,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _split(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, str]:
-    rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
+    rows = spread(df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")))
     plain = F.col("text").rlike(PLAIN)
     return rows.where(plain | F.col("text").isNull()), rows.where(~plain), dict(rows.dtypes)["_id"]
 

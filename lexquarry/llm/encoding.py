@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexquarry.llm.lexicon import Lexicon, compile_lexicon
-from lexquarry.storage import ship
+from lexquarry.storage import ship, spread
 
 #: Where the vocabulary files are; a worker uses the installed package if the folder isn't there.
 TOKENIZERS = "/opt/tokenizers"
@@ -77,7 +77,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def frequent_pieces(df: DataFrame, text_col: str = "text", words: int = LEXICON_WORDS) -> list[str]:
     """The most frequent pieces of all texts, each without its leading space; ties by code point."""
-    counted = df.select(text_col).mapInArrow(_count, "piece string, n bigint").groupBy("piece").agg(F.sum("n").alias("n"))
+    counted = spread(df.select(text_col)).mapInArrow(_count, "piece string, n bigint").groupBy("piece").agg(F.sum("n").alias("n"))
     return [r.piece for r in counted.where("n > 1").orderBy(F.desc("n"), "piece").limit(words).collect()]
 
 
@@ -126,7 +126,7 @@ def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), lists], ["_id", "ids"])
 
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col))
-    return rows.mapInArrow(run, f"_id {dict(rows.dtypes)['_id']}, ids array<int>").withColumnRenamed("_id", id_col)
+    return spread(rows).mapInArrow(run, f"_id {dict(rows.dtypes)['_id']}, ids array<int>").withColumnRenamed("_id", id_col)
 
 
 def _spans(starts: np.ndarray, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
@@ -150,4 +150,4 @@ def token_counts(df: DataFrame, keep: list[str], text_col: str = "text", name: s
 
     rows = df.select(*(F.col(c) for c in keep), F.col(text_col).alias("_text"))
     types = dict(rows.dtypes)
-    return rows.mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in keep) + ", size bigint")
+    return spread(rows).mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in keep) + ", size bigint")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexquarry.storage import cut
+from lexquarry.storage import cut, spread
 
 SHINGLE, SIMILAR, LEAST_WORDS = 3, 0.6, 40
 TREES, DEPTH, BITS, LEAST = 12, 5, 12, 3
@@ -174,7 +174,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str = "text", least_wo
     """
     texts = df.where(F.col(id_col).isNotNull() & (F.length(text_col) >= 2 * least_words - 1)).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     kind = dict(texts.dtypes)["_id"]
-    signed = cut(texts.mapInArrow(lambda it: _sign(it, least_words), f"_id {kind}, _set bigint, _s0 bigint, _s1 bigint, _labels array<bigint>"))
+    signed = cut(spread(texts).mapInArrow(lambda it: _sign(it, least_words), f"_id {kind}, _set bigint, _s0 bigint, _s1 bigint, _labels array<bigint>"))
     reps = signed.groupBy("_set").agg(F.min("_id").alias("class"), F.first("_s0").alias("_s0"), F.first("_s1").alias("_s1"), F.first("_labels").alias("_labels"))
     found = cut(candidates(reps))
     wanted = cut(found.select(F.col("_a").alias("_set")).union(found.select("_b")).distinct())

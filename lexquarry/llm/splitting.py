@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexquarry.storage import spread
+
 _word = re.compile(r"\S+")
 _end = re.compile(r"""[.!?。！？][)\]"'’”»]*$""")
 # Abbreviations after which a full stop ends no sentence.
@@ -101,4 +103,4 @@ def split_oversized(df: DataFrame, keep: list[str], text_col: str = "text", most
 
     rows = df.where(F.length(text_col) > 2 * most).select(*(F.col(c) for c in keep), F.col(text_col).alias("_text"))
     types = dict(rows.dtypes)
-    return rows.mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in keep) + ", piece int, piece_text string, words int, repeated int")
+    return spread(rows).mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in keep) + ", piece int, piece_text string, words int, repeated int")
