@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from lexquarry.functions import text as X
+from lexquarry.storage import spread
 
 PREFETCH, TOP_K, RRF_K = 50, 20, 60
 #: Queries that are scored in one pass over the vectors, at most; more are scored block by block.
@@ -118,7 +119,7 @@ def index_topk(rows: DataFrame, queries: DataFrame, k: int, centroids: np.ndarra
 def terms(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Sparse vectors ``(id, term, weight)``: lower-cased words of letters and digits with their counts."""
     w = F.filter(F.split(F.lower(text_col), "[^a-z0-9]+"), lambda x: x != "")
-    return df.select(F.col(id_col).alias("id"), F.explode(w).alias("term")).groupBy("id", "term").agg(F.count("*").cast("double").alias("weight"))
+    return spread(df.select(id_col, text_col)).select(F.col(id_col).alias("id"), F.explode(w).alias("term")).groupBy("id", "term").agg(F.count("*").cast("double").alias("weight"))
 
 
 def sparse_topk(postings: DataFrame, query_terms: DataFrame, k: int) -> DataFrame:

@@ -53,3 +53,13 @@ def ship(spark: SparkSession, payload: bytes, kind: str) -> str:
             out.close()
     context.addFile(path.toString())
     return name
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` of a scan over at least as many tasks as there are cores.
+
+    Input in fewer splits than cores (a small file of one row group) is dealt out by
+    one shuffle; larger input, which has more splits than that, is left as it is.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
