@@ -147,6 +147,8 @@ class Canon:
     def automaton(self, v: Value) -> set[int]:
         """Entries whose alias is found in the value; the longest matches win."""
         hits: set[int] = set()
+        if not len(self.auto):
+            return hits
         for plain in v.plain():
             found, longest = set(), 0
             for _, (size, ids) in self.auto.iter_long(plain):
