@@ -43,37 +43,37 @@ def orphan_references(refs: DataFrame, targets: DataFrame, keys: list[str], matc
     if match not in MATCHES:
         raise ValueError(f"match must be one of {MATCHES}")
     timed = at is not None
-    own = [f"_k{i}" for i in range(len(keys))] + (["_at"] if timed else [])
+    own = [f"__lq_k{i}" for i in range(len(keys))] + (["__lq_at"] if timed else [])
     far = F.lit((1 << 63) - 1)
-    keyed = refs.select("*", *(F.col(k).alias(o) for k, o in zip(keys, own)), *([F.coalesce(F.unix_micros(at), far).alias("_at")] if timed else []))
+    keyed = refs.select("*", *(F.col(k).alias(o) for k, o in zip(keys, own)), *([F.coalesce(F.unix_micros(at), far).alias("__lq_at")] if timed else []))
     nulls = [F.col(o).isNull() for o in own[: len(keys)]]
     every, some = reduce(Column.__and__, nulls), reduce(Column.__or__, nulls)
     keyed = keyed.where({"simple": ~some, "partial": ~every, "full": ~every}[match])
     # one row per key and instant; nulls made comparable by a mask
     mask = reduce(Column.__add__, [F.when(n, F.lit(1 << i)).otherwise(F.lit(0)) for i, n in enumerate(nulls)])
-    asked = keyed.withColumn("_mask", mask).groupBy("_mask", *own).agg(F.count("*").alias("_n"))
-    lives = [F.col(k).alias(f"_t{i}") for i, k in enumerate(keys)]
+    asked = keyed.withColumn("__lq_mask", mask).groupBy("__lq_mask", *own).agg(F.count("*").alias("__lq_n"))
+    lives = [F.col(k).alias(f"__lq_t{i}") for i, k in enumerate(keys)]
     if timed:
-        lives += [F.unix_micros(start).alias("_start"), F.coalesce(F.unix_micros(end), far).alias("_end")]
+        lives += [F.unix_micros(start).alias("__lq_start"), F.coalesce(F.unix_micros(end), far).alias("__lq_end")]
     there = targets.select(*lives).distinct()
     lost = []
     for empty in product((False, True), repeat=len(keys)):
         code = sum(1 << i for i, e in enumerate(empty) if e)
         if all(empty) or any(empty) and match == "simple":
             continue
-        part = asked.where(F.col("_mask") == code)
+        part = asked.where(F.col("__lq_mask") == code)
         if not (any(empty) and match == "full"):
-            on = [F.col(f"_k{i}") == F.col(f"_t{i}") for i, e in enumerate(empty) if not e]
+            on = [F.col(f"__lq_k{i}") == F.col(f"__lq_t{i}") for i, e in enumerate(empty) if not e]
             if timed:
-                on += [F.col("_start") < F.col("_at"), F.col("_end") >= F.col("_at")]
+                on += [F.col("__lq_start") < F.col("__lq_at"), F.col("__lq_end") >= F.col("__lq_at")]
             part = part.join(there, reduce(Column.__and__, on), "left_anti")
         lost.append(part)
     orphans = cut(reduce(DataFrame.unionByName, lost))
     code = lambda o: F.coalesce(F.col(o).cast("string"), F.lit("\0"))
     if match == "simple":
-        return join_counted(keyed, orphans.drop("_mask"), own).select(*refs.columns)
+        return join_counted(keyed, orphans.drop("__lq_mask"), own).select(*refs.columns)
     same = [o + "s" for o in own]
-    orphans = orphans.select(*(code(o).alias(s) for o, s in zip(own, same)), "_n")
+    orphans = orphans.select(*(code(o).alias(s) for o, s in zip(own, same)), "__lq_n")
     return join_counted(keyed.select("*", *(code(o).alias(s) for o, s in zip(own, same))), orphans, same).select(*refs.columns)
 
 

@@ -22,12 +22,12 @@ BROADCAST_ROWS = 200_000
 
 
 def matches(filters: dict[str, object]) -> Column:
-    """Equality for scalars, membership for lists; null, empty text and empty lists are ignored; nothing left is no filter."""
+    """Equality for scalars, membership for lists (compared as text, so flags and numbers match too); null, empty text and empty lists are ignored; nothing left is no filter."""
     parts = []
     for k, v in filters.items():
         if isinstance(v, list | tuple | set | frozenset):
             if v:
-                parts.append(F.col(k).cast("string").isin(sorted(str(x) for x in v)))
+                parts.append(F.col(k).cast("string").isin(sorted(str(x).lower() if isinstance(x, bool) else str(x) for x in v)))
         elif v is not None and v != "":
             parts.append(F.col(k) == F.lit(v))
     return reduce(Column.__and__, parts) if parts else F.lit(True)

@@ -11,7 +11,7 @@ HOT_SHARE = 1 / 500
 HOT_ROWS = 20_000
 
 
-def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], n_col: str = "_n") -> DataFrame:
+def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], n_col: str = "__lq_n") -> DataFrame:
     """Inner join of ``rows`` with ``counted``, which has one row per key and in ``n_col`` how many ``rows`` have it.
 
     The hot keys, at most ``1 / HOT_SHARE`` by their definition, are broadcast, so

@@ -73,10 +73,12 @@ def json_rejects(spark: SparkSession, path: str) -> DataFrame:
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    first = raw.withColumn("v", F.try_parse_json("value")).withColumn("w", F.try_parse_json(F.concat(F.lit("["), "value")))
+    text = F.regexp_replace("value", r"^\s+|\s+$", "")
+    headless = text.endswith("]") & ~text.startswith("[")  # the parser would take the first value and drop the rest
+    v = F.try_parse_json(F.when(headless, F.concat(F.lit("["), "value")).otherwise(F.col("value")))
     kind = F.schema_of_variant("v")
-    shape = F.when(kind.startswith("ARRAY"), "list").when(kind.startswith("OBJECT"), "dict").when(F.col("v").isNull() & F.schema_of_variant("w").startswith("ARRAY"), "repaired").otherwise("invalid")
-    return first.withColumn("shape", shape).withColumn("v", F.coalesce("v", "w"))
+    shape = F.when(kind.startswith("ARRAY"), F.when(headless, "repaired").otherwise("list")).when(kind.startswith("OBJECT"), "dict").otherwise("invalid")
+    return raw.withColumn("v", v).withColumn("shape", shape)
 
 
 def _items(spark: SparkSession, path: str) -> DataFrame:
