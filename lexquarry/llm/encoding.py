@@ -30,7 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexquarry.llm.lexicon import Lexicon, compile_lexicon
-from lexquarry.storage import ship, spread
+from lexquarry.skew import most_frequent
+from lexquarry.storage import cut, ship, spread
 
 #: Where the vocabulary files are; a worker uses the installed package if the folder isn't there.
 TOKENIZERS = "/opt/tokenizers"
@@ -76,9 +77,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def frequent_pieces(df: DataFrame, text_col: str = "text", words: int = LEXICON_WORDS) -> list[str]:
-    """The most frequent pieces of all texts, each without its leading space; ties by code point."""
+    """The most frequent pieces of all texts that occur twice or more, each without its leading space."""
     counted = spread(df.select(text_col)).mapInArrow(_count, "piece string, n bigint").groupBy("piece").agg(F.sum("n").alias("n"))
-    return [r.piece for r in counted.where("n > 1").orderBy(F.desc("n"), "piece").limit(words).collect()]
+    return sorted(r.piece for r in most_frequent(cut(counted.where("n > 1")), words))
 
 
 def build_lexicon(df: DataFrame, text_col: str = "text", name: str = "byte_bpe_50k", folder: str = TOKENIZERS, words: int = LEXICON_WORDS) -> str:

@@ -69,3 +69,4 @@ def test_frequent_pieces_count_all_rows(spark):
     df = spark.createDataFrame([("x a b",), ("y a",), (None,), ("z a b",)], "text string")
     assert E.frequent_pieces(df) == ["a", "b"]
     assert E.frequent_pieces(df, words=1) == ["a"]
+    assert E.frequent_pieces(df, words=0) == []
