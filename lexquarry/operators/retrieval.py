@@ -80,8 +80,10 @@ def dense_topk(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_i
 
 
 def fit_lists(rows: DataFrame, lists: int, sample_rows: int = 20_000, vec_col: str = "embedding", seed: int = 3) -> np.ndarray:
-    """Centroids of an inverted-list index, fitted by k-means on at most ``sample_rows`` rows in seeded order."""
-    got = rows.where(F.col(vec_col).isNotNull()).select(vec_col).orderBy(F.xxhash64(F.lit(seed), vec_col)).limit(sample_rows).collect()
+    """Centroids of an inverted-list index, fitted by k-means on about ``sample_rows`` rows (twice as many at most), chosen by a seeded hash."""
+    some = rows.where(F.col(vec_col).isNotNull()).select(vec_col)
+    n = max(1, some.count())
+    got = some.where(F.pmod(F.xxhash64(F.lit(seed), vec_col), F.lit(n)) < sample_rows).limit(2 * sample_rows).collect()
     x = np.array([r[0] for r in got], np.float64)
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), min(lists, len(x)), replace=False)]
