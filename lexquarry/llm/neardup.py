@@ -176,6 +176,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str = "text", least_wo
     kind = dict(texts.dtypes)["_id"]
     signed = cut(spread(texts).mapInArrow(lambda it: _sign(it, least_words), f"_id {kind}, _set bigint, _s0 bigint, _s1 bigint, _labels array<bigint>"))
     reps = signed.groupBy("_set").agg(F.min("_id").alias("class"), F.first("_s0").alias("_s0"), F.first("_s1").alias("_s1"), F.first("_labels").alias("_labels"))
+    reps = cut(reps)
     found = cut(candidates(reps))
     wanted = cut(found.select(F.col("_a").alias("_set")).union(found.select("_b")).distinct())
     names = cut(signed.select("_set", "_id").join(sized(wanted), "_set", "left_semi").groupBy("_set").agg(F.min("_id").alias("_id")))
