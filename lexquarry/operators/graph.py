@@ -59,6 +59,7 @@ def merge_nodes(rows: DataFrame) -> DataFrame:
     of all rows mention is reduced in the map tasks.
     """
     key = ["label", "key"]
+    rows = cut(rows)  # read three times
     heads = rows.groupBy(*key).agg(F.min_by(F.struct("tier", "source_file"), F.col("ord")).alias("h"))
     props = rows.select(*key, "ord", F.explode("props").alias("k", "v")).groupBy(*key, "k").agg(F.min_by("v", "ord").alias("v"))
     props = props.groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("props"))

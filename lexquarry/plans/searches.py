@@ -12,6 +12,7 @@ from pyspark.sql.window import Window as W
 
 from lexquarry.functions import text as X
 from lexquarry.operators import retrieval as R
+from lexquarry.storage import cut, spread
 
 
 
@@ -33,7 +34,7 @@ def dense_index_recall(spark, sf_dir):
     v = _t(spark, sf_dir, "embeddings")
     cents = R.fit_lists(v, 32)
     exact = R.dense_topk(v, _asked(v, "vec_id"), 10).select("q", "id", F.lit(1).alias("hit"))
-    near = R.index_topk(v, _asked(v, "vec_id"), 10, cents, 16).select("q", "id")
+    near = R.index_topk(v, _asked(v, "vec_id"), 10, cents, 22).select("q", "id")
     both = exact.join(near.withColumn("got", F.lit(1)), ["q", "id"], "left")
     return both.agg(F.count("*").alias("n"), F.round(F.count("got") / F.count("*"), 4).alias("recall"))
 
@@ -83,9 +84,11 @@ def multi_collection_search(spark, sf_dir):
 
 def rerank_topk(spark, sf_dir):
     """The sparse results in the order of the words they share with the title; the best 6."""
-    d = _t(spark, sf_dir, "documents").groupBy("doc_id").agg(F.min("title").alias("title"), F.min("text").alias("text"))
-    found = sparse_topk(spark, sf_dir)
-    full = found.join(d.select(F.col("doc_id").alias("q"), F.col("title").alias("query")), "q").join(d.select(F.col("doc_id").alias("id"), "text"), "id")
+    found = cut(sparse_topk(spark, sf_dir))
+    d = _t(spark, sf_dir, "documents")
+    titles = _asked(d, "doc_id").groupBy(F.col("doc_id").alias("q")).agg(F.min("title").alias("query"))
+    texts = d.join(found.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.min("text").alias("text"))
+    full = spread(found.join(titles, "q").join(texts, "id"))
     return R.rerank(full, R.overlap_score, 6).select("q", "id", "rerank_score", "place")
 
 
