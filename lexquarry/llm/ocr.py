@@ -52,6 +52,7 @@ u n, n u, h b, b h, o c, c o, vv w, w vv, li h, h li, ri n, nn m, 9 g, g 9, q g,
 _confused = [tuple(x.split()) for x in CONFUSED.split(",")]
 _outer = ".,;:()[]{}\"'“”‘’?—–"
 MARKS = "-‐­¬"
+_digit = re.compile(r"\d")
 _cut = re.compile(rf"^(.*?)([{MARKS}])\s*$", re.S)
 _number = re.compile(r"(?i)^([\s\-–—\[\](){}|.]*(?:p\s*[ao]\s*g\s*[ec]|pg?\.?)?\s*)([0-9lioszb]{1,5}|[0-9](?: [0-9]){1,4}|[ivxlcdm]+)(\s*(?:of|/)\s*[0-9lioszb]+)?([\s\-–—\[\](){}|]*)$")
 _edge_numbers = re.compile(r"(?i)^[\s\[({|–—-]*(?:\d{1,5}|[ivxlc]{1,8})[\s\])}|–—-]{2,}(?=\S)|[\s\[({|–—-]{2,}(?:\d{1,5}|[ivxlc]{1,8})[\s\])}|–—-]*$")
@@ -136,7 +137,12 @@ class Reader:
         self.tokens: dict[str, str] = {}
 
     def true_word(self, word: str) -> str | None:
-        """The word that ``word`` misreads, None if it is right or nothing is known."""
+        """The word that ``word`` misreads, None if it is right or nothing is known.
+
+        Only the ratio of the two counts decides, as misread forms grow with the corpus
+        like true ones.  A form found may itself misread a still more frequent word; one
+        with a digit is a code (``p-6/71``), never what a word was meant to be.
+        """
         if word not in self.right:
             if len(self.right) > 500_000:
                 self.right.clear()
@@ -148,12 +154,12 @@ class Reader:
         best, most = None, max(KNOWN, (OFTENER if len(word) > 3 else OFTENER_SHORT) * max(1, n)) - 1
         once = list(self._undone(word))
         for w in once:
-            if self.n.get(w, 0) > most:
+            if self.n.get(w, 0) > most and not _digit.search(w):
                 best, most = w, self.n[w]
         if best is None and 4 < len(word) < 30:
             for x in once:
                 for w in self._undone(x):
-                    if w != word and self.n.get(w, 0) > max(most, 50):
+                    if w != word and self.n.get(w, 0) > max(most, 50) and not _digit.search(w):
                         best, most = w, self.n[w]
         return best
 
@@ -185,7 +191,7 @@ class Reader:
             if len(self.tokens) > 500_000:
                 self.tokens.clear()
             start, w = _core(t)
-            fix = self.true_word(w) if len(w) > 1 and self.n.get(w, 0) < 1000 and any(ch.isalpha() for ch in w) else None
+            fix = self.true_word(w) if len(w) > 1 and any(ch.isalpha() for ch in w) else None
             self.tokens[t] = t if fix is None else t[:start] + _as(fix, t[start:]) + t[start + len(w) :]
         return self.tokens[t]
 
@@ -325,7 +331,7 @@ def read(pages: list[str | None], title: str | None, reader: Reader) -> list[Lin
         rest = right[1] if len(right) > 1 else ""
         if _broken(a, m.group(2), b, reader):
             x.kinds.add("broken")
-            if fix := reader.true_word(a + b) if reader.n.get(a + b, 0) < KNOWN else None:
+            if fix := reader.true_word(a + b):
                 same = 0
                 while same < min(len(fix), len(a)) and fix[same] == a[same]:
                     same += 1

@@ -40,6 +40,17 @@ def test_misread_words():
     assert kinds(["gokusund 1l 5 C-2/15 12"]) == {}
 
 
+def test_misread_words_of_a_large_corpus():
+    reader = ocr.Reader({"shall": 1_841_300, "register": 90_000, "5hall": 3_100, "sha1l": 2_600, "rcgister": 2_200, "hall": 400_000}, {})
+    page = "it 5hall keep the rcgister\nin the hall 5ha1l regi-\nstcr it"
+    lines = ocr.read([page], None, reader)
+    assert [(x.no, sorted(x.kinds)) for x in lines] == [(1, ["misread"]), (2, ["broken", "misread"]), (3, ["misread"])]
+    assert [x.fixed for x in lines] == ["it shall keep the register", "in the hall shall register", "it"]
+    reader = ocr.Reader({"register": 90_000, "regi": 1, "registcr": 2_200}, {})
+    assert [sorted(x.kinds) for x in ocr.read(["it was to regi-\nstcr the notary"], None, reader)] == [["broken"], ["misread"]]
+    assert ocr.Reader({"p-6/71": 900}, {}).true_word("p-8/71") is None
+
+
 def test_repaired_paragraphs():
     pages = ["SUPREME COURT OF VELMORA\n    The court shall regi-\nster the licence niimber\nof the notary.\n\nThe notary was held in cus-", "safe\n7"]
     lines = ocr.read(["SUPREME COURT OF VELMORA\nThe court shall regi-\nster the niimber of the\ncross-\nexamination.\n\nThe notary was in cus-", "SUPREME COURT OF VELMORA\ntody of the court."], None, READER)
