@@ -6,7 +6,8 @@ With the counted vocabulary each document is then read by itself:
 * *furniture*: lines are peeled off the top and bottom of each page as long as they
   are page numbers that fit the document's sequence, or headers: lines that repeat,
   up to a few misread characters, at the edges of other pages of the document, that
-  carry its title, or that many documents have at their edges;
+  carry its title, or that many documents have at their edges, and far oftener there
+  than inside pages;
 * *broken*: the last word of a line of running text is cut if, joined with the first
   word of the next such line (perhaps on the next page), it is a word of the corpus.
   A compound that is divided at its own hyphen is kept;
@@ -25,6 +26,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark import SparkFiles
@@ -39,8 +41,8 @@ from lexquarry.storage import cut, ship, spread
 MOST_WORDS, MOST_LINES = 200_000, 50_000
 #: How often a corpus word must occur, and how much oftener than its misread form (a word of up to three letters).
 KNOWN, OFTENER, OFTENER_SHORT = 5, 10, 40
-#: Documents that must share an edge line for it to be furniture anywhere.
-SHARED = 4
+#: Documents that must share an edge line, at least, for it to be furniture anywhere, and how many lines may be taken for such by chance in a whole corpus.
+SHARED, BY_CHANCE = 4, 1.0
 #: Lines peeled off one edge of a page at most, and the longest header.
 EDGE, HEADER = 3, 100
 
@@ -82,7 +84,7 @@ def words_of(line: str) -> list[str]:
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tokens: Counter[str] = Counter()
-    edges: Counter[str] = Counter()
+    places: Counter[str] = Counter()
 
     def out() -> pa.RecordBatch:
         words: Counter[str] = Counter()
@@ -90,36 +92,78 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if w := t.strip(_outer):
                 words[w.lower()] += n
         return pa.RecordBatch.from_arrays(
-            [pa.array(["word"] * len(words) + ["edge"] * len(edges)), pa.array([*words, *edges], pa.string()), pa.array([*words.values(), *edges.values()], pa.int64())], ["kind", "what", "n"]
+            [pa.array(["word"] * len(words) + ["place"] * len(places)), pa.array([*words, *places], pa.string()), pa.array([*words.values(), *places.values()], pa.int64())], ["kind", "what", "n"]
         )
 
     for b in batches:
         for pages in b.column(0).to_pylist():
-            seen = set()
             for page in pages or ():
                 lines = [x for x in (page or "").split("\n") if x.strip()]
                 for x in lines:
                     tokens.update(x.split()[1:-1])
-                for x in (*lines[:EDGE], *lines[-EDGE:]):
-                    if _heads(x) and len(k := header_key(x)) > 5:
-                        seen.add(k)
-            edges.update(seen)
-        if len(tokens) + len(edges) > 400_000:
+                places["all"] += len(lines)
+                places["edge"] += min(len(lines), 2 * EDGE)
+        if len(tokens) > 400_000:
             yield out()
             tokens.clear()
-            edges.clear()
+            places.clear()
     yield out()
 
 
-def learn(docs: DataFrame) -> str:
-    """Count words and edge lines over all documents and ship what is frequent; the shipped file's name.
+def _hash(*parts: str | None) -> int:
+    return int.from_bytes(blake2b(repr(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), signed=True)
 
-    Each row counts once for an edge line, however often it repeats there.
+
+def _headings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every line that could be a header, with its document's name and content and whether it stands at an edge or inside."""
+    for b in batches:
+        rows: list[tuple[str, int, int, bool]] = []
+        for name, pages in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            body = _hash(*pages)
+            doc = body if name is None else _hash(name)
+            seen = set()
+            for page in pages:
+                lines = [x for x in (page or "").split("\n") if x.strip()]
+                for i, x in enumerate(lines):
+                    if _heads(x) and len(k := header_key(x)) > 5:
+                        seen.add((k, i < EDGE or i >= len(lines) - EDGE))
+            rows += [(k, doc, body, edge) for k, edge in seen]
+        cols = list(zip(*rows)) or [(), (), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.bool_())], ["what", "doc", "body", "edge"])
+
+
+def edge_lines(docs: DataFrame, share: float) -> DataFrame:
+    """``(what, n)``: the lines that many documents have at their edges, and in how many.
+
+    Rows of one name are one document, and so are names of one content.  A line is
+    kept if ``SHARED`` documents at least have it at an edge, and if running text, of
+    which the share ``share`` stands at edges, would hardly be there so often: the
+    chance (by Chernoff's bound) times the lines that occur just as often is under
+    ``BY_CHANCE``, less by a square for more frequent ones so that the sum stays under
+    1.7 times that.  So the count asked for follows the corpus, and lines that stand
+    inside pages as often as running text does are not kept.
     """
+    name = F.col("name").cast("string") if "name" in docs.columns else F.lit(None).cast("string")
+    rows = spread(docs.select(name.alias("name"), "pages").where("pages is not null")).mapInArrow(_headings, "what string, doc bigint, body bigint, edge boolean")
+    named = rows.groupBy("what", "doc").agg(F.max("edge").alias("e"), F.max(~F.col("edge")).alias("i"), F.min("body").alias("body"))
+    once = named.groupBy("what", "body").agg(F.max("e").alias("e"), F.max("i").alias("i"))
+    counted = once.groupBy("what").agg(F.count_if("e").alias("n"), (F.count_if("e") + F.count_if("i")).alias("places"))
+    often = cut(counted.where(F.col("places") >= SHARED).withColumn("about", F.least("places", F.lit(100))))
+    often = often.join(F.broadcast(often.groupBy("about").agg(F.count("*").alias("lines"))), "about")
+    a, p = F.col("n") / F.col("places"), min(max(share, 1e-9), 1 - 1e-9)
+    inside = F.when(a < 1, (1 - a) * F.log((1 - a) / (1 - p))).otherwise(0.0)
+    far = (a > p) & (F.col("places") * (a * F.log(a / p) + inside) > F.log(F.col("lines") * F.pow(F.col("about") - SHARED + 1, 2) / BY_CHANCE))
+    return often.where((F.col("n") >= SHARED) & far).select("what", "n")
+
+
+def learn(docs: DataFrame) -> str:
+    """Count words and edge lines over all documents and ship what is frequent; the shipped file's name."""
     counted = spread(docs.select("pages").where("pages is not null")).mapInArrow(_gather, "kind string, what string, n bigint").groupBy("kind", "what").agg(F.sum("n").alias("n"))
-    counted = cut(counted.where(F.when(F.col("kind") == "word", F.col("n") >= 2).otherwise(F.col("n") >= SHARED)))
-    top = lambda kind, most: {r.what: r.n for r in sorted(most_frequent(counted.where(F.col("kind") == kind), most))}
-    return ship(docs.sparkSession, json.dumps([top("word", MOST_WORDS), top("edge", MOST_LINES)]).encode(), "ocr")
+    counted = cut(counted.where(F.col("n") >= 2))
+    places = {r.what: r.n for r in counted.where("kind = 'place'").collect()}
+    edges = edge_lines(docs, places.get("edge", 0) / max(1, places.get("all", 0)))
+    top = lambda rows, most: {r.what: r.n for r in sorted(most_frequent(rows, most))}
+    return ship(docs.sparkSession, json.dumps([top(counted.where("kind = 'word'").select("what", "n"), MOST_WORDS), top(edges, MOST_LINES)]).encode(), "ocr")
 
 
 class Reader:

@@ -69,3 +69,16 @@ def test_tables(spark):
     assert text == {(20, 1): "the court shall keep the register of it", (22, 1): "the court shall"}
     empty = docs.limit(0)
     assert ocr.noisy_lines(empty, ocr.learn(empty)).count() == 0
+
+
+def test_edge_lines_follow_the_corpus(spark):
+    said = [f"The {a} was found to have {b} the" for a in "notary valuer surveyor carrier guardian".split() for b in "altered kept moved sealed leased".split()]
+    page = lambda i, k: [said[(i * 7 + k * 11 + j * (i % 9 + 1)) % 25] for j in range(20)]
+    rows = [(f"d{i}", ["\n".join(["Rent Tribunal Ostwick"] * (i % 5 == 0) + page(i, k)) for k in range(2)]) for i in range(60)]
+    fresh = [f"the sum of {j} florins was paid by the" for j in range(20)]
+    rows += [(f"again{i % 2}", ["\n".join(["Any aggrieved person shall be heard by the", *fresh, f"copy {i}"])]) for i in range(30)]
+    rows += [(f"copy{i}", ["\n".join(["The liquidator contested the validity of the", *fresh])]) for i in range(30)]
+    docs = spark.createDataFrame(rows, "name string, pages array<string>")
+    with open(ocr.SparkFiles.get(ocr.learn(docs)), encoding="utf-8") as f:
+        assert ocr.json.load(f)[1] == {"rent tribunal ostwick": 12}
+    assert ocr.edge_lines(docs.limit(0), 0.0).count() == 0
