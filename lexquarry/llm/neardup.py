@@ -4,8 +4,10 @@ Every text is a set of runs of ``SHINGLE`` consecutive words.  Minwise hashes of
 set make ``TREES`` labels of ``DEPTH`` parts each; ordered by a label, texts with a
 long common prefix are neighbours.  Texts that share the first ``LEAST`` parts of a
 label are candidates; where a region of a tree is dense (more than ``DENSE`` texts)
-it is divided by one part more, as deep as the label goes, so the depth follows the
-density of each region.  A 128-bit sketch rejects most chance neighbours inside the
+it is divided by one of ``SPARE`` parts more, in each way, and then by two of them, so
+the depth follows the density of each region and recall hardly falls with it: a pair
+of similarity 0.6 is found with a chance of 0.946, 0.942, 0.907 by depth, of 0.7 with
+0.994, 0.993, 0.983.  A 128-bit sketch rejects most chance neighbours inside the
 join; the rest are compared exactly.
 
 Texts with equal sets are one class, represented by the smallest id; only
@@ -15,11 +17,13 @@ representatives enter the forest.  No candidate is capped or dropped.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import blake2b
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexquarry.storage import cut, spread
@@ -27,6 +31,9 @@ from lexquarry.storage import cut, spread
 SHINGLE, SIMILAR, LEAST_WORDS = 3, 0.6, 40
 TREES, DEPTH, BITS, LEAST = 12, 5, 12, 3
 DENSE = 200
+#: Parts, ten bits of the fourth of as many labels, by which dense regions are divided: by one of them, then by two.
+SPARE = 6
+_divisions = [[(t,) for t in range(SPARE)], list(combinations(range(SPARE), 2))]
 #: Differing sketch bits (of 128) beyond which a pair can't be similar: for a similarity of 0.6 the mean is 26 with a deviation of 5; a chance pair has about 60.
 APART = 42
 #: A list of keys is broadcast up to this many rows (16 MB).
@@ -122,24 +129,26 @@ def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 
 def candidates(reps: DataFrame) -> DataFrame:
     """Pairs ``(_a, _b)`` of sets that are neighbours in a tree and whose sketches are near."""
-    rows = reps.select("_set", "_s0", "_s1", F.explode("_labels").alias("_label"))
-    parts, left = [], rows
-    for depth in range(LEAST, DEPTH + 1):
-        at = left.withColumn("_key", F.shiftleft(F.shiftrightunsigned("_label", BITS * (DEPTH - depth)), BITS * (DEPTH - depth)) + F.lit(depth))  # the depth keeps regions of different depths apart
-        if depth < DEPTH:
-            dense = cut(at.groupBy("_key").agg(F.count("*").alias("_n")).where(F.col("_n") > DENSE).select("_key"))
-            if dense.isEmpty():
-                parts.append(at)
-                break
-            dense = sized(dense)
-            parts.append(at.join(dense, "_key", "left_anti"))
-            left = at.join(dense, "_key", "left_semi").drop("_key")
-        else:
-            parts.append(at)
+    spare = lambda t: F.shiftrightunsigned(F.element_at("_labels", t + 1), BITS).bitwiseAND(1023)
+    packed = reduce(Column.bitwiseOR, (F.shiftleft(spare(t), 10 * t) for t in range(SPARE)))
+    rows = reps.select("_set", "_s0", "_s1", packed.alias("_spare"), F.explode("_labels").alias("_label"))
+    at = rows.withColumn("_key", F.shiftleft(F.shiftrightunsigned("_label", BITS * (DEPTH - LEAST)), BITS * (DEPTH - LEAST))).withColumn("_base", F.col("_key")).drop("_label")
+    parts = []
+    for ways in _divisions:
+        dense = cut(at.groupBy("_key").agg(F.count("*").alias("_n")).where(F.col("_n") > DENSE).select("_key"))
+        if dense.isEmpty():
+            break
+        dense = sized(dense)
+        parts.append(at.join(dense, "_key", "left_anti").select("_set", "_s0", "_s1", "_key"))
+        inside = at.join(dense, "_key", "left_semi").drop("_key")
+        inside = inside if len(parts) == 1 else inside.dropDuplicates(["_set", "_base"])
+        part = lambda t: F.shiftrightunsigned("_spare", 10 * t).bitwiseAND(1023)
+        keys = F.array(*(F.xxhash64("_base", F.lit(str(w)), *map(part, w)) for w in ways))
+        at = inside.withColumn("_key", F.explode(keys))
+    parts.append(at.select("_set", "_s0", "_s1", "_key"))
     keyed = parts[0]
     for p in parts[1:]:
         keyed = keyed.unionByName(p)
-    keyed = keyed.select("_key", "_set", "_s0", "_s1")
     other = keyed.select(F.col("_key").alias("_key2"), F.col("_set").alias("_b"), F.col("_s0").alias("_t0"), F.col("_s1").alias("_t1"))
     apart = F.bit_count(F.col("_s0").bitwiseXOR(F.col("_t0"))) + F.bit_count(F.col("_s1").bitwiseXOR(F.col("_t1")))
     on = (F.col("_key") == F.col("_key2")) & (F.col("_set") < F.col("_b")) & (apart <= APART)

@@ -65,6 +65,28 @@ def test_dense_regions_go_deeper(spark, monkeypatch):
     assert got <= want and len(got) >= 0.97 * len(want)
 
 
+def loose(families=6, each=40):
+    """Families of which most pairs have a similarity of 0.6 to 0.7."""
+    rng, rows = random.Random(5), []
+    for f in range(families):
+        for v in range(each):
+            w = [f"f{f}w{i}" for i in range(120)]
+            for at in rng.sample(range(1, 119), 4):
+                w[at] = f"z{v}x{at}"
+            rows.append((f"{f}-{v}", " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("dense", [2, 12, 200])
+def test_recall_is_kept_in_dense_regions(spark, monkeypatch, dense):
+    monkeypatch.setattr(N, "DENSE", dense)
+    rows = loose()
+    got, _ = found(spark, rows)
+    want = brute(rows)
+    print(dense, len(got) / len(want))
+    assert len(want) > 3000 and got <= want and len(got) >= 0.93 * len(want)
+
+
 def test_copies_nulls_and_short_texts(spark):
     long = " ".join(f"w{i}" for i in range(60))
     rows = [("a", long), ("a", long), ("b", long.upper()), ("c", long + " extra"), ("d", None), (None, long), ("e", ""), ("f", "short text"), ("g", " ".join(["same"] * 50)), ("h", " ".join(["same"] * 70)), ("i", "x" * 200_000)]
