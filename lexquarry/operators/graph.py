@@ -299,6 +299,38 @@ def expand_evidence(edges: DataFrame, chunk_nodes: DataFrame, hops: int = 1, max
     return both.unionByName(judged)
 
 
+def expand_sections_each(edges: DataFrame, seeds: DataFrame, hops: int = 1, max_nodes: int = 40) -> DataFrame:
+    """``(query, id, hop)``: ``expand_sections`` for every query of ``seeds (query, id)``, ``max_nodes`` each."""
+    e = edges.where((F.col("type") == "REFERENCES") & (F.col("from_label") == "Section") & (F.col("to_label") == "Section"))
+    both = e.select(F.col("from_id").alias("a"), F.col("to_id").alias("b")).unionByName(e.select(F.col("to_id").alias("a"), F.col("from_id").alias("b"))).where("a is not null and b is not null").distinct()
+    seen = cut(seeds.select("query", "id", F.lit(0).alias("hop")).distinct())
+    w = W.partitionBy("query").orderBy("id")
+    for h in range(1, hops + 1):
+        edge = seen.where(F.col("hop") == h - 1).select("query", F.col("id").alias("a"))
+        new = edge.join(both, "a").select("query", F.col("b").alias("id")).distinct().join(seen, ["query", "id"], "left_anti")
+        had = seen.groupBy("query").agg(F.count_if(F.col("hop") > 0).alias("had"))
+        kept = new.withColumn("rank", F.row_number().over(w)).join(had, "query").where(F.col("rank") + F.col("had") <= max_nodes)
+        seen = cut(seen.unionByName(kept.select("query", "id", F.lit(h).alias("hop"))))
+    return seen.where("hop > 0")
+
+
+def sections_of_chunks_each(edges: DataFrame, chunk_nodes: DataFrame, limit: int = 25) -> DataFrame:
+    """``(query, section_id, via_chunk)``: ``sections_of_chunks`` for every query of ``chunk_nodes (query, id)``, ``limit`` each."""
+    e = edges.where((F.col("type") == "BELONGS_TO") & (F.col("to_label") == "Section")).select(F.col("from_id").alias("id"), F.col("to_id").alias("section_id")).distinct()
+    w = W.partitionBy("query").orderBy("section_id", "id")
+    pairs = chunk_nodes.select("query", "id").distinct().join(e, "id").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    return pairs.select("query", "section_id", F.col("id").alias("via_chunk"))
+
+
+def expand_evidence_each(edges: DataFrame, chunk_nodes: DataFrame, hops: int = 1, max_nodes: int = 40) -> DataFrame:
+    """``(query, id, role)``: ``expand_evidence`` for every query of ``chunk_nodes (query, id)``."""
+    seeds = cut(sections_of_chunks_each(edges, chunk_nodes, max_nodes).select("query", F.col("section_id").alias("id")).distinct())
+    more = expand_sections_each(edges, seeds, hops, max_nodes).select("query", "id")
+    both = seeds.withColumn("role", F.lit("section")).unionByName(more.withColumn("role", F.lit("neighbour")))
+    judged = both.select("query", F.col("id").alias("section_id")).join(citing_judgments(edges), "section_id").select("query", F.col("judgment_id").alias("id"), F.lit("judgment").alias("role")).distinct()
+    return both.unionByName(judged)
+
+
 def coverage(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """How many judgments have a court, parties, citations and offences, as ``n (p%)`` too."""
     flags = edges.where("from_label = 'Judgment' or to_label = 'Judgment'")

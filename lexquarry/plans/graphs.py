@@ -130,6 +130,29 @@ def expanded_evidence(spark, sf_dir):
     return G.expand_evidence(edges, chunks, 1, 1000)
 
 
+def bounded_bfs_each(spark, sf_dir):
+    """Sections within two hops of every section that refers to another, 1,000 for each at most."""
+    edges = _t(spark, sf_dir, "edges")
+    seeds = edges.where("type = 'REFERENCES' and from_label = 'Section' and to_label = 'Section' and from_id is not null and to_id is not null").select(F.col("from_id").alias("query"), F.col("from_id").alias("id"))
+    return G.expand_sections_each(edges, seeds, 2, 1000)
+
+
+def _each_chunk(edges) -> DataFrame:
+    return edges.where("type = 'BELONGS_TO' and from_id is not null").select(F.col("from_id").alias("query"), F.col("from_id").alias("id"))
+
+
+def chunk_sections_each(spark, sf_dir):
+    """The sections of every chunk, 25 for each at most."""
+    edges = _with_belongs(spark, sf_dir)
+    return G.sections_of_chunks_each(edges, _each_chunk(edges), 25)
+
+
+def expanded_evidence_each(spark, sf_dir):
+    """Sections, neighbours and citing judgments of every chunk."""
+    edges = _with_belongs(spark, sf_dir)
+    return G.expand_evidence_each(edges, _each_chunk(edges), 1, 1000)
+
+
 def enrichment_coverage(spark, sf_dir):
     return G.coverage(_t(spark, sf_dir, "nodes"), _t(spark, sf_dir, "edges"))
 
@@ -140,7 +163,7 @@ def key_resolvability(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (graph_nodes, judgment_nodes, graph_edges, graph_reasons, graph_references, graph_amendments, loaded_nodes, loaded_edges, dangling_edges, assembly_summary, verified_counts, repeated_keys, label_counts, bounded_bfs, chunk_sections, citing_judgments, expanded_evidence, enrichment_coverage, key_resolvability)
+    for f in (graph_nodes, judgment_nodes, graph_edges, graph_reasons, graph_references, graph_amendments, loaded_nodes, loaded_edges, dangling_edges, assembly_summary, verified_counts, repeated_keys, label_counts, bounded_bfs, bounded_bfs_each, chunk_sections, chunk_sections_each, citing_judgments, expanded_evidence, expanded_evidence_each, enrichment_coverage, key_resolvability)
 }
 
 _STEM = r"trim(regexp_replace(doc, '\.[^.]*$', ''))"

@@ -118,3 +118,19 @@ def test_loading(spark):
     assert {r.label: (r.n, r.n_resolvable) for r in G.resolvable(new).collect()} == {"Act": (3, 3), "Court": (1, 0)}
     ok = G.verify_counts(once, "label", spark.createDataFrame([("Act", 1), ("Party", 3)], "label string, expected long"))
     assert {r.label: r.ok for r in ok.collect()} == {"Act": True, "Court": False, "Party": False}
+
+
+def test_every_seed_is_expanded(spark, rows):
+    links = [("REFERENCES", "Section", f"s{i}", "Section", f"s{(i * k + 1) % 12}") for i in range(12) for k in (2, 3)]
+    links += [("BELONGS_TO", "Chunk", f"c{i}", "Section", f"s{i % 12}") for i in range(30)] + [("CITES", "Judgment", f"j{i}", "Section", f"s{i}") for i in range(5)]
+    edges = spark.createDataFrame(links, "type string, from_label string, from_id string, to_label string, to_id string").cache()
+    pick = lambda ids: spark.createDataFrame([(i, i) for i in ids], "query string, id string")
+    for most in (3, 100):
+        got = rows(G.expand_sections_each(edges, pick(f"s{i}" for i in range(12)), 2, most), "query", "id", "hop")
+        for s in ("s0", "s7", "s11"):
+            assert [x[1:] for x in got if x[0] == s] == rows(G.expand_sections(edges, pick([s]), 2, most), "id", "hop")
+    assert len(rows(G.sections_of_chunks_each(edges, pick(f"c{i}" for i in range(30)), 1))) == 30
+    got = rows(G.expand_evidence_each(edges, pick(f"c{i}" for i in range(30))), "query", "id", "role")
+    assert {x[0] for x in got} == {f"c{i}" for i in range(30)}
+    for c in ("c4", "c29"):
+        assert [x[1:] for x in got if x[0] == c] == rows(G.expand_evidence(edges, pick([c])), "id", "role")
