@@ -19,16 +19,14 @@ take no part.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexquarry.llm.canonical import edits
-
+from lexquarry.llm.spelling import Trie, edits
 from lexquarry.storage import cut
 
 #: Most edits between two forms of a rare word; one for words of up to ``SHORT`` letters.
@@ -132,45 +130,6 @@ class Name:
         self.anchors = [surname]
 
 
-class Trie:
-    """Words in a trie, walked by a bit-parallel Levenshtein automaton."""
-
-    def __init__(self, words: Iterable[str]):
-        self.root: dict = {}
-        for w in words:
-            node = self.root
-            for ch in w:
-                node = node.setdefault(ch, {})
-            node[""] = w
-
-    def near(self, word: str, most: int) -> Iterator[str]:
-        """All words within ``most`` insertions, deletions and replacements."""
-        n = len(word)
-        at: dict[str, int] = defaultdict(int)
-        for i, ch in enumerate(word):
-            at[ch] |= 1 << i
-        end = 1 << n
-        full = (end << 1) - 1
-        start, r = [], 1
-        for _ in range(most + 1):
-            start.append(r & full)
-            r |= r << 1
-        stack = [(self.root, start)]
-        while stack:
-            node, rows = stack.pop()
-            for ch, child in node.items():
-                if ch == "":
-                    if any(r & end for r in rows):
-                        yield child
-                    continue
-                hit = at[ch] if ch in at else 0
-                new = [(rows[0] & hit) << 1]
-                for j in range(1, most + 1):
-                    new.append(((rows[j] & hit) << 1 | rows[j - 1] | rows[j - 1] << 1 | new[j - 1] << 1) & full)
-                if new[most]:
-                    stack.append((child, new))
-
-
 def _limit(a: str, b: str) -> int:
     return 1 if min(len(a), len(b)) <= SHORT else FAR
 

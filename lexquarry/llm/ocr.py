@@ -33,7 +33,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexquarry.llm.canonical import edits
+from lexquarry.llm.spelling import edits
 from lexquarry.skew import most_frequent
 from lexquarry.storage import cut, ship, spread
 

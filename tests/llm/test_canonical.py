@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 
 from lexquarry.llm import canonical as C
@@ -28,6 +30,50 @@ def test_values(canon, said, entry):
     assert canon.map(said) == entry
 
 
+LONG = [
+    (1, "Salt Tax Act 1990"), (2, "Storage Licence Act 1990"), (3, "Sale of Goods Act"), (4, "Prevention of Smuggling and Recovery of Stolen River Craft and Fishing Gear in Coastal Districts Act 1961"),
+    (5, "Northern Harbour Dues Collection Rules 1970"), (6, "Northern Harbour Dues Collection Staff Pensions Rules 1971"), (7, "Tax Act 1980"),
+]
+
+
+@pytest.mark.parametrize(
+    "said,entry",
+    [
+        ("schedule to the Salt Tax Act", 1), ("Provincial Storage Licence Act 1990", 2), ("the Provincial Storage Licence Act 1991", -1), ("Sale of Goods Act", 3), ("Goods Sale Act", 3), ("Tax Act", 7), ("Salt Tax Act 1980", -1),
+        ("Prevention of Smuggling and Recovery of Stolen River Craft and Fishing Gear in Coastal Districts Act, 1961", 4),
+        ("Prevention of Smugling and Recovery of Stolen River Crafts and Fishing Gear in Coastal Districts Act, 1961", 4),
+        ("Dues Collection (Northern Harbour) Rules", 5), ("Collection Harbour Dues Northern Rules", 5), ("Pensions Staff Northern Collection Dues Harbour Rules 1971", 6), ("Northern Harbor Dues Rules", 5),
+        ("Northern Harbour Dues Collection Extra Rules 1970", 5), ("Northern Rules", -1), ("annex B to the rules made under the Salt Tax Act 1990 as amended", 1),
+    ],
+)
+def test_embedded_reordered_and_long_names(said, entry):
+    assert C.Canon(LONG).map(said) == entry
+
+
+def test_longest_mentions_win_over_a_whole_text():
+    names = ["aaa bbb ccc", "bbb ccc", "ccc ddd eee fff", "ddd", "eee fff", "fff aaa"]
+    canon = C.Canon([(i, f"{n} act") for i, n in enumerate(names)])
+    patterns = sorted((p for p in canon.auto.keys()), key=len, reverse=True)
+    rng = random.Random(2)
+    for _ in range(200):
+        text = C.plain(" ".join(rng.choice("abcdefg") * 3 for _ in range(30)))
+        at, want = 0, []
+        while at < len(text):
+            hit = next((p for p in patterns if text.startswith(p, at)), None)
+            if hit:
+                want.append((at, at + len(hit) - 1))
+            at += len(hit) - 1 if hit else 1
+        assert [(b, e) for b, e, _ in canon.spans(text)] == want
+    assert canon.spans(C.plain("nothing")) == []
+
+
+def test_whole_texts():
+    canon = C.Canon(ENTRIES + [(20, "Salt Tax Act 1990")])
+    text = "x " * 5000 + "section 4 of the schedule to the Salt Tax Act 1990; section 5 of the Maritime Escrow Act 1984 and section 6 of the " + "very " * 40 + "long Urban Co-operatives Ordinance. section 7 of the tenancy which the Maritime Escrow Act governs"
+    assert [e for _, e in canon.cited(text)] == [20, 9, 7]
+    assert list(canon.cited("")) == [] and list(C.Canon([]).cited("section 1 of the Salt Tax Act")) == [("Salt Tax Act", -1)]
+
+
 def test_edits():
     assert [C.edits(a, b, 2) for a, b in (("abc", "abc"), ("abc", "acb"), ("abc", "ab"), ("abc", "xyz"), ("", "ab"))] == [0, 1, 1, 3, 2]
 
