@@ -27,6 +27,25 @@ def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], n_col: st
     return rows.join(F.broadcast(hot), keys).unionByName(cold.join(rest, keys))
 
 
+#: Bits of the map by which ``narrowed`` drops rows, at most: it is broadcast as words of 64 bits, so in 2^20 rows (16 MB).
+MOST_BITS = 26
+
+
+def narrowed(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows whose ``key`` may be among those of ``wanted``, before a join by it: what is dropped needs no shuffle.
+
+    Eight bits are kept for each wanted key, one of them set by its hash, up to the
+    bound, beyond which more rows pass; no row that is wanted is lost.  ``wanted`` is
+    read twice, so it should be cut from its lineage.
+    """
+    bits = 1 << min(MOST_BITS, max(10, (8 * wanted.count()).bit_length()))
+    place = F.pmod(F.xxhash64(key), F.lit(bits))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (place % 64).cast("int"))
+    words = wanted.select(F.call_function("div", place, F.lit(64)).alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_set_bits"))
+    on = rows.withColumn("_word", F.call_function("div", place, F.lit(64)))
+    return on.join(F.broadcast(words), "_word").where(F.col("_set_bits").bitwiseAND(bit) != 0).select(*rows.columns)
+
+
 def most_frequent(counted: DataFrame, most: int, n_col: str = "n") -> list[Row]:
     """The rows of largest counts, ``most`` at most, for the driver.
 

@@ -63,3 +63,11 @@ def spread(rows: DataFrame) -> DataFrame:
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
+def tasks(spark: SparkSession, rows: int, per: int) -> int:
+    """Into how many tasks ``rows`` are dealt for work in Python: some rounds of all cores, more where a task would have over ``per`` rows.
+
+    A shuffle by a fixed number is not coalesced, as one by size would be, which sees the bytes and not the work.
+    """
+    return max(2 * spark.sparkContext.defaultParallelism, -(-rows // per))
