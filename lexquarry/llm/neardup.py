@@ -7,7 +7,7 @@ parts are candidates; where a region of an order is dense (about ``DENSE`` texts
 more, estimated on a hashed sample) it goes deeper, by one of ``SPARE`` further parts in
 each way and then by two of them, and a region that is dense even then is cut into
 blocks of which every two are compared.  A pair of similarity 0.6 is among the
-candidates with a chance of 0.972, 0.971 and 0.964 at the three depths, whatever the
+candidates with a chance of 0.967, 0.966 and 0.958 at the three depths, whatever the
 number of texts; of 0.7 with 0.995 and more.  A 128-bit sketch rejects most chance
 neighbours in the scan of a region; the rest are compared exactly.
 
@@ -29,14 +29,14 @@ from lexquarry.skew import narrowed
 from lexquarry.storage import cut, spread, tasks
 
 SHINGLE, SIMILAR, LEAST_WORDS = 3, 0.6, 40
-TREES, LEAST = 8, 2
+TREES, LEAST = 14, 3
 #: Further parts of 8 bits by which dense regions are divided: by one of them, then by two.
 SPARE = 8
-DENSE = 8192
+DENSE = 1024
 #: One set in so many is counted to find the dense regions.
-SAMPLED = 64
-#: Differing sketch bits (of 128) beyond which a pair can't be similar: for a similarity of 0.6 the mean is 26 with a deviation of 5; a chance pair has about 60.
-APART = 42
+SAMPLED = 16
+#: Differing sketch bits (of 128) beyond which a pair can't be similar: for a similarity of 0.6 the mean is 26 with a deviation of 4.5, so 0.002 of such pairs are beyond; a chance pair has about 60.
+APART = 38
 #: A list of dense regions is broadcast up to this many rows (16 MB); there are at most ``TREES`` / ``DENSE`` of the texts, by depth.
 BROADCAST_ROWS = 1_000_000
 
