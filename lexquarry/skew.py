@@ -51,14 +51,20 @@ def most_frequent(counted: DataFrame, most: int, n_col: str = "n") -> list[Row]:
 
     A histogram of the counts (1/16 of a doubling a bar, so about a thousand bars)
     gives the least count that keeps within the bound; only rows that reach it are
-    sent, whereas an ordered limit would send ``most`` rows of every partition.  A
-    bar that would exceed the bound is left out whole.  ``counted`` is read twice, so
-    it should be cut from its lineage.
+    A histogram of the counts (1/16 of a doubling a bar, so about a thousand bars)
+    gives the least count that keeps within the bound; only rows that reach it are
+    sent, whereas an ordered limit would send ``most`` rows of every partition.  Of a
+    bar that would exceed the bound a hashed part is taken.  ``counted`` is read twice,
+    so it should be cut from its lineage.
     """
     bar = F.floor(F.log2(F.col(n_col).cast("double")) * 16).cast("int")
-    room, least = most, None
+    room, least, last = most, None, None
     for r in sorted(counted.where(F.col(n_col) > 0).groupBy(bar.alias("bar")).agg(F.count("*").alias("rows")).collect(), key=lambda r: -r.bar):
         if r.rows > room:
+            last = r
             break
         room, least = room - r.rows, r.bar
-    return [] if least is None else counted.where((F.col(n_col) > 0) & (bar >= least)).collect()
+    wanted = F.lit(False) if least is None else bar >= least
+    if last is not None and room > 0:
+        wanted |= (bar == last.bar) & (F.pmod(F.xxhash64(*counted.columns), F.lit(last.rows)) < room * 9 // 10)
+    return counted.where((F.col(n_col) > 0) & wanted).limit(most).collect()
