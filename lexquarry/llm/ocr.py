@@ -1,7 +1,9 @@
 """Noise in text from scanned pages (problem 4).
 
-One pass over all documents counts the corpus's words and the lines at page edges.
-With the counted vocabulary each document is then read by itself:
+One pass over all documents counts the corpus's words (the two halves of a word that a
+line's end cuts are none) and the lines at page edges.  With the whole counted
+vocabulary, looked up in memory-mapped tables of any size, each document is then read
+by itself:
 
 * *furniture*: lines are peeled off the top and bottom of each page as long as they
   are page numbers that fit the document's sequence, or headers: lines that repeat,
@@ -21,30 +23,28 @@ document has no pages its text is taken as one page for the repaired paragraphs.
 
 from __future__ import annotations
 
-import json
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from hashlib import blake2b
 
 import pyarrow as pa
-from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexquarry.llm.spelling import edits
-from lexquarry.skew import most_frequent
-from lexquarry.storage import cut, ship, spread
+from lexquarry.lookup import Shipped, Table, hash_of, hashed, ship_table
+from lexquarry.storage import cut, spread
 
-#: Most words and edge lines that are collected and shipped, about 10 MB.
-MOST_WORDS, MOST_LINES = 200_000, 50_000
 #: How often a corpus word must occur, and how much oftener than its misread form (a word of up to three letters).
 KNOWN, OFTENER, OFTENER_SHORT = 5, 10, 40
 #: Documents that must share an edge line, at least, for it to be furniture anywhere, and how many lines may be taken for such by chance in a whole corpus.
 SHARED, BY_CHANCE = 4, 1.0
-#: Lines peeled off one edge of a page at most, and the longest header.
-EDGE, HEADER = 3, 100
+#: What counts as the edge of a page, in lines with text, and the longest line that may be a header.
+EDGE, HEADER = 3, 160
+#: Words of a line, the rarest, by which lines like it are looked up: two edits leave one of five words as it is.
+PROBES = 5
 
 # What is read for what (misread form, true form).
 CONFUSED = """
@@ -78,10 +78,6 @@ def header_key(line: str) -> str:
     return re.sub(r"\s+", " ", _edge_numbers.sub(" ", line)).strip(" .-–—[]()|").lower()
 
 
-def words_of(line: str) -> list[str]:
-    return [w for t in line.split() if (w := t.strip(_outer)) and any(ch.isalpha() for ch in w)]
-
-
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tokens: Counter[str] = Counter()
     places: Counter[str] = Counter()
@@ -97,10 +93,14 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         for pages in b.column(0).to_pylist():
+            cut_off = False  # the first word of a line is the second half of the last one's: neither half is a word
             for page in pages or ():
                 lines = [x for x in (page or "").split("\n") if x.strip()]
                 for x in lines:
-                    tokens.update(x.split()[1:-1])
+                    words = x.split()
+                    half = x.rstrip()[-1] in MARKS
+                    tokens.update(words[cut_off : len(words) - half])
+                    cut_off = half
                 places["all"] += len(lines)
                 places["edge"] += min(len(lines), 2 * EDGE)
         if len(tokens) > 400_000:
@@ -156,27 +156,79 @@ def edge_lines(docs: DataFrame, share: float) -> DataFrame:
     return often.where((F.col("n") >= SHARED) & far).select("what", "n")
 
 
-def learn(docs: DataFrame) -> str:
-    """Count words and edge lines over all documents and ship what is frequent; the shipped file's name."""
+@dataclass(frozen=True)
+class Learnt:
+    """What was learnt of a corpus, on its way to the tasks: the counts of words, the edge lines, and these by their words."""
+
+    words: Shipped
+    lines: Shipped
+    postings: Shipped
+
+
+def learn(docs: DataFrame) -> Learnt:
+    """Count words and edge lines over all documents and ship them: all words that occur twice at least, and all edge lines."""
     counted = spread(docs.select("pages").where("pages is not null")).mapInArrow(_gather, "kind string, what string, n bigint").groupBy("kind", "what").agg(F.sum("n").alias("n"))
     counted = cut(counted.where(F.col("n") >= 2))
     places = {r.what: r.n for r in counted.where("kind = 'place'").collect()}
-    edges = edge_lines(docs, places.get("edge", 0) / max(1, places.get("all", 0)))
-    top = lambda rows, most: {r.what: r.n for r in sorted(most_frequent(rows, most))}
-    return ship(docs.sparkSession, json.dumps([top(counted.where("kind = 'word'").select("what", "n"), MOST_WORDS), top(edges, MOST_LINES)]).encode(), "ocr")
+    edges = cut(edge_lines(docs, places.get("edge", 0) / max(1, places.get("all", 0))).select("what"))
+    words = ship_table(counted.where("kind = 'word'").select(hashed("what").alias("h"), F.col("n").alias("v")), "words")
+    lines = ship_table(edges.select(hashed("what").alias("h"), F.col("what").alias("v")), "lines")
+    by_word = edges.select(F.explode(F.array_distinct(F.filter(F.split("what", " "), lambda w: w != ""))).alias("w"), "what").select(hashed("w").alias("h"), hashed("what").alias("v"))
+    return Learnt(words, lines, ship_table(cut(by_word), "postings"))
+
+
+class Words:
+    """Counts of words in memory."""
+
+    def __init__(self, counts: dict[str, int]):
+        self.counts = counts
+
+    def first(self, words: Iterable[str]) -> list[int]:
+        return [self.counts.get(w, 0) for w in words]
+
+
+class Lines:
+    """Edge lines in memory, and by their words."""
+
+    def __init__(self, lines: Iterable[str]):
+        self.lines = frozenset(lines)
+
+    def has(self, line: str) -> bool:
+        return line in self.lines
+
+    def like(self, line: str) -> Iterator[str]:
+        """Lines that share one of the line's rarest words."""
+        words = line.split()
+        by = {w: [x for x in self.lines if w in x.split()] for w in words}
+        return (x for w in sorted(by, key=lambda w: len(by[w]))[:PROBES] for x in by[w])
+
+
+class ShippedLines:
+    """The same in shipped tables."""
+
+    def __init__(self, learnt: Learnt):
+        self.lines, self.postings = Table(learnt.lines), Table(learnt.postings)
+
+    def has(self, line: str) -> bool:
+        lo, hi = self.lines.span(_signed(hash_of(line)))
+        return hi > lo
+
+    def like(self, line: str) -> Iterator[str]:
+        spans = sorted((self.postings.span(_signed(hash_of(w))) for w in set(line.split())), key=lambda s: s[1] - s[0])
+        for lo, hi in spans[:PROBES]:
+            for h in self.postings.v[lo:hi].tolist():
+                yield self.lines.text(self.lines.span(h)[0])
+
+
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
 
 
 class Reader:
     """Reads documents with the corpus's vocabulary."""
 
-    def __init__(self, words: dict[str, int], edges: dict[str, int]):
-        self.n, self.edges = words, edges
-        self.known = {w for w, n in words.items() if n >= KNOWN}
-        self.by_word: dict[str, list[str]] = {}
-        for k in edges:
-            for w in set(k.split()):
-                if len(w) > 4:
-                    self.by_word.setdefault(w, []).append(k)
+    def __init__(self, words: Words | Table, lines: Lines | ShippedLines):
+        self.words, self.lines = words, lines
         self.right: dict[str, str | None] = {}
         self.tokens: dict[str, str] = {}
 
@@ -194,17 +246,21 @@ class Reader:
         return self.right[word]
 
     def _true_word(self, word: str) -> str | None:
-        n = self.n.get(word, 0)
-        best, most = None, max(KNOWN, (OFTENER if len(word) > 3 else OFTENER_SHORT) * max(1, n)) - 1
         once = list(self._undone(word))
-        for w in once:
-            if self.n.get(w, 0) > most and not _digit.search(w):
-                best, most = w, self.n[w]
+        own, *counts = self.words.first([word, *once])
+        most = max(KNOWN, (OFTENER if len(word) > 3 else OFTENER_SHORT) * max(1, own)) - 1
+        best = self._most(once, counts, most)
         if best is None and 4 < len(word) < 30:
-            for x in once:
-                for w in self._undone(x):
-                    if w != word and self.n.get(w, 0) > max(most, 50) and not _digit.search(w):
-                        best, most = w, self.n[w]
+            twice = [w for x in once for w in self._undone(x) if w != word]
+            best = self._most(twice, self.words.first(twice), max(most, 50))
+        return best
+
+    @staticmethod
+    def _most(words: list[str], counts: list[int], most: int) -> str | None:
+        best = None
+        for w, n in zip(words, counts):
+            if n > most and not _digit.search(w):
+                best, most = w, n
         return best
 
     @staticmethod
@@ -217,15 +273,8 @@ class Reader:
 
     def shared(self, key: str) -> bool:
         """Many documents have this line, or one that differs by two characters at most, at a page's edge."""
-        if key in self.edges:
+        if self.lines.has(key) or any(_alike(key, k, 2) for k in dict.fromkeys(self.lines.like(key))):
             return True
-        seen = set()
-        for w in key.split():
-            for k in self.by_word.get(w, ()):
-                if k not in seen:
-                    seen.add(k)
-                    if _alike(key, k, 2):
-                        return True
         _, comma, rest = key.rpartition("., ")
         return bool(comma) and self.shared(rest)
 
@@ -337,14 +386,14 @@ def _as(word: str, pattern: str) -> str:
 def _broken(left: str, mark: str, right: str, reader: Reader) -> bool:
     """Whether ``left`` and ``right`` are one word that the line's end cut."""
     a, b = left.lower(), right.lower()
-    joined, dashed = reader.n.get(a + b, 0), reader.n.get(f"{a}-{b}", 0)
+    joined, dashed, first, second = reader.words.first([a + b, f"{a}-{b}", a, b])
     if joined or dashed:
         return joined >= dashed if mark in "-‐" else joined >= dashed or not dashed
     if reader.true_word(a + b):
         return True
     if reader.true_word(f"{a}-{b}"):
         return False
-    return not (mark in "-‐" and reader.n.get(a, 0) >= KNOWN and reader.n.get(b, 0) >= KNOWN)
+    return not (mark in "-‐" and first >= KNOWN and second >= KNOWN)
 
 
 def read(pages: list[str | None], title: str | None, reader: Reader) -> list[Line]:
@@ -416,16 +465,15 @@ def paragraphs(lines: list[Line]) -> list[str]:
     return [" ".join(p) for p in out]
 
 
-def _reader(shipped: str) -> Reader:
-    with open(SparkFiles.get(shipped), encoding="utf-8") as f:
-        return Reader(*json.load(f))
+def _reader(learnt: Learnt) -> Reader:
+    return Reader(Table(learnt.words), ShippedLines(learnt))
 
 
-def noisy_lines(docs: DataFrame, shipped: str, id_col: str = "ord") -> DataFrame:
+def noisy_lines(docs: DataFrame, learnt: Learnt, id_col: str = "ord") -> DataFrame:
     """``(id, page_no, line_no, kind)`` of every affected line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = _reader(shipped)
+        reader = _reader(learnt)
         for b in batches:
             rows = [
                 (i, x.page, x.no, k)
@@ -440,11 +488,11 @@ def noisy_lines(docs: DataFrame, shipped: str, id_col: str = "ord") -> DataFrame
     return spread(rows).mapInArrow(run, f"_id {dict(rows.dtypes)['_id']}, page_no int, line_no int, kind string").withColumnRenamed("_id", id_col)
 
 
-def readable(docs: DataFrame, shipped: str, id_col: str = "ord") -> DataFrame:
+def readable(docs: DataFrame, learnt: Learnt, id_col: str = "ord") -> DataFrame:
     """``(id, paragraph_no, paragraph)``: the continuous readable paragraphs of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = _reader(shipped)
+        reader = _reader(learnt)
         for b in batches:
             rows = [(i, n, p) for i, title, pages, text in zip(*(b.column(c).to_pylist() for c in range(4))) for n, p in enumerate(paragraphs(read(pages or [text], title, reader)), 1)]
             cols = list(zip(*rows)) or [(), (), ()]

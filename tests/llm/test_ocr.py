@@ -3,7 +3,7 @@ from __future__ import annotations
 from lexquarry.llm import ocr
 
 WORDS = {w: 500 for w in "the court shall register notwithstanding cross-examination cross examination custody in safe of keep notary number during column licence and was held night-shift night shift".split()} | {"gokusund": 9, "sh": 0}
-READER = ocr.Reader(WORDS, {"supreme court of velmora": 9})
+READER = ocr.Reader(ocr.Words(WORDS), ocr.Lines(["supreme court of velmora"]))
 
 
 def kinds(pages, title=None):
@@ -41,14 +41,14 @@ def test_misread_words():
 
 
 def test_misread_words_of_a_large_corpus():
-    reader = ocr.Reader({"shall": 1_841_300, "register": 90_000, "5hall": 3_100, "sha1l": 2_600, "rcgister": 2_200, "hall": 400_000}, {})
+    reader = ocr.Reader(ocr.Words({"shall": 1_841_300, "register": 90_000, "5hall": 3_100, "sha1l": 2_600, "rcgister": 2_200, "hall": 400_000}), ocr.Lines(()))
     page = "it 5hall keep the rcgister\nin the hall 5ha1l regi-\nstcr it"
     lines = ocr.read([page], None, reader)
     assert [(x.no, sorted(x.kinds)) for x in lines] == [(1, ["misread"]), (2, ["broken", "misread"]), (3, ["misread"])]
     assert [x.fixed for x in lines] == ["it shall keep the register", "in the hall shall register", "it"]
-    reader = ocr.Reader({"register": 90_000, "regi": 1, "registcr": 2_200}, {})
+    reader = ocr.Reader(ocr.Words({"register": 90_000, "regi": 1, "registcr": 2_200}), ocr.Lines(()))
     assert [sorted(x.kinds) for x in ocr.read(["it was to regi-\nstcr the notary"], None, reader)] == [["broken"], ["misread"]]
-    assert ocr.Reader({"p-6/71": 900}, {}).true_word("p-8/71") is None
+    assert ocr.Reader(ocr.Words({"p-6/71": 900}), ocr.Lines(())).true_word("p-8/71") is None
 
 
 def test_repaired_paragraphs():
@@ -71,6 +71,18 @@ def test_tables(spark):
     assert ocr.noisy_lines(empty, ocr.learn(empty)).count() == 0
 
 
+def test_a_large_vocabulary_is_whole(spark):
+    """Rare words of a corpus of very many words are known: nothing is cut off at a number of words."""
+    word = lambda i: "".join("bcdfghjklmnprstv"[i // 16**k % 16] + "aeiou"[i // 5**k % 5] for k in range(5))
+    lines = [" ".join(word(j) for j in range(i, i + 10)) for i in range(0, 300_000, 10)]
+    rows = [(i, None, ["\n".join(lines[i * 100 : i * 100 + 100])] * 3, None) for i in range(300)] + [(1000, None, [f"{word(299_994)} {word(7)[:-1]}-\n{word(7)[-1]} x"], None)]
+    docs = spark.createDataFrame(rows, "ord bigint, title string, pages array<string>, text string").repartition(8)
+    learnt = ocr.learn(docs)
+    count = spark.range(1).mapInPandas(lambda it: (b.assign(id=len(ocr.Table(learnt.words).h), got=[str(ocr.Table(learnt.words).first([word(299_994), word(7), "none"]))]) for b in it), "id bigint, got string").first()
+    assert count.id > 200_000 and count.got.endswith(" 0]") and "[0" not in count.got
+    assert (1000, 1, 1, "broken") in {tuple(r) for r in ocr.noisy_lines(docs.where("ord = 1000"), learnt).collect()}
+
+
 def test_edge_lines_follow_the_corpus(spark):
     said = [f"The {a} was found to have {b} the" for a in "notary valuer surveyor carrier guardian".split() for b in "altered kept moved sealed leased".split()]
     page = lambda i, k: [said[(i * 7 + k * 11 + j * (i % 9 + 1)) % 25] for j in range(20)]
@@ -79,6 +91,13 @@ def test_edge_lines_follow_the_corpus(spark):
     rows += [(f"again{i % 2}", ["\n".join(["Any aggrieved person shall be heard by the", *fresh, f"copy {i}"])]) for i in range(30)]
     rows += [(f"copy{i}", ["\n".join(["The liquidator contested the validity of the", *fresh])]) for i in range(30)]
     docs = spark.createDataFrame(rows, "name string, pages array<string>")
-    with open(ocr.SparkFiles.get(ocr.learn(docs)), encoding="utf-8") as f:
-        assert ocr.json.load(f)[1] == {"rent tribunal ostwick": 12}
+    learnt = ocr.learn(docs)
+
+    def shared(batches):
+        lines = ocr.ShippedLines(learnt)
+        for b in batches:
+            yield b.assign(id=[len(lines.lines.h)], line=[lines.lines.text(0)], like=[", ".join(lines.like("the tribunal"))], has=[lines.has("rent tribunal ostwick")])
+
+    got = spark.range(1).mapInPandas(shared, "id bigint, line string, like string, has boolean").first()
+    assert tuple(got) == (1, "rent tribunal ostwick", "rent tribunal ostwick", True)
     assert ocr.edge_lines(docs.limit(0), 0.0).count() == 0
