@@ -6,7 +6,10 @@ form of an organisation.  The rare words (surnames, base names) are joined with
 other within a bounded distance by *trie joins*: words that share one of three
 segments are sharded together, each shard's words form a trie, and every word that
 may match walks it with a Levenshtein automaton.  Spellings whose rare words are
-neighbours are then compared part by part, in any order of their words.
+neighbours are then compared part by part.  The order of a person's words is not
+trusted: where it isn't certain which word is the surname and which the given name,
+every order of the words is a *reading* of the spelling, and two spellings match if
+one reading of each does.
 
 Two spellings belong together if the rare word agrees (up to ``FAR`` edits), the
 given names agree (nicknames and typing errors allowed, an initial with a full name),
@@ -14,6 +17,10 @@ and middle initials don't contradict; organisations need the same business, and
 same legal form if both state one.  A spelling with an initial only is not linked to
 bearers of several given names between which it can't tell.  Null and empty names
 take no part.
+
+Spellings are joined by what was read from them, of which there is far less than of
+spellings, and by surname and given name together, so that a surname of very many
+bearers is no hot key.
 """
 
 from __future__ import annotations
@@ -21,13 +28,15 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import permutations
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexquarry.llm.spelling import Trie, edits
-from lexquarry.storage import cut
+from lexquarry.storage import cut, tasks
 
 #: Most edits between two forms of a rare word; one for words of up to ``SHORT`` letters.
 FAR, SHORT = 2, 6
@@ -77,57 +86,58 @@ def _near(word: str, table: str) -> str | None:
     return best[1] if best[0] <= most else None
 
 
-class Name:
-    """A spelling taken apart; ``anchors`` are the rare words by which it is found."""
-
-    __slots__ = ("kind", "rare", "given", "initial", "middle", "form", "anchors")
-
-    def __init__(self, text: str):
-        s = re.sub(r"(?i)\bm/s\.?", " ", text)
-        head, comma, tail = s.partition(",")
-        tokens = [w.lower() for w in _word.findall(s)]
-        tokens = [w for w in tokens if w not in _titles] or tokens
-        self.given = self.initial = self.middle = self.form = ""
-        business = {b for w in tokens if (b := _near(w, "business"))}
-        forms = [f for w in tokens if (f := _near(w, "form"))]
-        if business or len(forms) > 1 or forms and len(tokens) < 4 and not any(_near(w, "given") for w in tokens):
-            self.kind = "o"
-            rest = [w for w in tokens if len(w) > 1 and not _near(w, "business") and not _near(w, "form")]
-            self.rare = "".join(sorted(rest)) if rest else "".join(tokens)
-            self.given = self.initial = " ".join(sorted(business))
-            order = ("sons", "company", "corporation", "authority", "department", "association", "board", "commission", "limited")
-            self.form = next((f for f in order if f in forms), "")
-            self.anchors = rest or tokens[:1]
-            return
-        self.kind = "p"
-        words = [w for w in tokens if len(w) > 1]
-        letters = [w for w in tokens if len(w) == 1]
-        first = {w.lower() for w in _word.findall(head)} if comma and _word.search(tail) else set()
-        if not words:
-            self.rare, self.anchors = "".join(letters), ["".join(letters)] if letters else []
-            return
-        if len(words) == 1:
-            surname, given = words[0], None
-        else:
-            like = [bool(_near(w, "given")) for w in words]
-            if first and any(w in first for w in words) and not all(w in first for w in words):
-                surname = next(w for w in words if w in first)
-            elif any(like) and not all(like):
-                surname = [w for w, y in zip(words, like) if not y][-1]
-            elif len(tokens[-1]) == 1:
-                surname = words[0]
-            else:
-                surname = words[-1]
-            given = next((w for w in words if w != surname), None)
-        self.rare = surname
-        if given:
-            self.given = _near(given, "given") or given
-            self.initial = self.given[0]
-            self.middle = letters[0] if letters else ""
-        elif letters:
-            self.initial = letters[0]
-            self.middle = letters[1] if len(letters) > 1 else ""
-        self.anchors = [surname]
+class Reading(NamedTuple):
+    """What a spelling says; ``anchor`` is the rare word by which it is found."""
+
+    kind: str
+    rare: str
+    given: str
+    initial: str
+    middle: str
+    form: str
+    rest: str
+    anchor: str
+
+
+def readings(text: str) -> list[Reading]:
+    """The ways to read a spelling: one for each rare word of an organisation, one for each possible order of a person's words."""
+    s = re.sub(r"(?i)\bm/s\.?", " ", text)
+    head, comma, tail = s.partition(",")
+    tokens = [w.lower() for w in _word.findall(s)]
+    tokens = [w for w in tokens if w not in _titles] or tokens
+    business = {b for w in tokens if (b := _near(w, "business"))}
+    forms = [f for w in tokens if (f := _near(w, "form"))]
+    if business or len(forms) > 1 or forms and len(tokens) < 4 and not any(_near(w, "given") for w in tokens):
+        rest = [w for w in tokens if len(w) > 1 and not _near(w, "business") and not _near(w, "form")]
+        said = " ".join(sorted(business))
+        order = ("sons", "company", "corporation", "authority", "department", "association", "board", "commission", "limited")
+        form = next((f for f in order if f in forms), "")
+        rare = "".join(sorted(rest)) if rest else "".join(tokens)
+        return [Reading("o", rare, said, said, "", form, "", a) for a in dict.fromkeys(rest or tokens[:1])]
+    words, letters = [w for w in tokens if len(w) > 1], [w for w in tokens if len(w) == 1]
+    first, second = (letters + ["", ""])[:2]
+    if not words:
+        return [Reading("p", "".join(letters), "", "", "", "", "", "".join(letters))] if letters else []
+    if len(words) == 1:
+        return [Reading("p", words[0], "", first, second, "", "", words[0])]
+
+    def read(surname: str, given: str) -> Reading:
+        rest = list(words)
+        rest.remove(surname)
+        rest.remove(given)
+        known = _near(given, "given") or given
+        return Reading("p", surname, known, known[0], first, "", " ".join(sorted(rest)), surname)
+
+    like = [bool(_near(w, "given")) for w in words]
+    before = {w.lower() for w in _word.findall(head)} if comma and _word.search(tail) else set()
+    if before and any(w in before for w in words) and not all(w in before for w in words):
+        surname = next(w for w in words if w in before)
+        return [read(surname, next(w for i, w in enumerate(words) if i != words.index(surname)))]
+    if any(like) and not all(like):
+        return [read([w for w, y in zip(words, like) if not y][-1], next(w for w, y in zip(words, like) if y))]
+    n = len(words)
+    orders = permutations(range(n), 2) if n < 7 else ((i, (i + k) % n) for i in range(n) for k in (1, n - 1))
+    return list(dict.fromkeys(read(words[i], words[j]) for i, j in orders))
 
 
 def _limit(a: str, b: str) -> int:
@@ -189,49 +199,70 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def near_words(words: DataFrame) -> DataFrame:
     """Pairs ``(a, b)``, ``a < b``, of different words within the allowed distance; ``words`` has one column ``word`` of distinct words."""
-    keys = cut(words.mapInArrow(_keys, "key string, word string, member boolean"))
+    spark = words.sparkSession
+    n = words.count()
+    keys = cut(words.repartition(tasks(spark, n, 50_000)).mapInArrow(_keys, "key string, word string, member boolean"))
     sizes = keys.where("member").groupBy("key").agg(F.count("*").alias("n"))
     asked = keys.join(sizes, "key")
     shards = F.ceil(F.col("n") / TRIE).cast("int")
     shard = F.when(F.col("member"), F.array(F.pmod(F.xxhash64("word"), shards).cast("int"))).otherwise(F.sequence(F.lit(0), shards - 1))
     rows = asked.select("key", F.explode(shard).alias("shard"), "word", "member")
-    rows = rows.repartition("key", "shard").sortWithinPartitions("key", "shard", F.desc("member"))
+    rows = rows.repartition(tasks(spark, n, 50_000), "key", "shard").sortWithinPartitions("key", "shard", F.desc("member"))
     return rows.mapInArrow(_walk, "a string, b string").distinct()
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["name", "kind", "rare", "given", "initial", "middle", "form", "anchor"]
     for b in batches:
-        rows = []
-        for t in b.column(0).to_pylist():
-            p = Name(t)
-            rows += [(t, p.kind, p.rare, p.given, p.initial, p.middle, p.form, a) for a in dict.fromkeys(p.anchors)]
-        cols = list(zip(*rows)) or [()] * 8
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names)
+        rows = [(t, *r) for t in b.column(0).to_pylist() for r in readings(t)]
+        cols = list(zip(*rows)) or [()] * (1 + len(Reading._fields))
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], ["name", *Reading._fields])
+
+
+def _both_ways(near: DataFrame) -> DataFrame:
+    return near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
+def _alike_readings(read: DataFrame) -> DataFrame:
+    """Pairs of readings ``(r, r2, ...)`` that may be of one entity, each pair once, a reading with itself too.
+
+    ``read`` has one row per reading ``r``.  A person's reading meets others of a near
+    surname by the given name or one an edit away, or, where one side has initials
+    only, by the initial; an organisation's by its business.
+    """
+    words = cut(read.select(F.col("anchor").alias("word")).distinct())
+    link = words.select(F.col("word").alias("a"), F.col("word").alias("b")).unionByName(_both_ways(cut(near_words(words))))
+    given = cut(read.where("kind = 'p' and given <> ''").select(F.col("given").alias("word")).distinct())
+    typos = cut(near_words(given).where(F.levenshtein("a", "b") == 1))
+    typos = _both_ways(typos).groupBy(F.col("a").alias("given")).agg(F.collect_list("b").alias("also"))  # of one word's neighbours
+
+    c, key = F.col, lambda sign, x: F.concat(F.lit(sign), x)
+    full = F.concat(F.array(key("g", c("given")), key("v", c("initial"))), F.transform(F.coalesce("also", F.array().cast("array<string>")), lambda x: key("g", x)))
+    asks = F.when(c("kind") == "o", F.array(key("o", c("given")))).when(c("given") != "", full).otherwise(F.array(key("v", c("initial")), key("i", c("initial"))))
+    has = F.when(c("kind") == "o", F.array(key("o", c("given")))).when(c("given") != "", F.array(key("g", c("given")), key("i", c("initial")))).otherwise(F.array(key("v", c("initial"))))
+    left = read.join(typos, "given", "left").withColumn("key", F.explode(asks)).drop("also")
+    left = left.join(link, c("anchor") == c("a")).drop("anchor", "a")
+    right = read.withColumn("key", F.explode(has))
+    right = right.select(*(c(x).alias(x + "2") for x in right.columns))
+    pairs = left.join(right, (c("b") == c("anchor2")) & (c("key") == c("key2")) & (c("kind") == c("kind2")) & (c("r") <= c("r2")))
+    said = lambda x: (c(x) == c(x + "2")) | (c(x) == "") | (c(x + "2") == "")
+    near = F.levenshtein("rare", "rare2") <= 2
+    person = (said("given") | (F.levenshtein("given", "given2", 2) == 1)) & said("middle") & said("rest") & ((c("given") == c("given2")) | near)
+    pairs = pairs.where(F.when(c("kind") == "p", person).otherwise(said("form") & near))
+    return pairs.select("r", "r2", "kind", "given", "given2", "middle", "middle2").distinct()
 
 
 def variant_pairs(spellings: DataFrame, col: str = "name") -> DataFrame:
     """Pairs ``(name_a, name_b)``, ``name_a < name_b``, of spellings of the same person or organisation."""
-    distinct = spellings.where(F.trim(col) != "").select(F.col(col).alias("name")).distinct()
-    parsed = cut(distinct.mapInArrow(_parse, "name string, kind string, rare string, given string, initial string, middle string, form string, anchor string"))
-    words = cut(parsed.select(F.col("anchor").alias("word")).distinct())
-    near = cut(near_words(words))
-    same = words.select(F.col("word").alias("a"), F.col("word").alias("b"))
-    link = same.unionByName(near).unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    left = parsed.join(link, parsed.anchor == link.a).drop("anchor", "a")
-    right = parsed.select(*(F.col(c).alias(c + "2") for c in parsed.columns))
-    on = (F.col("b") == F.col("anchor2")) & (F.col("kind") == F.col("kind2")) & (F.col("initial") == F.col("initial2")) & (F.col("name") < F.col("name2"))
-    pairs = left.join(right, on)
-    given = (F.col("given") == F.col("given2")) | (F.col("given") == "") | (F.col("given2") == "") | (F.levenshtein("given", "given2", 2) == 1)
-    middle = (F.col("middle") == F.col("middle2")) | (F.col("middle") == "") | (F.col("middle2") == "")
-    form = (F.col("form") == F.col("form2")) | (F.col("form") == "") | (F.col("form2") == "")
-    person = given & middle
-    company = (F.col("given") == F.col("given2")) & form
-    far = F.levenshtein("rare", "rare2") > 2
-    strong = (F.col("given") == F.col("given2")) | (F.levenshtein("rare", "rare2") <= 2)
-    pairs = pairs.where(F.when(F.col("kind") == "p", person & strong).otherwise(company & ~far))
-    pairs = cut(pairs.select("name", "name2", "kind", "given", "given2", "middle", "middle2").distinct())
-    return _told_apart(pairs)
+    distinct = cut(spellings.where(F.trim(col) != "").select(F.col(col).alias("name")).distinct())
+    dealt = distinct.repartition(tasks(distinct.sparkSession, distinct.count(), 100_000))
+    parsed = dealt.mapInArrow(_parse, "name string, " + ", ".join(f"{f} string" for f in Reading._fields))
+    parsed = cut(parsed.withColumn("r", F.xxhash64(*Reading._fields)))
+    pairs = cut(_alike_readings(cut(parsed.select("r", *Reading._fields).distinct())))
+    names = parsed.select("r", "name")
+    both = pairs.join(names, "r").join(names.select(F.col("r").alias("r2"), F.col("name").alias("name2")), "r2").where("name <> name2")
+    turned = F.col("name") > F.col("name2")
+    swap = lambda a, b: (F.when(turned, F.col(b)).otherwise(F.col(a)).alias(a), F.when(turned, F.col(a)).otherwise(F.col(b)).alias(b))
+    return _told_apart(cut(both.select("kind", *swap("name", "name2"), *swap("given", "given2"), *swap("middle", "middle2")).distinct()))
 
 
 def _told_apart(pairs: DataFrame) -> DataFrame:
@@ -245,7 +276,7 @@ def _told_apart(pairs: DataFrame) -> DataFrame:
     chosen = sides.join(best, ["vague", "sure"]).groupBy("vague").agg(F.countDistinct("full").alias("n"), F.min("full").alias("full")).where("n = 1")
     kept = sides.join(chosen.select("vague", "full"), ["vague", "full"], "left_semi").select("name", "name2")
     rest = pairs.where((F.col("kind") != "p") | ((F.col("given") == "") == (F.col("given2") == ""))).select("name", "name2")
-    return rest.unionByName(kept).toDF("name_a", "name_b")
+    return rest.unionByName(kept).distinct().toDF("name_a", "name_b")
 
 
 def case_spellings(docs: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 import pytest
 
 from lexquarry.llm import names as N
-from lexquarry.llm.canonical import edits
+from lexquarry.llm.spelling import Trie, edits
 
 GROUPS = [
     ["Gregory H. Sufistarar", "Sufistarar, Greg", "GREGORY H. SUFISTARAR", "Mr. Gregory H. Sufistrar", "G.H.Sufistarar", "Sufistarar Gregory H.", "Justice Gregory Sufistarar", "Gregory H. Sufistarar etc"],
@@ -36,6 +36,24 @@ def test_an_initial_alone_is_not_guessed(spark):
     assert {tuple(r) for r in N.variant_pairs(df).collect()} == {("E. N. Falitokim", "Elizabeth N. Falitokim")}
 
 
+def test_words_in_any_order(spark):
+    """No word, or every word, looks like a given name, so the order decides nothing."""
+    groups = [["Wazir Kabilam", "Kabilam Wazir", "Wazir Kabilan", "KABILAM WAZEIR"], ["Thomas James", "James Thomas", "Jim Thomas"], ["Arbit Noxim Veloru", "Veloru Arbit Noxim", "Noxim Veloru Arbit"], ["Arbit Noxim Pelagu"], ["a b c d e f g h"]]
+    df = spark.createDataFrame([(n,) for g in groups for n in g], "name string")
+    assert {tuple(r) for r in N.variant_pairs(df).collect()} == pairs(groups)
+    long = " ".join(f"{'abcdefghij'[i] * 4}" for i in range(10))
+    assert len(N.readings(long)) == 20
+
+
+def test_a_hot_surname(spark):
+    """A surname of very many bearers: only spellings of one given name meet."""
+    given = sorted({"".join(w) for w in zip("bdfgklmnprstvz" * 30, "aeiou" * 84, "lmnrst" * 70, "aeiou" * 84, "kmt" * 140)})
+    rows = [f"{g.title()} {m}. Khanim" for g in given for m in "ABC"] + [f"KHANIM, {g.upper()} {m}." for g in given for m in "ABC"]
+    got = {tuple(r) for r in N.variant_pairs(spark.createDataFrame([(r,) for r in rows], "name string")).collect()}
+    assert got >= {tuple(sorted((f"{g.title()} {m}. Khanim", f"KHANIM, {g.upper()} {m}."))) for g in given for m in "ABC"}
+    assert all(levenshtein(a.replace("KHANIM, ", "").split()[0].lower(), b.replace("KHANIM, ", "").split()[0].lower()) < 2 for a, b in got)
+
+
 def words(seed, n):
     rng = random.Random(seed)
     base = ["".join(rng.choice("abcde") for _ in range(rng.randint(3, 11))) for _ in range(n)]
@@ -44,7 +62,7 @@ def words(seed, n):
 
 def test_automaton_walks_the_trie():
     w = words(1, 150)
-    trie = N.Trie(w)
+    trie = Trie(w)
     plain = lambda a, b: edits(a, b, 2)
     for a in w[:60]:
         got = set(trie.near(a, 2))
