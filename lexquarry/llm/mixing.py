@@ -12,7 +12,7 @@ document of its flow.
 
 Defined results: a listed source without documents reaches 0 and its quota is its
 shortfall; documents of unlisted or null sources and of size 0 or null are never
-used; null or non-positive weights and caps count as 0; repeated rows count by
+used; null or non-positive weights and caps count as 0, and weights are shares of their sum; repeated rows count by
 themselves; an empty table gives an empty mix.  Shortfalls are reported, not handed
 to other sources.
 """
@@ -36,7 +36,11 @@ BUCKET = 50_000
 
 
 def min_cost_flow(n: int, arcs: list[tuple[int, int, int, int]], s: int, t: int) -> list[int]:
-    """The flow on each arc ``(from, to, capacity, cost)`` of a cheapest largest flow from ``s`` to ``t``."""
+    """The flow on each arc ``(from, to, capacity, cost)`` of a cheapest largest flow from ``s`` to ``t``.
+
+    Costs are small whole numbers, so there are few distances from ``s`` to ``t``; the
+    flow of each distance is found at once by blocking flows.
+    """
     to, cap, cost, out = [], [], [], [[] for _ in range(n)]
     for a, b, c, w in arcs:
         out[a].append(len(to))
@@ -45,27 +49,51 @@ def min_cost_flow(n: int, arcs: list[tuple[int, int, int, int]], s: int, t: int)
         cap += [c, 0]
         cost += [w, -w]
     while True:
-        far, via = [float("inf")] * n, [-1] * n
+        far = [float("inf")] * n
         far[s], queue, waiting = 0, deque([s]), {s}
         while queue:
             a = queue.popleft()
             waiting.discard(a)
             for e in out[a]:
                 if cap[e] > 0 and far[a] + cost[e] < far[to[e]]:
-                    far[to[e]], via[to[e]] = far[a] + cost[e], e
+                    far[to[e]] = far[a] + cost[e]
                     if to[e] not in waiting:
                         waiting.add(to[e])
                         queue.append(to[e])
-        if via[t] < 0:
+        if far[t] == float("inf"):
             return [cap[2 * i + 1] for i in range(len(arcs))]
-        path, at = [], t
-        while at != s:
-            path.append(via[at])
-            at = to[via[at] ^ 1]
-        push = min(cap[e] for e in path)
-        for e in path:
-            cap[e] -= push
-            cap[e ^ 1] += push
+        # all that goes at this distance at once: a largest flow over the arcs of shortest ways
+        while True:
+            level, queue = {s: 0}, deque([s])
+            while queue and t not in level:
+                a = queue.popleft()
+                for e in out[a]:
+                    if cap[e] > 0 and to[e] not in level and far[a] + cost[e] == far[to[e]]:
+                        level[to[e]] = level[a] + 1
+                        queue.append(to[e])
+            if t not in level:
+                break
+            nth, path = [0] * n, []
+            while True:
+                a = to[path[-1]] if path else s
+                if a == t:
+                    push = min(cap[e] for e in path)
+                    for e in path:
+                        cap[e] -= push
+                        cap[e ^ 1] += push
+                    del path[next(i for i, e in enumerate(path) if not cap[e]) :]
+                    continue
+                while nth[a] < len(out[a]):
+                    e = out[a][nth[a]]
+                    if cap[e] > 0 and level.get(to[e]) == level[a] + 1 and far[a] + cost[e] == far[to[e]]:
+                        path.append(e)
+                        break
+                    nth[a] += 1
+                else:
+                    if not path:
+                        break
+                    path.pop()
+                    nth[to[path[-1]] if path else s] += 1
 
 
 @dataclass
@@ -96,7 +124,8 @@ def mix_sources(df: DataFrame, targets: DataFrame, id_col: str, members_col: str
         raise ValueError(f"more than {MOST_PATTERNS} membership patterns")
     patterns = sorted((tuple(r["_pattern"]), r.tokens, r.n) for r in sums)
     whole = sum(t for _, t, _ in patterns) if total is None else total
-    quota = {s: round(w * whole) for s, (w, _) in listed.items()}
+    sum_w = sum(w for w, _ in listed.values())
+    quota = {s: round(w / sum_w * whole) if sum_w else 0 for s, (w, _) in listed.items()}
 
     node = {s: 2 + i for i, s in enumerate(listed)}
     arcs, routes = [], []

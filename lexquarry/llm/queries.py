@@ -84,6 +84,15 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir).shares
 
 
+def p8_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of distinct texts, each of which belongs to all listed sources that have it."""
+    targets = _t(spark, sf_dir, "mix_targets")
+    docs = _t(spark, sf_dir, "documents").withColumn("same", F.md5("text"))
+    listed = encoding.token_counts(docs, ["doc_id", "source", "same"]).join(targets.select("source").distinct(), "source", "left_semi")
+    texts = listed.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.max("size").alias("size"), F.collect_set("source").alias("members"))
+    return mixing.mix_sources(texts, targets, "doc_id", "members", "size").documents
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of documents whose texts display alike although their characters differ."""
     pairs = confusables.display_alike(_t(spark, sf_dir, "documents"))
@@ -107,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_ids": p7_ids,
     "p8_mix": p8_mix,
     "p8_shares": p8_shares,
+    "p8_overlap": p8_overlap,
     "p9_found": p9_found,
     "p9_forms": p9_forms,
 }

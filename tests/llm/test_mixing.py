@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import time
 
 from lexquarry.llm.mixing import min_cost_flow, mix_sources
 
@@ -26,6 +27,31 @@ def test_flow_is_largest_and_cheapest():
         assert (-sum(x for x, (_, b, *_) in zip(flow, arcs) if b == 3), sum(x * w for x, (*_, w) in zip(flow, arcs))) == best
 
 
+def test_flow_of_very_many_patterns_ends():
+    rng = random.Random(5)
+    patterns, sources = 20_000, 15
+    arcs = []
+    for p in range(patterns):
+        node, size = 2 + sources + p, rng.randint(1, 9999)
+        arcs += [(0, node, size, k) for k in range(4)]
+        arcs += [(node, 2 + s, 2 * size, 0) for s in rng.sample(range(sources), rng.randint(1, 4))]
+    arcs += [(2 + s, 1, rng.randint(1, 60_000_000), 0) for s in range(sources)]
+    began = time.perf_counter()
+    flow = min_cost_flow(2 + sources + patterns, arcs, 0, 1)
+    assert time.perf_counter() - began < 60
+    net = [0] * (2 + sources + patterns)
+    for (a, b, c, _), x in zip(arcs, flow):
+        assert 0 <= x <= c
+        net[a] -= x
+        net[b] += x
+    assert not any(net[2:]) and net[1] == -net[0] > 0
+
+
+def test_weights_are_shares_of_their_sum(spark):
+    _, shares = run(spark, [(i, ["a"], 10) for i in range(30)] + [(100 + i, ["b"], 10) for i in range(30)], [("a", 6.0, 1), ("b", 2.0, 1)], total=400)
+    assert (shares["a"].target_tokens, shares["b"].target_tokens) == (300, 100)
+
+
 def run(spark, docs, targets, total=None):
     df = spark.createDataFrame([(i, m, s, 1, "c") for i, m, s in docs], DOCS)
     got = mix_sources(df, spark.createDataFrame(targets, TARGETS), "doc_id", "members", "size", total)
