@@ -54,6 +54,34 @@ def friendly_name(c: Column | str) -> Column:
     return F.coalesce(F.nullif(s, F.lit("")), F.lit("Document"))
 
 
+def act_name(doc: Column | str, aliases: Column | None = None) -> Column:
+    """The key of the act that a file holds: what ``aliases``, a map from file names to names, says, else the file's stem; null for none."""
+    stem = F.nullif(file_stem(doc), F.lit(""))
+    return stem if aliases is None else F.coalesce(F.nullif(F.try_element_at(aliases, col(doc)), F.lit("")), stem)
+
+
+# What is taken off a file's name, in this order, to leave its title in plain words.
+PLAIN_STEPS = (
+    (r"\.(?:pdf|docx?|txt)$", ""), (r"_", " "), (r"\(\d+\)\s*(?:updated)?|[\[(]?\b\d{6,}\b[\])]?", " "), (r"\bno\.?\s+[ivxlc\d]+\b", " "), (r"[^a-z0-9]+", " "),
+    (r"\b(?:copy of|the|of|final|updated|ocr|amd|new|scan|scanned|draft)\b", " "), (r" +", " "),
+)
+
+
+def plain_title(c: Column | str) -> Column:
+    """A title or file name in plain lower-case words, without what typists add to file names."""
+    return F.trim(reduce(lambda s, step: F.regexp_replace(s, *step), PLAIN_STEPS, F.lower(col(c))))
+
+
+# The section that an amending text names, and as the title of a rule names it.
+AMENDED_SECTION = r"(?i)Amendment of section\s+([\dA-Za-z\-]+)"
+
+
+def amended_section(text: Column | str, meta: Column | str) -> Column:
+    """The section that an amending chunk amends: what its metadata says, else its text."""
+    said = F.nullif(F.element_at(col(meta), "amends_section"), F.lit(""))
+    return F.coalesce(said, F.nullif(F.regexp_extract(col(text), AMENDED_SECTION, 1), F.lit("")))
+
+
 def file_stem(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(col(c), r"\.[^.]*$", ""))
 
@@ -86,10 +114,16 @@ def _score(parts: list[tuple[Column, int]]) -> Column:
     return reduce(Column.__add__, [F.when(F.coalesce(p, F.lit(False)), n).otherwise(0) for p, n in parts])
 
 
+# Signs of a gazette notification.
+GAZETTE_NO = r"(?i)S\.?\s*R\.?\s*O\.?\s*\d"
+NOTIFICATION, GAZETTE, EXTRAORDINARY = r"(?i)\bNOTIFICATION\b", r"(?i)\bGAZETTE\b", r"(?i)EXTRAORDINARY"
+ISSUED_AT = r"(?i)ISLAMABAD,? the \d"
+
+
 def gazette_score(c: Column | str) -> Column:
     """Signs of a gazette notification in the first 2000 characters."""
     head = F.left(col(c), F.lit(2000))
-    return _score([(head.rlike(r"(?i)S\.R\.O\.?\s*\d"), 2), (head.rlike("(?i)NOTIFICATION"), 1), (head.rlike("(?i)GAZETTE") & head.rlike("(?i)EXTRAORDINARY"), 1), (head.rlike(r"(?i)ISLAMABAD,?\s+the\s+\d"), 1)])
+    return _score([(head.rlike(GAZETTE_NO), 2), (head.rlike(NOTIFICATION), 1), (head.rlike(GAZETTE) & head.rlike(EXTRAORDINARY), 1), (head.rlike(ISSUED_AT), 1)])
 
 
 # Court mastheads and the signs of a judgment.
@@ -113,7 +147,7 @@ def judgment_score(c: Column | str) -> Column:
 PART_LINE = r"(?im)^\s*PART\s+[IVXLC\d]+\s*$"
 CHAPTER_LINE = r"(?im)^\s*CHAPTER\s+[IVXLC\d]+(?:-?[A-Z])?\s*$"
 HEADING_LINE = r"(?m)^\s*\d{1,3}[A-Z]?\.\s+[A-Z][^\n]{2,90}\s*$"
-AMENDS = r"(?i)Amendment of (?:section|sub-section)|to amend the [^\n]*act"
+AMENDS = r"(?i)Amendment of (?:section|sub-section)|to amend the [^\n]+ act"
 RULES_CALLED = r"(?is)these\s+(?:rules|regulations)\b.{0,40}?(?:may|shall)\s+be\s+called"
 
 
@@ -148,39 +182,43 @@ def lenient_int(c: Column | str) -> Column:
 
 # Courts and case numbers in a case header.
 COURT_WORDS = r"(?i)high court|district court|sessions? court|family court|supreme court|federal shariat court|civil court|trial court|banking court|special court|judicial magistrate|additional session|competent court"
-CASE_NO_WORDS = r"(?i)no\.?\s*[:.]?\s*\d|\b(?:19|20)\d\d\b|misc\.?|crl\.?|bail\s+application|writ\s+petition|petition|criminal\s+bail|revision|appeal|complaint|fir\b|cr\.\s*misc"
+CASE_NO_WORDS = r"(?i)no\.?\s*[:.]?\s*\d|\b(?:19|20)\d\d\b|misc\.?|crl\.?|bail\s+application|writ\s+petition|petition|criminal\s+bail|revision|appeal|complaint|fir\b|cr\.\s*misc|criminal\s+revision"
 
 
 def case_header(c: Column | str) -> Column:
-    """``struct<court, case_no, parties>`` of ``[Case: ...]``; its segments are told apart by their look."""
+    """``struct<court, case_no, parties>`` of ``[Case: ...]``; its segments are told apart by their look.
+
+    The first segment that looks like a court is the court, the first that looks like a
+    case number the number; all others, further courts and numbers too, are parties.
+    """
     inside = F.regexp_extract(col(c), r"\[Case:\s*(.*?)\]", 1)
     parts = F.filter(F.transform(F.split(inside, r"\|"), lambda x: F.trim(x)), lambda x: x != "")
-    is_court = lambda x: x.rlike(COURT_WORDS) & ~x.rlike(CASE_NO_WORDS)
     is_no = lambda x: x.rlike(CASE_NO_WORDS)
+    is_court = lambda x: x.rlike(COURT_WORDS) & ~is_no(x)
     single = F.size(parts) == 1
-    court = F.get(F.filter(parts, is_court), F.lit(0))
-    number = F.get(F.filter(parts, is_no), F.lit(0))
-    rest = F.array_join(F.filter(parts, lambda x: ~is_court(x) & ~is_no(x)), " | ")
+    first = lambda test: F.coalesce(F.array_position(F.transform(parts, test), F.lit(True)), F.lit(0))
+    court, number = first(is_court), first(is_no)
+    rest = F.array_join(F.filter(parts, lambda x, i: (i + 1 != court) & (i + 1 != number)), " | ")
     return F.struct(
-        F.when(~single, court).alias("court"),
-        F.when(single, F.get(parts, F.lit(0))).otherwise(number).alias("case_no"),
+        F.when(~single & (court > 0), F.get(parts, court - 1)).alias("court"),
+        F.when(single, F.get(parts, F.lit(0))).when(number > 0, F.get(parts, number - 1)).alias("case_no"),
         F.when(~single, F.nullif(rest, F.lit(""))).alias("parties"),
     )
 
 
 def split_parties(c: Column | str) -> Column:
-    """The parties on both sides of versus, without a trailing "etc." or "& others"."""
+    """The parties on both sides of versus, without a trailing "etc." or "& others" and without marks at their ends."""
     sides = F.split(col(c), r"(?i)\s+(?:vs|v)\.?\s+|\s+versus\s+")
-    return F.filter(F.transform(sides, lambda x: F.trim(F.regexp_replace(x, r"(?i),?\s*(?:etc\.?|&?\s*others)\s*$", ""))), lambda x: x != "")
+    cleaned = F.transform(sides, lambda x: F.regexp_replace(F.regexp_replace(x, r"(?i),?\s*(?:etc\.?|&?\s*others)\s*$", ""), r"^[ ,;:]+|[ ,;:]+$", ""))
+    return F.filter(cleaned, lambda x: x != "")
 
 
 def case_context(parties: Column, court: Column, numbers: Column, para: Column) -> Column:
-    """``[Case: parties | court | numbers] [Para n]`` with at most three numbers and 250 characters."""
-    listed = F.nullif(F.array_join(F.slice(F.coalesce(numbers, F.array().cast("array<string>")), 1, 3), ", "), F.lit(""))
+    """``[Case: parties | court | numbers] [Para n]`` with at most three numbers and 250 characters; empty if nothing is known."""
+    listed = F.nullif(F.array_join(F.slice(F.coalesce(numbers, F.array().cast("array<string>")), 1, 3), "; "), F.lit(""))
     inner = F.concat_ws(" | ", F.nullif(parties, F.lit("")), F.nullif(court, F.lit("")), listed)
-    head = F.when(inner != "", F.concat(F.lit("[Case: "), inner, F.lit("]")))
-    tail = F.when(para.isNotNull(), F.concat(F.lit("[Para "), para.cast("string"), F.lit("]")))
-    return F.left(F.concat_ws(" ", head, tail), F.lit(250))
+    para = F.concat(F.lit(" [Para "), F.nullif(para.cast("string"), F.lit("")), F.lit("]"))
+    return F.when(inner == "", "").otherwise(F.left(F.concat(F.lit("[Case: "), inner, F.lit("]"), F.coalesce(para, F.lit(""))), F.lit(250)))
 
 
 #: The DNS name space of RFC 4122, as bytes.

@@ -33,50 +33,76 @@ SOURCES = {
 }
 
 
+#: Most canonical names of acts: they are collected or sent to every executor.
+MOST_ACTS = 20_000
+
+
 def _props(**cols: Column) -> Column:
     """A map of the properties that are neither null nor empty."""
     m = F.create_map(*(x for k, v in cols.items() for x in (F.lit(k), v.cast("string"))))
     return F.map_filter(m, lambda _, v: v.isNotNull() & (v != ""))
 
 
-def _node(df: DataFrame, label: str, key: list[Column], props: Column, source: Column, chunk: Column, order: Column) -> DataFrame:
-    full = reduce(Column.__and__, [k.isNotNull() & (k != "") for k in key])
-    return df.where(full).select(F.lit(label).alias("label"), F.array(*key).alias("key"), props.alias("props"), F.lit("0").alias("tier"), source.alias("source_file"), chunk.alias("chunk_id"), order.alias("ord"))
+def _key(*parts: Column) -> Column:
+    """An array of the parts, null if one is null or empty."""
+    return F.when(reduce(Column.__and__, [F.coalesce(p != "", F.lit(False)) for p in parts]), F.array(*parts))
 
 
-def _edge(df: DataFrame, kind: str, a: tuple[str, list[Column]], b: tuple[str, list[Column]], source: str, chunk: Column, tier: str = "0") -> DataFrame:
-    full = reduce(Column.__and__, [k.isNotNull() & (k != "") for k in (*a[1], *b[1])])
-    return df.where(full).select(
-        F.lit(kind).alias("type"), F.lit(a[0]).alias("from_label"), F.array(*a[1]).alias("from_key"), F.lit(b[0]).alias("to_label"), F.array(*b[1]).alias("to_key"),
-        F.lit(tier).alias("tier"), F.lit(SOURCES[source]).alias("source"), chunk.alias("chunk_id"),
-    )
+def _node(label: str, key: Column, props: Column) -> Column:
+    return F.when(key.isNotNull(), F.struct(F.lit(label).alias("label"), key.alias("key"), props.alias("props")))
+
+
+def _nodes(rows: DataFrame, nodes: list[Column]) -> DataFrame:
+    """Node rows of every row, in one pass; nodes without a whole key are left out."""
+    each = rows.select(F.explode(F.array_compact(F.array(*nodes))).alias("n"), F.lit("0").alias("tier"), F.col("doc").alias("source_file"), "chunk_id", "ord")
+    return each.select("n.label", "n.key", "n.props", "tier", "source_file", "chunk_id", "ord")
+
+
+def _edge(kind: str, a: tuple[str, Column], b: tuple[str, Column], source: str) -> Column:
+    ends = F.struct(F.lit(kind).alias("type"), F.lit(a[0]).alias("from_label"), a[1].alias("from_key"), F.lit(b[0]).alias("to_label"), b[1].alias("to_key"), F.lit(SOURCES[source]).alias("source"))
+    return F.when(a[1].isNotNull() & b[1].isNotNull(), ends)
+
+
+def _edges(rows: DataFrame, edges: list[Column], tier: str = "0") -> DataFrame:
+    """Edge rows of every row, in one pass; edges of which an end has no whole key are left out."""
+    each = rows.select(F.explode(F.array_compact(F.array(*edges))).alias("e"), F.lit(tier).alias("tier"), "chunk_id")
+    return each.select("e.type", "e.from_label", "e.from_key", "e.to_label", "e.to_key", "tier", "e.source", "chunk_id")
 
 
 def merge_nodes(rows: DataFrame) -> DataFrame:
-    """One row per label and key: of each property the first value by ``ord``, of tier and source the first row's, the chunk ids united.
+    """One row per label and key: of each property the first value by ``ord``, of tier and source the first row's, and how many chunks name it.
 
     Properties are merged one by one with partial aggregates, so a node that a third
-    of all rows mention is reduced in the map tasks.
+    of all rows mention is reduced in the map tasks.  The chunks themselves are the
+    relation ``mentions``: as an array the chunks of a hot node would be one value.
     """
     key = ["label", "key"]
     rows = cut(rows)  # read three times
     heads = rows.groupBy(*key).agg(F.min_by(F.struct("tier", "source_file"), F.col("ord")).alias("h"))
     props = rows.select(*key, "ord", F.explode("props").alias("k", "v")).groupBy(*key, "k").agg(F.min_by("v", "ord").alias("v"))
     props = props.groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("props"))
-    ids = rows.where("chunk_id is not null").select(*key, "chunk_id").distinct().groupBy(*key).agg(F.array_sort(F.collect_list("chunk_id")).alias("chunk_ids"))
-    nodes = heads.join(props, key, "left").join(ids, key, "left")
-    return nodes.select(
-        X.node_id(F.col("label"), F.col("key")).alias("id"), "label", "key", F.coalesce("props", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))).alias("props"),
-        "h.tier", "h.source_file", F.coalesce("chunk_ids", F.array().cast("array<string>")).alias("chunk_ids"),
-    )
+    counts = rows.where("chunk_id is not null").groupBy(*key, "chunk_id").agg(F.lit(1).alias("one")).groupBy(*key).agg(F.count("*").alias("n_chunks"))
+    nodes = heads.join(props, key, "left").join(counts, key, "left")
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    return nodes.select(X.node_id(F.col("label"), F.col("key")).alias("id"), "label", "key", F.coalesce("props", none).alias("props"), "h.tier", "h.source_file", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"))
+
+
+def mentions(rows: DataFrame) -> DataFrame:
+    """``(id, chunk_id)``: the chunks that name each node of node rows."""
+    return rows.where("chunk_id is not null").select(X.node_id(F.col("label"), F.col("key")).alias("id"), "chunk_id").distinct()
+
+
+def chunk_ids(of: DataFrame, related: DataFrame) -> DataFrame:
+    """``(id, chunk_ids)`` of the nodes ``of (id)``, a question's few, as sorted arrays."""
+    return related.join(of.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.array_sort(F.collect_set("chunk_id")).alias("chunk_ids"))
 
 
 def merge_edges(rows: DataFrame) -> DataFrame:
-    """One row per type, ends and source, the chunk ids united."""
+    """One row per type, ends and source, with the number of chunks that give it."""
     key = ["type", "from_label", "from_key", "to_label", "to_key", "source"]
-    ids = rows.groupBy(*key, "chunk_id").agg(F.min("tier").alias("tier"))
-    return ids.groupBy(*key).agg(F.min("tier").alias("tier"), F.array_sort(F.collect_list("chunk_id")).alias("chunk_ids")).select(
-        "type", "from_label", X.node_id(F.col("from_label"), F.col("from_key")).alias("from_id"), "from_key", "to_label", X.node_id(F.col("to_label"), F.col("to_key")).alias("to_id"), "to_key", "tier", "source", "chunk_ids"
+    each = rows.groupBy(*key, "chunk_id").agg(F.min("tier").alias("tier"))
+    return each.groupBy(*key).agg(F.min("tier").alias("tier"), F.count("chunk_id").alias("n_chunks")).select(
+        "type", "from_label", X.node_id(F.col("from_label"), F.col("from_key")).alias("from_id"), "from_key", "to_label", X.node_id(F.col("to_label"), F.col("to_key")).alias("to_id"), "to_key", "tier", "source", "n_chunks"
     )
 
 
@@ -86,58 +112,107 @@ def first_deliveries(chunks: DataFrame) -> DataFrame:
     return chunks.where("chunk_id is not null").withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
+def with_act(chunks: DataFrame, catalog: DataFrame | None = None, name_col: str = "act_name") -> DataFrame:
+    """``chunks`` with ``act``, the one key under which a file's act is known in the whole graph.
+
+    It is the canonical name in ``catalog`` that the file's name says, both brought to
+    plain words, else the file's stem.  The catalogue is broadcast; its size is checked.
+    """
+    if catalog is None:
+        return chunks.withColumn("act", X.act_name("doc"))
+    names = catalog.where(F.col(name_col) != "").groupBy(X.plain_title(name_col).alias("_plain")).agg(F.min(name_col).alias("_canonical"))
+    if names.count() > MOST_ACTS:
+        raise ValueError(f"more than {MOST_ACTS} canonical names")
+    rows = chunks.withColumn("_plain", X.plain_title("doc")).join(F.broadcast(names), "_plain", "left")
+    return rows.withColumn("act", F.coalesce("_canonical", X.act_name("doc"))).drop("_plain", "_canonical")
+
+
+def act_aliases(catalog: DataFrame, name_col: str = "act_name") -> dict[str, str]:
+    """Canonical names by their lower case, as they are looked for in texts."""
+    names = [r[0] for r in catalog.where(F.col(name_col) != "").select(name_col).distinct().orderBy(name_col).limit(MOST_ACTS + 1).collect()]
+    if len(names) > MOST_ACTS:
+        raise ValueError(f"more than {MOST_ACTS} canonical names")
+    return {n.lower(): n for n in names}
+
+
 def is_section() -> Column:
-    return (F.col("level") == "section") & F.lower("doc_type").isin(*STATUTES) & (F.col("section_no") != "")
+    return F.coalesce((F.col("level") == "section") & F.lower("doc_type").isin(*STATUTES) & (F.col("section_no") != ""), F.lit(False))
+
+
+def is_judgment() -> Column:
+    return F.lower("doc_type").isin("judgement", "judgment")
+
+
+def _chunk_node(collection: str) -> Column:
+    c = F.col
+    return _node("Chunk", _key(c("chunk_id")), _props(chunk_id=c("chunk_id"), doc=c("doc"), level=c("level"), section_no=c("section_no"), parent_id=c("parent_id"), collection=F.lit(collection)))
+
+
+def _parents(rows: DataFrame) -> DataFrame:
+    """Rows with a parent; ``_ok`` if it came before."""
+    up = rows.select(F.col("chunk_id").alias("parent_id"), F.col("ord").alias("_pord"))
+    return rows.where("parent_id <> ''").join(up, "parent_id", "left").withColumn("_ok", F.coalesce(F.col("_pord") < F.col("ord"), F.lit(False)))
+
+
+def _parent_edges(up: DataFrame) -> DataFrame:
+    return _edges(up.where("_ok"), [_edge("PARENT_OF", ("Chunk", _key(F.col("parent_id"))), ("Chunk", _key(F.col("chunk_id"))), "parent")])
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
 
 def statute_graph(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Node rows, edge rows and reasons of the statutes' hierarchy; ``chunks`` has one row per id."""
-    act = X.file_stem("doc")
-    laws = chunks.where(F.lower("doc_type").isin(*STATUTES)).withColumn("act", act)
-    named = laws.where("act <> ''")
+    """Node rows, edge rows and reasons of the statutes' hierarchy; ``chunks`` has one row per id and its ``act`` (``with_act``)."""
     c = F.col
-    sections = named.where(is_section())
-    nodes = [
-        _node(named, "Act", [c("act")], _props(name=c("act"), doc=c("doc"), doc_type=F.lower("doc_type")), c("doc"), c("chunk_id"), c("ord")),
-        _node(named, "Chunk", [c("chunk_id")], _props(chunk_id=c("chunk_id"), doc=c("doc"), level=c("level"), section_no=c("section_no"), parent_id=c("parent_id")), c("doc"), c("chunk_id"), c("ord")),
-        _node(sections, "Section", [c("act"), c("section_no")], _props(act=c("act"), section_no=c("section_no"), title=c("section_title"), chunk_id=c("chunk_id")), c("doc"), c("chunk_id"), c("ord")),
-        _node(sections, "Part", [c("act"), c("part")], _props(act=c("act"), name=c("part")), c("doc"), c("chunk_id"), c("ord")),
-        _node(sections, "Chapter", [c("act"), c("chapter")], _props(act=c("act"), name=c("chapter")), c("doc"), c("chunk_id"), c("ord")),
-    ]
-    sec, part, chap = ("Section", [c("act"), c("section_no")]), ("Part", [c("act"), c("part")]), ("Chapter", [c("act"), c("chapter")])
-    one = ("Act", [c("act")])
+    laws = chunks.where(F.lower("doc_type").isin(*STATUTES))
+    named = laws.where("act <> ''")
+    within = F.when(is_section(), c("act"))  # null outside sections, so that no key is whole
+    act, section, part, chapter = _key(c("act")), _key(within, c("section_no")), _key(within, c("part")), _key(within, c("chapter"))
+    text = {"text": c("text")} if "text" in chunks.columns else {}
+    nodes = _nodes(named, [
+        _node("Act", act, _props(name=c("act"), doc=c("doc"), doc_type=F.lower("doc_type"))), _chunk_node("statutes"),
+        _node("Section", section, _props(act=c("act"), section_no=c("section_no"), title=c("section_title"), chunk_id=c("chunk_id"), **text)),
+        _node("Part", part, _props(act=c("act"), name=c("part"))), _node("Chapter", chapter, _props(act=c("act"), name=c("chapter"))),
+    ])
+    one, sec, chunk = ("Act", act), ("Section", section), ("Chunk", _key(c("chunk_id")))
+    edges = _edges(named, [
+        _edge("CONTAINS", one, sec, "act_section"), _edge("BELONGS_TO", chunk, sec, "number"), _edge("CONTAINS", one, ("Part", part), "act_part"), _edge("CONTAINS", ("Part", part), sec, "part_section"),
+        _edge("CONTAINS", one, ("Chapter", chapter), "act_chapter"), _edge("CONTAINS", ("Chapter", chapter), sec, "chapter_section"),
+    ])
     # a later chunk belongs to a section that was seen before it
-    first = sections.groupBy("act", "section_no").agg(F.min("ord").alias("_first"))
-    others = named.where(~F.coalesce(is_section(), F.lit(False)) & (c("section_no") != "")).join(first, ["act", "section_no"], "left").withColumn("_ok", F.coalesce(c("_first") < c("ord"), F.lit(False)))
-    up = named.where("parent_id <> ''").join(named.select(c("chunk_id").alias("parent_id"), c("ord").alias("_pord")), "parent_id", "left").withColumn("_ok", F.coalesce(c("_pord") < c("ord"), F.lit(False)))
-    edges = [
-        _edge(sections, "CONTAINS", one, sec, "act_section", c("chunk_id")),
-        _edge(sections, "CONTAINS", one, part, "act_part", c("chunk_id")),
-        _edge(sections, "CONTAINS", part, sec, "part_section", c("chunk_id")),
-        _edge(sections, "CONTAINS", one, chap, "act_chapter", c("chunk_id")),
-        _edge(sections, "CONTAINS", chap, sec, "chapter_section", c("chunk_id")),
-        _edge(sections, "BELONGS_TO", ("Chunk", [c("chunk_id")]), sec, "number", c("chunk_id")),
-        _edge(others.where("_ok"), "BELONGS_TO", ("Chunk", [c("chunk_id")]), sec, "number", c("chunk_id")),
-        _edge(up.where("_ok"), "PARENT_OF", ("Chunk", [c("parent_id")]), ("Chunk", [c("chunk_id")]), "parent", c("chunk_id")),
-    ]
+    first = first_sections(named)
+    others = named.where(~is_section() & (c("section_no") != "")).join(first, ["act", "section_no"], "left").withColumn("_ok", F.coalesce(c("_first") < c("ord"), F.lit(False)))
+    more = _edges(others.where("_ok"), [_edge("BELONGS_TO", chunk, ("Section", _key(c("act"), c("section_no"))), "number")])
+    up = _parents(named)
     reasons = [
         laws.where("act is null or act = ''").select(F.lit("no_act_name").alias("reason"), "ord"),
         others.where("not _ok").select(F.lit("belongs_to_no_section_node").alias("reason"), "ord"),
         up.where("not _ok").select(F.lit("parent_not_in_graph").alias("reason"), "ord"),
     ]
-    union = lambda parts: reduce(DataFrame.unionByName, parts)
-    return union(nodes), union(edges), union(reasons)
+    return nodes, _union([edges, more, _parent_edges(up)]), _union(reasons)
 
 
-def amendments(chunks: DataFrame, sections: DataFrame, acts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``AMENDED_BY`` edges and reasons: ``chunks`` of amending acts with the amended act in ``acts (doc, amended_act)``."""
-    said = F.coalesce(F.nullif(F.element_at("meta", "amends_section"), F.lit("")), F.nullif(F.regexp_extract("text", r"(?i)Amendment of (?:section|sub-section)\s+([\dA-Za-z\-]+)", 1), F.lit("")))
-    rows = chunks.where(F.lower("doc_type") == "amendment").select("ord", "chunk_id", "doc", X.file_stem("doc").alias("by"), said.alias("section_no")).join(acts, "doc", "left")
-    rows = rows.join(sections.select(F.col("act").alias("amended_act"), "section_no", F.lit(True).alias("_there")), ["amended_act", "section_no"], "left")
-    reason = F.when(F.col("section_no").isNull(), "amendment_no_section").when(F.col("amended_act").isNull(), "amendment_no_act").when(F.col("_there").isNull(), "amendment_section_not_in_graph")
-    rows = rows.withColumn("reason", reason)
+def first_sections(chunks: DataFrame) -> DataFrame:
+    """``(act, section_no, _first)``: the sections of the graph and where each is first seen."""
+    return chunks.where(is_section() & (F.col("act") != "")).groupBy("act", "section_no").agg(F.min("ord").alias("_first"))
+
+
+def amendments(chunks: DataFrame, aliases: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """``AMENDED_BY`` edges and reasons; ``chunks`` has its ``act`` and text.
+
+    The amended section is named by the chunk's metadata, else by its text; the
+    amended act is the longest of ``aliases`` in the text.  The section must have been
+    seen before.
+    """
     c = F.col
-    return _edge(rows.where("reason is null"), "AMENDED_BY", ("Section", [c("amended_act"), c("section_no")]), ("Act", [c("by")]), "amendment", c("chunk_id")), rows.where("reason is not null").select("reason", "ord")
+    rows = chunks.where((F.lower("doc_type") == "amendment") & (c("act") != "")).select("ord", "chunk_id", "doc", "act", X.amended_section("text", "meta").alias("said"), alias_ladder(c("text"), aliases).alias("amended"))
+    there = first_sections(chunks).select(c("act").alias("amended"), c("section_no").alias("said"), "_first")
+    rows = rows.join(there, ["amended", "said"], "left")
+    reason = F.when(c("said").isNull(), "amendment_no_section").when(c("amended").isNull(), "amendment_no_act").when(~F.coalesce(c("_first") < c("ord"), F.lit(False)), "amendment_section_not_in_graph")
+    rows = rows.withColumn("reason", reason)
+    edge = _edge("AMENDED_BY", ("Section", _key(c("amended"), c("said"))), ("Act", _key(c("act"))), "amendment")
+    return _edges(rows.where("reason is null"), [edge]), rows.where("reason is not null").select("reason", "ord")
 
 
 def judgment_graph(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -145,29 +220,37 @@ def judgment_graph(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
     A document's header is that of its preamble, else of its first chunk; without a
     case number the file's stem stands in.  Documents of one case number are one
-    judgment; the last disposition by ``ord`` is its outcome.
+    judgment; the last disposition by ``ord`` is its outcome.  Courts, parties and
+    judgments named by the file are named by all chunks of the document; the edges by
+    its first.
     """
     c = F.col
-    rows = chunks.where(F.lower("doc_type").isin("judgement", "judgment")).withColumn("context", F.coalesce(F.element_at("meta", "context"), F.lit("")))
-    first = rows.groupBy("doc").agg(F.min_by(F.struct("context", "chunk_id", "ord"), F.struct(F.when(c("level") == "preamble", 0).otherwise(1), c("ord"))).alias("h"), F.max_by(F.element_at("meta", "disposition"), F.when(F.element_at("meta", "disposition").isNotNull(), c("ord"))).alias("outcome"))
-    head = first.select("doc", "h.chunk_id", "h.ord", "outcome", X.case_header(c("h.context")).alias("x")).select("doc", "chunk_id", "ord", "outcome", "x.court", "x.parties", F.coalesce("x.case_no", X.file_stem("doc")).alias("case_no"))
-    outcome = head.groupBy("case_no").agg(F.max_by("outcome", F.when(c("outcome").isNotNull(), c("ord"))).alias("last"))
-    head = head.join(outcome, "case_no")
-    parties = head.select("case_no", "doc", "chunk_id", "ord", F.explode(X.split_parties("parties")).alias("party"))
+    rows = chunks.where(is_judgment()).withColumn("context", F.coalesce(F.element_at("meta", "context"), F.lit("")))
+    said = F.element_at("meta", "disposition")
+    first = rows.groupBy("doc").agg(
+        F.min_by(F.struct("context", "chunk_id", "ord"), F.struct(F.when(c("level") == "preamble", 0).otherwise(1), c("ord"))).alias("h"), F.min_by("chunk_id", "ord").alias("first_chunk"),
+        F.max_by(said, F.when(said != "", c("ord"))).alias("outcome"), F.max(F.when(said != "", c("ord"))).alias("said_at"),
+    )
+    head = first.select("doc", "first_chunk", "h.chunk_id", "h.ord", "outcome", "said_at", X.case_header(c("h.context")).alias("x"))
+    head = head.select("doc", "first_chunk", "chunk_id", "ord", "outcome", "said_at", "x.court", "x.parties", c("x.case_no").alias("own_no"), F.coalesce("x.case_no", F.nullif(X.file_stem("doc"), F.lit(""))).alias("case_no"))
+    last = head.groupBy("case_no").agg(F.max_by("outcome", "said_at").alias("last"))
+    head = cut(head.join(last, "case_no").withColumn("party", X.split_parties("parties")))
+    judgment = ("Judgment", _key(c("case_no")))
+    case = _node("Judgment", judgment[1], _props(case_no=c("case_no"), doc=c("doc"), court=c("court"), parties=c("parties"), outcome=c("last")))
+    court = _node("Court", _key(c("court")), _props(name=c("court")))
+    spoken = rows.select("doc", "chunk_id", "ord").join(head.select("doc", "own_no", "case_no", "court", "parties", "last", "party"), "doc")
+    parties = spoken.select("doc", "chunk_id", "ord", F.explode("party").alias("name"))
     nodes = [
-        _node(head, "Judgment", [c("case_no")], _props(case_no=c("case_no"), doc=c("doc"), court=c("court"), parties=c("parties"), outcome=c("last")), c("doc"), c("chunk_id"), c("ord")),
-        _node(head, "Court", [c("court")], _props(name=c("court")), c("doc"), c("chunk_id"), c("ord")),
-        _node(parties, "Party", [c("party")], _props(name=c("party")), c("doc"), c("chunk_id"), c("ord")),
-        _node(rows, "Chunk", [c("chunk_id")], _props(chunk_id=c("chunk_id"), doc=c("doc"), level=c("level"), section_no=c("section_no"), parent_id=c("parent_id")), c("doc"), c("chunk_id"), c("ord")),
-    ]
-    up = rows.where("parent_id <> ''").join(rows.select(c("chunk_id").alias("parent_id"), c("ord").alias("_pord")), "parent_id", "left").withColumn("_ok", F.coalesce(c("_pord") < c("ord"), F.lit(False)))
+        _nodes(head.where("own_no is not null"), [case]), _nodes(spoken, [F.when(c("own_no").isNull(), case), court]),
+        _nodes(parties, [_node("Party", _key(c("name")), _props(name=c("name")))]), _nodes(rows, [_chunk_node("judgements")]),
+    ]
+    at_first = head.drop("chunk_id").withColumnRenamed("first_chunk", "chunk_id")
+    each = at_first.select("chunk_id", "case_no", F.explode("party").alias("name"))
+    up = _parents(rows)
     edges = [
-        _edge(head, "DECIDED_BY", ("Judgment", [c("case_no")]), ("Court", [c("court")]), "header", c("chunk_id")),
-        _edge(parties, "INVOLVES", ("Judgment", [c("case_no")]), ("Party", [c("party")]), "header", c("chunk_id")),
-        _edge(up.where("_ok"), "PARENT_OF", ("Chunk", [c("parent_id")]), ("Chunk", [c("chunk_id")]), "parent", c("chunk_id")),
-    ]
-    union = lambda parts: reduce(DataFrame.unionByName, parts)
-    return union(nodes), union(edges), up.where("not _ok").select(F.lit("judgment_parent_not_in_graph").alias("reason"), "ord")
+        _edges(at_first, [_edge("DECIDED_BY", judgment, ("Court", _key(c("court"))), "header")]), _edges(each, [_edge("INVOLVES", judgment, ("Party", _key(c("name"))), "header")]), _parent_edges(up),
+    ]
+    return _union(nodes), _union(edges), up.where("not _ok").select(F.lit("judgment_parent_not_in_graph").alias("reason"), "ord")
 
 
 # A reference to a section, and the numbers that continue it.
@@ -177,10 +260,10 @@ OF_ACT = r"(?i)\bof\s+(?:the\s+)?([A-Z][\w&'(),.\- ]{2,60})"
 
 
 def alias_ladder(said: Column, aliases: dict[str, str]) -> Column:
-    """The act whose longest alias is contained in ``said``; ``aliases`` is a dictionary of settings, from alias to act."""
+    """The act whose longest alias (the first of equals) is contained in ``said``; ``aliases`` is a dictionary of settings, from alias to act."""
     if not aliases:
         return F.lit(None).cast("string")
-    longest_first = sorted(aliases, key=len, reverse=True)
+    longest_first = sorted(aliases, key=lambda a: (-len(a), a))
     low = F.lower(said)
     found = F.get(F.filter(F.lit(longest_first), lambda a: F.contains(low, a)), F.lit(0))
     return F.element_at(F.map_from_arrays(F.lit(longest_first), F.lit([aliases[k] for k in longest_first])), found)
@@ -205,11 +288,67 @@ def reference_edges(refs: DataFrame, sections: DataFrame, acts: DataFrame) -> tu
     there = sections.select(c("act").alias("ref_act"), c("section_no").alias("ref_no"), F.lit(True).alias("_sec")).distinct()
     known = acts.select(c("act").alias("ref_act"), F.lit(True).alias("_act")).distinct()
     rows = refs.join(there, ["ref_act", "ref_no"], "left").join(known, "ref_act", "left")
-    to_act = c("_sec").isNull() & (c("ref_act") != c("act")) & c("_act").isNotNull()
-    a = ("Section", [c("act"), c("section_no")])
-    edges = _edge(rows.where("_sec"), "REFERENCES", a, ("Section", [c("ref_act"), c("ref_no")]), "reference", c("chunk_id"), "1").unionByName(_edge(rows.where(to_act), "REFERENCES", a, ("Act", [c("ref_act")]), "reference_act", c("chunk_id"), "1"))
+    a = ("Section", _key(c("act"), c("section_no")))
+    other = (c("ref_act") != c("act")) & c("_act").isNotNull()
+    to_section = _edge("REFERENCES", a, ("Section", _key(c("ref_act"), c("ref_no"))), "reference")
+    to_act = _edge("REFERENCES", a, ("Act", _key(c("ref_act"))), "reference_act")
+    edges = _edges(rows, [F.when(c("_sec"), to_section).when(other, to_act)], "1")
     reason = F.when(c("ref_act") != c("act"), "ref_act_not_in_graph").otherwise("ref_section_not_in_graph")
-    return edges, rows.where(c("_sec").isNull() & ~F.coalesce(to_act, F.lit(False))).select(reason.alias("reason"), "ord")
+    return edges, rows.where(c("_sec").isNull() & ~other).select(reason.alias("reason"), "ord")
+
+
+def corpus_graph(chunks: DataFrame, catalog: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Node rows, edge rows and reasons of a whole corpus: hierarchy, amendments and references of statutes, and judgments, under one key for each act."""
+    rows = cut(with_act(first_deliveries(chunks), catalog))
+    aliases = {} if catalog is None else act_aliases(catalog)
+    n1, e1, r1 = statute_graph(rows.drop("text"))
+    n2, e2, r2 = judgment_graph(rows.drop("text"))
+    e3, r3 = amendments(rows, aliases)
+    sections = rows.where(is_section() & (F.col("act") != ""))
+    laws = rows.where(F.lower("doc_type").isin(*STATUTES) & (F.col("act") != ""))
+    e4, r4 = reference_edges(references(sections, aliases), sections.select("act", "section_no"), laws.select("act").distinct())
+    return _union([n1, n2]), _union([e1, e2, e3, e4]), _union([r1, r2, r3, r4])
+
+
+def assemble(nodes: DataFrame, edges: DataFrame, drop_section_text: bool = False, allow_dangling: bool = False) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """Merged nodes and edges with their ids, ready to load, and what was counted.
+
+    An edge with an end that is no node is dangling: the assembly ends with an error
+    unless that is allowed, and then leaves it out.
+    """
+    if drop_section_text:
+        nodes = nodes.withColumn("props", F.when(F.col("label") == "Section", F.map_filter("props", lambda k, _: k != "text")).otherwise(F.col("props")))
+    nodes = nodes.withColumn("point_id", F.when(F.col("label") == "Chunk", F.col("id")))
+    kept = nodes.dropDuplicates(["id"])
+    lost = cut(dangling(kept, edges))
+    counts = nodes.agg(F.count("*").alias("nodes_in"), F.countDistinct("id").alias("nodes_out")).first().asDict()
+    counts |= {"edges_in": edges.count(), "dangling_edges": lost.count()}
+    counts["edges_out"] = counts["edges_in"] - counts["dangling_edges"]
+    if counts["dangling_edges"] and not allow_dangling:
+        some = [(r.type, r.from_id, r.to_id) for r in lost.limit(10).collect()]
+        raise ValueError(f"{counts['dangling_edges']} edges have an end that is no node, such as {some}")
+    ids = kept.select("id")
+    whole = edges.join(ids.withColumnRenamed("id", "from_id"), "from_id", "left_semi").join(ids.withColumnRenamed("id", "to_id"), "to_id", "left_semi").select(*edges.columns)
+    return kept, whole, counts
+
+
+def section_record(nodes: DataFrame, act: str, section_no: str) -> DataFrame:
+    """The one section node of an act and number, as evidence: no text, and the chunk that holds it."""
+    found = nodes.where((F.col("label") == "Section") & (F.col("key") == F.array(F.lit(act), F.lit(str(section_no))))).orderBy("id").limit(1)
+    return section_records(found)
+
+
+def section_records(nodes: DataFrame, via: DataFrame | None = None) -> DataFrame:
+    """``(id, act, section_no, title, chunk_id, text)`` of section nodes; where the node states no chunk, the one it was reached by, ``via (id, via_chunk)``, stands in."""
+    rows = nodes.where("label = 'Section'")
+    rows = rows.withColumn("via_chunk", F.lit(None).cast("string")) if via is None else rows.join(via.groupBy("id").agg(F.min("via_chunk").alias("via_chunk")), "id", "left")
+    prop = lambda k: F.element_at("props", k)
+    return rows.select("id", F.get("key", F.lit(0)).alias("act"), F.get("key", F.lit(1)).alias("section_no"), prop("title").alias("title"), F.coalesce(prop("chunk_id"), "via_chunk").alias("chunk_id"), F.lit(None).cast("string").alias("text"))
+
+
+def canonical_acts(nodes: DataFrame) -> DataFrame:
+    """The distinct names of acts."""
+    return nodes.where((F.col("label") == "Act") & (F.get("key", F.lit(0)) != "")).select(F.get("key", F.lit(0)).alias("act")).distinct()
 
 
 def dangling(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -96,7 +96,7 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def amendment_coverage(df: DataFrame) -> DataFrame:
     a = df.where(F.lower("doc_type") == "amendment")
-    return a.agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.element_at("meta", "amends_section"), F.lit("")) != "").alias("in_meta"), F.count_if(F.regexp_extract("text", r"(?i)Amendment of (?:section|sub-section)\s+([\dA-Za-z\-]+)", 1) != "").alias("in_text"))
+    return a.agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.element_at("meta", "amends_section"), F.lit("")) != "").alias("in_meta"), F.count_if(F.regexp_extract("text", X.AMENDED_SECTION, 1) != "").alias("in_text"))
 
 
 def header_coverage(df: DataFrame) -> DataFrame:

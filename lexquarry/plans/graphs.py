@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexquarry.functions import text as X
 from lexquarry.operators import graph as G
+from lexquarry.plans import texts
 from lexquarry.storage import cut
 
 
@@ -14,60 +15,67 @@ def _t(spark, sf_dir, name) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _extracted(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
-    chunks = cut(G.first_deliveries(_t(spark, sf_dir, "chunks")).drop("text"))
-    n1, e1, r1 = G.statute_graph(chunks)
-    n2, e2, r2 = G.judgment_graph(chunks)
-    return n1.unionByName(n2), e1.unionByName(e2), r1.unionByName(r2)
+def _graph(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return G.corpus_graph(_t(spark, sf_dir, "chunks"), _t(spark, sf_dir, "act_catalog"))
+
+
+CASES = ["Judgment", "Court", "Party"]
 
 
 def graph_nodes(spark, sf_dir):
-    """All nodes that chunks give, with their properties and chunks."""
-    nodes = G.merge_nodes(_extracted(spark, sf_dir)[0])
-    return nodes.where("label not in ('Judgment', 'Court', 'Party')").select("label", F.array_join("key", ":").alias("k"), F.element_at("props", "title").alias("title"), F.size("chunk_ids").alias("n_chunks"), "source_file")
+    """The nodes of the statutes and of chunks, with their titles and how many chunks name them."""
+    nodes = G.merge_nodes(_graph(spark, sf_dir)[0].where(~F.col("label").isin(CASES)))
+    return nodes.select("label", F.array_join("key", ":").alias("k"), F.element_at("props", "title").alias("title"), "n_chunks", "source_file")
 
 
 def judgment_nodes(spark, sf_dir):
     """Judgments, courts and parties that case headers give."""
-    nodes = G.merge_nodes(_extracted(spark, sf_dir)[0])
-    return nodes.where("label in ('Judgment', 'Court', 'Party')").select("id", "label", F.array_join("key", ":").alias("k"), F.element_at("props", "outcome").alias("outcome"), F.size("chunk_ids").alias("n_chunks"))
+    nodes = G.merge_nodes(_graph(spark, sf_dir)[0].where(F.col("label").isin(CASES)))
+    return nodes.select("label", F.array_join("key", ":").alias("k"), F.element_at("props", "outcome").alias("outcome"), "n_chunks")
+
+
+def _shown(edges: DataFrame) -> DataFrame:
+    return edges.select("type", F.array_join("from_key", ":").alias("a"), F.array_join("to_key", ":").alias("b"), "to_label", "source", "n_chunks")
 
 
 def graph_edges(spark, sf_dir):
-    """All edges that chunks give, with the chunks they come from."""
-    edges = G.merge_edges(_extracted(spark, sf_dir)[1])
-    return edges.select("type", F.array_join("from_key", ":").alias("a"), F.array_join("to_key", ":").alias("b"), "to_label", "source", F.size("chunk_ids").alias("n_chunks"))
+    """The edges of hierarchies and case headers, with how many chunks give them."""
+    return _shown(G.merge_edges(_graph(spark, sf_dir)[1].where("type not in ('REFERENCES', 'AMENDED_BY')")))
+
+
+def graph_references(spark, sf_dir):
+    """Every reference between sections, else from a section to an act."""
+    return _shown(G.merge_edges(_graph(spark, sf_dir)[1].where("type = 'REFERENCES'")))
+
+
+def graph_amendments(spark, sf_dir):
+    """Every amended section with the act that amends it."""
+    return _shown(G.merge_edges(_graph(spark, sf_dir)[1].where("type = 'AMENDED_BY'")))
 
 
 def graph_reasons(spark, sf_dir):
     """Why links were left out."""
-    return _extracted(spark, sf_dir)[2].groupBy("reason").agg(F.count("*").alias("n"))
+    return _graph(spark, sf_dir)[2].groupBy("reason").agg(F.count("*").alias("n"))
 
 
-def _sections(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    first = G.first_deliveries(_t(spark, sf_dir, "chunks"))
-    rows = first.where(G.is_section()).withColumn("act", X.title_from_filename("doc"))
-    return rows, rows.select("act", "section_no").distinct()
+def assembled_graph(spark, sf_dir):
+    """The whole graph with ids and checked ends, counted by label and type."""
+    nodes, edges, _ = _graph(spark, sf_dir)
+    nodes, edges, _ = G.assemble(cut(G.merge_nodes(nodes)), cut(G.merge_edges(edges)))
+    n = nodes.groupBy(F.col("label").alias("name")).agg(F.count("*").alias("n"), F.count("point_id").alias("n_points")).withColumn("kind", F.lit("node"))
+    e = edges.groupBy(F.col("type").alias("name")).agg(F.count("*").alias("n"), F.lit(0).cast("bigint").alias("n_points")).withColumn("kind", F.lit("edge"))
+    return n.unionByName(e)
 
 
-def graph_references(spark, sf_dir):
-    """References between sections, else to acts, with their reasons where neither is there."""
-    rows, keys = _sections(spark, sf_dir)
-    titles = _t(spark, sf_dir, "act_catalog").select("act_name").distinct().limit(5_000).collect()
-    aliases = {r.act_name.lower(): r.act_name for r in titles if r.act_name}
-    refs = G.references(rows, aliases)
-    edges, reasons = G.reference_edges(refs, keys, keys.select("act").distinct())
-    return edges.select(F.col("source").alias("kind")).unionByName(reasons.select(F.col("reason").alias("kind"))).groupBy("kind").agg(F.count("*").alias("n"))
+def section_records(spark, sf_dir):
+    """Section nodes as evidence, each once, with the smallest of the chunks that belong to it where the node states none."""
+    nodes = G.load_nodes(_t(spark, sf_dir, "nodes"))
+    via = _t(spark, sf_dir, "edges").where("type = 'BELONGS_TO'").select(F.col("to_id").alias("id"), F.col("from_id").alias("via_chunk"))
+    return G.section_records(nodes, via).select("id", "act", "section_no", "title", "chunk_id")
 
 
-def graph_amendments(spark, sf_dir):
-    """Amended sections of which the amended act is known by its title, and the reasons for others."""
-    first = G.first_deliveries(_t(spark, sf_dir, "chunks"))
-    _, keys = _sections(spark, sf_dir)
-    docs = first.where(F.lower("doc_type") == "amendment").select("doc").distinct()
-    acts = docs.select("doc", F.regexp_replace(X.title_from_filename("doc"), r"(?i)\s*\(amend\w*\)", "").alias("amended_act"))
-    edges, reasons = G.amendments(first, keys, acts)
-    return edges.select(F.lit("AMENDED_BY").alias("kind")).unionByName(reasons.select(F.col("reason").alias("kind"))).groupBy("kind").agg(F.count("*").alias("n"))
+def canonical_acts(spark, sf_dir):
+    return G.canonical_acts(_t(spark, sf_dir, "nodes"))
 
 
 def loaded_nodes(spark, sf_dir):
@@ -163,30 +171,53 @@ def key_resolvability(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (graph_nodes, judgment_nodes, graph_edges, graph_reasons, graph_references, graph_amendments, loaded_nodes, loaded_edges, dangling_edges, assembly_summary, verified_counts, repeated_keys, label_counts, bounded_bfs, bounded_bfs_each, chunk_sections, chunk_sections_each, citing_judgments, expanded_evidence, expanded_evidence_each, enrichment_coverage, key_resolvability)
+    for f in (graph_nodes, judgment_nodes, graph_edges, graph_reasons, graph_references, graph_amendments, assembled_graph, section_records, canonical_acts, loaded_nodes, loaded_edges, dangling_edges, assembly_summary, verified_counts, repeated_keys, label_counts, bounded_bfs, bounded_bfs_each, chunk_sections, chunk_sections_each, citing_judgments, expanded_evidence, expanded_evidence_each, enrichment_coverage, key_resolvability)
 }
 
-_STEM = r"trim(regexp_replace(doc, '\.[^.]*$', ''))"
+_STEM = r"nullif(trim(regexp_replace(doc, '\.[^.]*$', '')), '')"
 _LAW = "lower(doc_type) IN ('statute', 'rules', 'amendment', 'order')"
-_SEC = f"(level = 'section' AND {_LAW} AND section_no <> '')"
+_SEC = f"coalesce(level = 'section' AND {_LAW} AND section_no <> '', false)"
+
+
+def _plain(c: str) -> str:
+    s = f"lower({c})"
+    for pattern, new in X.PLAIN_STEPS:
+        s = f"regexp_replace({s}, '{pattern}', '{new}', 'g')"
+    return f"trim({s})"
+
+
+_OF_ACT = G.OF_ACT.replace("'", "''")
+_FIRST = "arg_min({0}, (CASE WHEN level = 'preamble' THEN 0 ELSE 1 END, ord))"
+_MORE = f"regexp_extract_all(left(tail, 80), '{G.CONTINUED}', 1)"
 _BASE = rf"""
     c AS (SELECT * FROM chunks WHERE chunk_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY ord) = 1),
-    law AS (SELECT *, {_STEM} AS act FROM c WHERE {_LAW}),
-    sec AS (SELECT * FROM law WHERE act <> '' AND coalesce({_SEC}, false)),
+    cat AS (SELECT {_plain("act_name")} AS plain, min(act_name) AS canonical FROM act_catalog WHERE act_name <> '' GROUP BY ALL),
+    law AS (SELECT c.*, coalesce(canonical, {_STEM}) AS act FROM c LEFT JOIN cat ON plain = {_plain("doc")} WHERE {_LAW}),
+    sec AS (SELECT * FROM law WHERE act <> '' AND {_SEC}),
     first_sec AS (SELECT act, section_no, min(ord) AS f FROM sec GROUP BY ALL),
-    oth AS (SELECT law.*, coalesce(f < ord, false) AS ok FROM law LEFT JOIN first_sec USING (act, section_no) WHERE act <> '' AND NOT coalesce({_SEC}, false) AND section_no <> ''),
+    oth AS (SELECT law.*, coalesce(f < ord, false) AS ok FROM law LEFT JOIN first_sec USING (act, section_no) WHERE act <> '' AND NOT {_SEC} AND section_no <> ''),
     up AS (SELECT l.*, coalesce(p.ord < l.ord, false) AS ok FROM law l LEFT JOIN law p ON p.chunk_id = l.parent_id AND p.act <> '' WHERE l.act <> '' AND l.parent_id <> ''),
     jud AS (SELECT *, coalesce(meta['context'], '') AS ctx FROM c WHERE lower(doc_type) IN ('judgement', 'judgment')),
     jup AS (SELECT l.*, coalesce(p.ord < l.ord, false) AS ok FROM jud l LEFT JOIN jud p ON p.chunk_id = l.parent_id WHERE l.parent_id <> ''),
-    jh AS (SELECT doc, arg_min(ctx, (CASE WHEN level = 'preamble' THEN 0 ELSE 1 END, ord)) AS ctx, arg_min(chunk_id, (CASE WHEN level = 'preamble' THEN 0 ELSE 1 END, ord)) AS chunk_id FROM jud GROUP BY doc),
-    jx AS (SELECT doc, chunk_id, list_filter(list_transform(string_split(regexp_extract(ctx, '\[Case:\s*(.*?)\]', 1), '|'), lambda x: trim(x)), lambda x: x <> '') AS s FROM jh),
-    j AS (SELECT doc, chunk_id, coalesce(CASE WHEN len(s) = 1 THEN s[1] ELSE list_filter(s, lambda x: regexp_matches(x, '{X.CASE_NO_WORDS}'))[1] END, {_STEM}) AS case_no,
-        CASE WHEN len(s) <> 1 THEN list_filter(s, lambda x: regexp_matches(x, '{X.COURT_WORDS}') AND NOT regexp_matches(x, '{X.CASE_NO_WORDS}'))[1] END AS court,
-        CASE WHEN len(s) <> 1 THEN nullif(array_to_string(list_filter(s, lambda x: NOT (regexp_matches(x, '{X.COURT_WORDS}') AND NOT regexp_matches(x, '{X.CASE_NO_WORDS}')) AND NOT regexp_matches(x, '{X.CASE_NO_WORDS}')), ' | '), '') END AS parties FROM jx),
-    pa AS (SELECT DISTINCT doc, chunk_id, case_no, unnest(list_filter(list_transform(regexp_split_to_array(parties, '(?i)\s+(?:vs|v)\.?\s+|\s+versus\s+'),
-        lambda x: trim(regexp_replace(x, '(?i),?\s*(?:etc\.?|&?\s*others)\s*$', ''))), lambda x: x <> '')) AS party FROM j)"""
-_EDGES = f"""
-    WITH {_BASE},
+    jh AS (SELECT doc, {_FIRST.format("ctx")} AS ctx, {_FIRST.format("chunk_id")} AS head_chunk, arg_min(chunk_id, ord) AS first_chunk,
+        arg_max(meta['disposition'], ord) FILTER (meta['disposition'] <> '') AS outcome, max(ord) FILTER (meta['disposition'] <> '') AS said_at FROM jud GROUP BY doc),
+    js AS (SELECT *, list_filter(list_transform(string_split(regexp_extract(ctx, '\[Case:\s*(.*?)\]', 1), '|'), lambda x: trim(x)), lambda x: x <> '') AS s FROM jh),
+    ja AS (SELECT *, {texts.HEADER_AT} FROM js),
+    jx AS (SELECT doc, head_chunk, first_chunk, outcome, said_at, {texts.HEADER} FROM ja),
+    j AS (SELECT * EXCLUDE (case_no), case_no AS own_no, coalesce(case_no, {_STEM}) AS case_no, {texts.SIDES.format("parties")} AS party FROM jx),
+    pa AS (SELECT doc, first_chunk, case_no, unnest(party) AS party FROM j),
+    al AS (SELECT DISTINCT act_name, lower(act_name) AS alias FROM act_catalog WHERE act_name <> ''),
+    am AS (SELECT ord, chunk_id, act, coalesce(nullif(meta['amends_section'], ''), nullif(regexp_extract(text, '{X.AMENDED_SECTION}', 1), '')) AS said,
+        (SELECT arg_min(act_name, (-length(alias), alias)) FROM al WHERE contains(lower(text), alias)) AS amended FROM law WHERE lower(doc_type) = 'amendment' AND act <> ''),
+    amd AS (SELECT am.*, CASE WHEN said IS NULL THEN 'amendment_no_section' WHEN amended IS NULL THEN 'amendment_no_act' WHEN NOT coalesce(f < ord, false) THEN 'amendment_section_not_in_graph' END AS reason
+        FROM am LEFT JOIN first_sec s ON s.act = amended AND s.section_no = said),
+    rp AS (SELECT ord, chunk_id, act, section_no, string_split(regexp_replace(text, '(?i)(\b(?:sections|section|sec|s)\.?\s+\d+[A-Za-z]?)', '\1' || chr(1), 'g'), chr(1)) AS p FROM sec WHERE text IS NOT NULL),
+    rh AS (SELECT *, unnest(range(1, len(p))) AS i FROM rp),
+    rt AS (SELECT ord, chunk_id, act, section_no, regexp_extract(p[i], '(\d+[A-Za-z]?)$', 1) AS no, left(array_to_string(p[i + 1:], ''), 90) AS tail FROM rh),
+    rm AS (SELECT DISTINCT regexp_extract(tail, '{_OF_ACT}', 1) AS said FROM rt),
+    rn AS (SELECT said, (SELECT arg_min(act_name, (-length(alias), alias)) FROM al WHERE contains(lower(said), alias)) AS named FROM rm),
+    rf AS (SELECT ord, chunk_id, act, section_no, coalesce(named, act) AS ref_act, unnest(([no] || {_MORE})[1:5]) AS ref_no FROM rt JOIN rn ON rn.said = regexp_extract(tail, '{_OF_ACT}', 1)),
+    rx AS (SELECT rf.*, EXISTS (SELECT 1 FROM first_sec s WHERE s.act = ref_act AND s.section_no = ref_no) AS to_sec, ref_act <> rf.act AND ref_act IN (SELECT act FROM law WHERE act <> '') AS to_act FROM rf),
     e AS (
         SELECT 'CONTAINS' AS type, act AS a, act || ':' || section_no AS b, 'Section' AS to_label, 'hierarchy:act->section' AS source, chunk_id FROM sec
         UNION ALL SELECT 'CONTAINS', act, act || ':' || part, 'Part', 'hierarchy:act->part', chunk_id FROM sec WHERE part <> ''
@@ -197,16 +228,47 @@ _EDGES = f"""
         UNION ALL SELECT 'BELONGS_TO', chunk_id, act || ':' || section_no, 'Section', 'chunk.section_no', chunk_id FROM oth WHERE ok
         UNION ALL SELECT 'PARENT_OF', parent_id, chunk_id, 'Chunk', 'parent_id', chunk_id FROM up WHERE ok
         UNION ALL SELECT 'PARENT_OF', parent_id, chunk_id, 'Chunk', 'parent_id', chunk_id FROM jup WHERE ok
-        UNION ALL SELECT 'DECIDED_BY', case_no, court, 'Court', 'case header', chunk_id FROM j WHERE case_no <> '' AND court <> ''
-        UNION ALL SELECT 'INVOLVES', case_no, party, 'Party', 'case header', chunk_id FROM pa WHERE case_no <> '')"""
+        UNION ALL SELECT 'DECIDED_BY', case_no, court, 'Court', 'case header', first_chunk FROM j WHERE case_no <> '' AND court <> ''
+        UNION ALL SELECT 'INVOLVES', case_no, party, 'Party', 'case header', first_chunk FROM pa WHERE case_no <> ''
+        UNION ALL SELECT 'AMENDED_BY', amended || ':' || said, act, 'Act', 'amendment meta/text', chunk_id FROM amd WHERE reason IS NULL
+        UNION ALL SELECT 'REFERENCES', act || ':' || section_no, ref_act || ':' || ref_no, 'Section', 'regex cross-ref', chunk_id FROM rx WHERE to_sec
+        UNION ALL SELECT 'REFERENCES', act || ':' || section_no, ref_act, 'Act', 'regex cross-ref(act)', chunk_id FROM rx WHERE NOT to_sec AND to_act),
+    ee AS (SELECT type, a, b, to_label, source, count(DISTINCT chunk_id) AS n_chunks FROM e GROUP BY type, a, b, to_label, source),
+    m AS (
+        SELECT 'Act' AS label, act AS k, doc, NULL AS title, NULL AS outcome, chunk_id, ord FROM law WHERE act <> ''
+        UNION ALL SELECT 'Chunk', chunk_id, doc, NULL, NULL, chunk_id, ord FROM law WHERE act <> '' AND chunk_id <> ''
+        UNION ALL SELECT 'Section', act || ':' || section_no, doc, nullif(section_title, ''), NULL, chunk_id, ord FROM sec
+        UNION ALL SELECT 'Part', act || ':' || part, doc, NULL, NULL, chunk_id, ord FROM sec WHERE part <> ''
+        UNION ALL SELECT 'Chapter', act || ':' || chapter, doc, NULL, NULL, chunk_id, ord FROM sec WHERE chapter <> ''
+        UNION ALL SELECT 'Chunk', chunk_id, doc, NULL, NULL, chunk_id, ord FROM jud WHERE chunk_id <> ''
+        UNION ALL SELECT 'Judgment', case_no, doc, NULL, NULL, head_chunk, 0 FROM j WHERE own_no <> ''
+        UNION ALL SELECT 'Judgment', case_no, doc, NULL, NULL, chunk_id, ord FROM j JOIN jud USING (doc) WHERE own_no IS NULL AND case_no <> ''
+        UNION ALL SELECT 'Court', court, doc, NULL, NULL, chunk_id, ord FROM j JOIN jud USING (doc) WHERE court <> ''
+        UNION ALL SELECT 'Party', pa.party, doc, NULL, NULL, chunk_id, ord FROM pa JOIN jud USING (doc)),
+    mm AS (SELECT label, k, arg_min(doc, ord) AS source_file, arg_min(title, ord) FILTER (title IS NOT NULL) AS title, count(DISTINCT chunk_id) AS n_chunks FROM m GROUP BY label, k)"""
 _REF = "type = 'REFERENCES' AND from_label = 'Section' AND to_label = 'Section' AND from_id IS NOT NULL AND to_id IS NOT NULL"
 _BOTH = f"both_ AS (SELECT from_id AS a, to_id AS b FROM edges WHERE {_REF} UNION SELECT to_id, from_id FROM edges WHERE {_REF})"
 SQL = {
-    "graph_edges": _EDGES + "SELECT type, a, b, to_label, source, count(DISTINCT chunk_id) AS n_chunks FROM e GROUP BY type, a, b, to_label, source",
+    "graph_edges": f"WITH {_BASE} SELECT * FROM ee WHERE type NOT IN ('REFERENCES', 'AMENDED_BY')",
+    "graph_references": f"WITH {_BASE} SELECT * FROM ee WHERE type = 'REFERENCES'",
+    "graph_amendments": f"WITH {_BASE} SELECT * FROM ee WHERE type = 'AMENDED_BY'",
+    "graph_nodes": f"WITH {_BASE} SELECT label, k, source_file, title, n_chunks FROM mm WHERE label NOT IN ('Judgment', 'Court', 'Party')",
+    "judgment_nodes": f"""
+        WITH {_BASE}, lo AS (SELECT case_no, arg_max(outcome, said_at) AS outcome FROM j GROUP BY case_no)
+        SELECT label, k, CASE WHEN label = 'Judgment' THEN nullif(outcome, '') END AS outcome, n_chunks FROM mm LEFT JOIN lo ON case_no = k AND label = 'Judgment' WHERE label IN ('Judgment', 'Court', 'Party')""",
+    "assembled_graph": f"""
+        WITH {_BASE} SELECT 'node' AS kind, label AS name, count(*) AS n, count(*) FILTER (label = 'Chunk') AS n_points FROM mm GROUP BY label UNION ALL SELECT 'edge', type, count(*), 0 FROM ee GROUP BY type""",
+    "section_records": """
+        WITH n AS (SELECT id, any_value(key) AS key, any_value(props) AS props FROM nodes WHERE label = 'Section' AND id IS NOT NULL GROUP BY id),
+        v AS (SELECT to_id AS id, min(from_id) AS via FROM edges WHERE type = 'BELONGS_TO' GROUP BY to_id)
+        SELECT id, key[1] AS act, key[2] AS section_no, props['title'] AS title, coalesce(props['chunk_id'], via) AS chunk_id FROM n LEFT JOIN v USING (id)""",
+    "canonical_acts": "SELECT DISTINCT key[1] AS act FROM nodes WHERE label = 'Act' AND key[1] <> ''",
     "graph_reasons": f"""
         WITH {_BASE},
         r AS (SELECT 'no_act_name' AS reason FROM law WHERE act IS NULL OR act = '' UNION ALL SELECT 'belongs_to_no_section_node' FROM oth WHERE NOT ok
-            UNION ALL SELECT 'parent_not_in_graph' FROM up WHERE NOT ok UNION ALL SELECT 'judgment_parent_not_in_graph' FROM jup WHERE NOT ok)
+            UNION ALL SELECT 'parent_not_in_graph' FROM up WHERE NOT ok UNION ALL SELECT 'judgment_parent_not_in_graph' FROM jup WHERE NOT ok
+            UNION ALL SELECT reason FROM amd WHERE reason IS NOT NULL
+            UNION ALL SELECT CASE WHEN ref_act <> act THEN 'ref_act_not_in_graph' ELSE 'ref_section_not_in_graph' END FROM rx WHERE NOT to_sec AND NOT to_act)
         SELECT reason, count(*) AS n FROM r GROUP BY reason""",
     "loaded_nodes": "SELECT label, count(DISTINCT id) AS n, count(DISTINCT id) AS n_ids FROM nodes WHERE id IS NOT NULL GROUP BY label",
     "loaded_edges": "SELECT type, from_id, to_id, min(from_label) AS from_label, min(to_label) AS to_label, count(*) AS n_sources FROM edges WHERE from_id IN (SELECT id FROM nodes) AND to_id IN (SELECT id FROM nodes) GROUP BY type, from_id, to_id",
@@ -244,14 +306,4 @@ SQL = {
     "key_resolvability": """
         WITH k AS (SELECT label, coalesce(len(key) > 0 AND len(list_filter(key, lambda x: x IS NULL OR x = '')) = 0, false) AS ok FROM nodes)
         SELECT label, count(*) AS n, count(*) FILTER (ok) AS n_resolvable, round(count(*) FILTER (ok) / count(*), 4) AS ratio FROM k GROUP BY label""",
-    "graph_nodes": f"""
-        WITH {_BASE},
-        m AS (
-            SELECT 'Act' AS label, act AS k, doc, NULL AS title, chunk_id, ord FROM law WHERE act <> ''
-            UNION ALL SELECT 'Chunk', chunk_id, doc, NULL, chunk_id, ord FROM law WHERE act <> '' AND chunk_id <> ''
-            UNION ALL SELECT 'Section', act || ':' || section_no, doc, nullif(section_title, ''), chunk_id, ord FROM sec
-            UNION ALL SELECT 'Part', act || ':' || part, doc, NULL, chunk_id, ord FROM sec WHERE part <> ''
-            UNION ALL SELECT 'Chapter', act || ':' || chapter, doc, NULL, chunk_id, ord FROM sec WHERE chapter <> ''
-            UNION ALL SELECT 'Chunk', chunk_id, doc, NULL, chunk_id, ord FROM jud WHERE chunk_id <> '')
-        SELECT label, k, arg_min(doc, ord) AS source_file, arg_min(title, ord) FILTER (title IS NOT NULL) AS title, count(DISTINCT chunk_id) AS n_chunks FROM m GROUP BY label, k""",
 }

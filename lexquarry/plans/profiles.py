@@ -100,7 +100,7 @@ SQL = {
     "duplicate_keys": "SELECT doc, section_no, count(*) AS n, min(ord) AS first_ord, max(ord) AS last_ord FROM chunks WHERE doc <> '' AND section_no <> '' GROUP BY ALL HAVING count(*) > 1",
     "amendment_coverage": r"""
         SELECT count(*) AS n, count(*) FILTER (coalesce(meta['amends_section'], '') <> '') AS in_meta,
-            count(*) FILTER (regexp_extract(text, '(?i)Amendment of (?:section|sub-section)\s+([\dA-Za-z\-]+)', 1) <> '') AS in_text FROM chunks WHERE lower(doc_type) = 'amendment'""",
+            count(*) FILTER (regexp_extract(text, '(?i)Amendment of section\s+([\dA-Za-z\-]+)', 1) <> '') AS in_text FROM chunks WHERE lower(doc_type) = 'amendment'""",
     "header_coverage": "SELECT count(*) AS n, count(*) FILTER (contains(coalesce(meta['context'], ''), 'Case:')) AS with_header, count(*) FILTER (contains(coalesce(meta['context'], ''), '|')) AS with_parts FROM chunks WHERE lower(doc_type) IN ('judgement', 'judgment')",
     "broken_parents": "SELECT ord, chunk_id, parent_id FROM chunks c WHERE parent_id <> '' AND NOT EXISTS (SELECT 1 FROM chunks p WHERE p.chunk_id = c.parent_id)",
     "doc_summary": "SELECT name, count(chunk_id) AS n_chunks, coalesce(max(tokens), 0) AS max_tokens FROM (SELECT DISTINCT name FROM extracted_docs) d LEFT JOIN chunks ON doc = name GROUP BY name",

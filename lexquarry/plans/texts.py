@@ -57,8 +57,8 @@ def node_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def amended_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _t(spark, sf_dir, "chunks").where(F.lower("doc_type") == "amendment")
-    said = F.nullif(F.regexp_extract("text", r"(?i)Amendment of (?:section|sub-section)\s+([\dA-Za-z\-]+)", 1), F.lit(""))
-    return c.select("ord", F.element_at("meta", "amends_section").alias("in_meta"), said.alias("in_text"), X.lenient_int("section_no").alias("number"))
+    said = F.nullif(F.regexp_extract("text", X.AMENDED_SECTION, 1), F.lit(""))
+    return c.select("ord", F.element_at("meta", "amends_section").alias("in_meta"), said.alias("in_text"), X.amended_section("text", "meta").alias("section"), X.lenient_int("section_no").alias("number"))
 
 
 QUERIES = {f.__name__: f for f in (text_statistics, file_titles, page_lines, doc_type_ladder, case_headers, parties, case_contexts, node_ids, amended_sections)}
@@ -75,7 +75,7 @@ def _m(text: str, pattern: str) -> str:
     return f"regexp_matches({text}, '{pattern}')"
 
 
-_GAZETTE = _sum([(_m("left(t,2000)", r"(?i)S\.R\.O\.?\s*\d"), 2), (_m("left(t,2000)", "(?i)NOTIFICATION"), 1), (_m("left(t,2000)", "(?i)GAZETTE") + " AND " + _m("left(t,2000)", "(?i)EXTRAORDINARY"), 1), (_m("left(t,2000)", r"(?i)ISLAMABAD,?\s+the\s+\d"), 1)])
+_GAZETTE = _sum([(_m("left(t,2000)", X.GAZETTE_NO), 2), (_m("left(t,2000)", X.NOTIFICATION), 1), (_m("left(t,2000)", X.GAZETTE) + " AND " + _m("left(t,2000)", X.EXTRAORDINARY), 1), (_m("left(t,2000)", X.ISSUED_AT), 1)])
 _JUDGMENT = _sum(
     [(_m("left(t,800)", X.MASTHEAD), 3), (_m("left(t,1500)", X.DECIDED_ON), 2), (_m("left(t,1500)", X.JUDGE_DASH), 3), (_m("left(t,1500)", X.VERSUS), 1), (_m("left(t,1500)", X.CASE_WORDS), 1), (_m("left(t,1500)", X.ROLES), 1), (_m("left(t,4000)", X.HEADNOTE_START), 3)]
 )
@@ -84,6 +84,10 @@ _LADDER = f"""WHEN contains(low, 'order') OR contains(low, 'writ') THEN 'order'
     WHEN {_m("t", X.PART_LINE)} OR {_m("t", X.CHAPTER_LINE)} OR len(regexp_extract_all(t, '{X.HEADING_LINE}')) >= 5 THEN 'statute' ELSE 'paragraph' END"""
 _PARTS = r"list_filter(list_transform(string_split(regexp_extract(meta['context'], '\[Case:\s*(.*?)\]', 1), '|'), lambda x: trim(x)), lambda x: x <> '')"
 _COURT, _NO = f"regexp_matches(x, '{X.COURT_WORDS}')", f"regexp_matches(x, '{X.CASE_NO_WORDS}')"
+#: Of the segments ``s`` of a case header the places of the first court and the first number, and what they make.
+HEADER_AT = f"coalesce(list_position(list_transform(s, lambda x: {_COURT} AND NOT {_NO}), true), 0) AS c_at, coalesce(list_position(list_transform(s, lambda x: {_NO}), true), 0) AS n_at"
+HEADER = "CASE WHEN len(s) > 1 AND c_at > 0 THEN s[c_at] END AS court, CASE WHEN len(s) = 1 THEN s[1] WHEN n_at > 0 THEN s[n_at] END AS case_no, CASE WHEN len(s) > 1 THEN nullif(array_to_string(list_filter(s, lambda x, i: i <> c_at AND i <> n_at), ' | '), '') END AS parties"
+SIDES = r"list_filter(list_transform(regexp_split_to_array({0}, '(?i)\s+(?:vs|v)\.?\s+|\s+versus\s+'), lambda x: regexp_replace(regexp_replace(x, '(?i),?\s*(?:etc\.?|&?\s*others)\s*$', ''), '^[ ,;:]+|[ ,;:]+$', '', 'g')), lambda x: x <> '')"
 _PARAS = r"list_filter(list_transform(regexp_split_to_array(text, '\n\s*\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"
 _H = f"sha1(unhex('{HEX}') || encode(CASE WHEN label = 'Chunk' THEN key[1] ELSE 'graph:' || label || ':' || array_to_string(key, ':') END))"
 
@@ -109,24 +113,22 @@ SQL = {
         s AS (SELECT *, {_GAZETTE} AS gazette, {_JUDGMENT} AS judgment FROM d)
         SELECT ord, gazette, judgment, CASE WHEN judgment >= 4 THEN 'judgement' {_LADDER} AS kind, CASE {_LADDER} AS statute_kind FROM s""",
     "case_headers": f"""
-        WITH p AS (SELECT ord, {_PARTS} AS s FROM chunks WHERE meta['context'] IS NOT NULL)
-        SELECT ord, CASE WHEN len(s) <> 1 THEN list_filter(s, lambda x: {_COURT} AND NOT {_NO})[1] END AS court,
-            CASE WHEN len(s) = 1 THEN s[1] ELSE list_filter(s, lambda x: {_NO})[1] END AS case_no,
-            CASE WHEN len(s) <> 1 THEN nullif(array_to_string(list_filter(s, lambda x: NOT ({_COURT} AND NOT {_NO}) AND NOT {_NO}), ' | '), '') END AS parties
-        FROM p""",
-    "parties": r"""
-        WITH p AS (SELECT ord, list_filter(list_transform(regexp_split_to_array(judgement_meta.parties, '(?i)\s+(?:vs|v)\.?\s+|\s+versus\s+'),
-            lambda x: trim(regexp_replace(x, '(?i),?\s*(?:etc\.?|&?\s*others)\s*$', ''))), lambda x: x <> '') AS s FROM extracted_docs WHERE judgement_meta.parties IS NOT NULL)
+        WITH p AS (SELECT ord, {_PARTS} AS s FROM chunks WHERE meta['context'] IS NOT NULL),
+        x AS (SELECT *, {HEADER_AT} FROM p)
+        SELECT ord, {HEADER} FROM x""",
+    "parties": rf"""
+        WITH p AS (SELECT ord, {SIDES.format("judgement_meta.parties")} AS s FROM extracted_docs WHERE judgement_meta.parties IS NOT NULL)
         SELECT ord, (unnest(range(len(s))))::INT AS n, unnest(s) AS party FROM p""",
     "case_contexts": """
-        WITH d AS (SELECT ord, concat_ws(' | ', nullif(judgement_meta.parties, ''), nullif(judgement_meta.court, ''), nullif(array_to_string(judgement_meta.case_nos[1:3], ', '), '')) AS i
+        WITH d AS (SELECT ord, concat_ws(' | ', nullif(judgement_meta.parties, ''), nullif(judgement_meta.court, ''), nullif(array_to_string(judgement_meta.case_nos[1:3], '; '), '')) AS i
             FROM extracted_docs WHERE judgement_meta IS NOT NULL)
         SELECT ord, left(CASE WHEN i <> '' THEN '[Case: ' || i || ']' ELSE '' END, 250) AS context FROM d""",
     "node_ids": f"""
         WITH h AS (SELECT label, array_to_string(key, ':') AS k, {_H} AS h FROM (SELECT DISTINCT label, key FROM nodes WHERE label IS NOT NULL AND key IS NOT NULL))
         SELECT label, k, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || ['8','9','a','b'][(('0x' || h[17:17])::INT % 4) + 1] || h[18:20] || '-' || h[21:32] AS id FROM h""",
-    "amended_sections": r"""
-        SELECT ord, meta['amends_section'] AS in_meta, nullif(regexp_extract(text, '(?i)Amendment of (?:section|sub-section)\s+([\dA-Za-z\-]+)', 1), '') AS in_text,
+    "amended_sections": rf"""
+        SELECT ord, meta['amends_section'] AS in_meta, nullif(regexp_extract(text, '{X.AMENDED_SECTION}', 1), '') AS in_text,
+            coalesce(nullif(meta['amends_section'], ''), nullif(regexp_extract(text, '{X.AMENDED_SECTION}', 1), '')) AS section,
             try_cast(trunc(try_cast(section_no AS DOUBLE)) AS INT) AS number
         FROM chunks WHERE lower(doc_type) = 'amendment'""",
 }

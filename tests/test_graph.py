@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import uuid
 
+import pytest
+
 from lexquarry.operators import graph as G
 
 CHUNKS = "chunk_id string, doc string, doc_type string, level string, section_no string, section_title string, part string, chapter string, parent_id string, is_parent boolean, tokens int, text string, meta map<string,string>, ord bigint, label string"
@@ -22,14 +24,16 @@ ROWS = [
 
 
 def table(spark, rows=ROWS):
-    return G.first_deliveries(spark.createDataFrame(rows, CHUNKS))
+    return G.with_act(G.first_deliveries(spark.createDataFrame(rows, CHUNKS)))
 
 
 def test_statute_graph(spark):
     nodes, edges, reasons = G.statute_graph(table(spark))
     got = {(r.label, tuple(r.key)): r for r in G.merge_nodes(nodes).collect()}
     section = got["Section", ("A", "1")]
-    assert section.chunk_ids == ["A:section:1", "A:section:2"] and section.props["title"] == "Second" and section.props["chunk_id"] == "A:section:1"
+    assert section.n_chunks == 2 and section.props["title"] == "Second" and section.props["chunk_id"] == "A:section:1"
+    of = spark.createDataFrame([(section.id,), (section.id,)], "id string")
+    assert [tuple(r) for r in G.chunk_ids(of, G.mentions(nodes)).collect()] == [(section.id, ["A:section:1", "A:section:2"])]
     assert section.id == str(uuid.uuid5(uuid.NAMESPACE_DNS, "graph:Section:A:1"))
     assert got["Chunk", ("A:sub:3",)].id == str(uuid.uuid5(uuid.NAMESPACE_DNS, "A:sub:3"))
     assert ("Section", ("B", "22A")) in got and ("Part", ("A", "I")) in got
@@ -43,6 +47,7 @@ def test_judgment_graph(spark):
     nodes, edges, reasons = G.judgment_graph(table(spark))
     got = {(r.label, tuple(r.key)): r for r in G.merge_nodes(nodes).collect()}
     assert got["Judgment", ("C.R. No. 1/2010",)].props["outcome"] == "last" and ("Judgment", ("l",)) in got
+    assert got["Court", ("High Court of Osk",)].n_chunks == 2 and got["Judgment", ("C.R. No. 1/2010",)].n_chunks == 2
     assert {k for k in got if k[0] == "Party"} == {("Party", ("A",)), ("Party", ("B",))}
     assert {(r.type, r.to_key[0]) for r in edges.collect()} == {("DECIDED_BY", "High Court of Osk"), ("INVOLVES", "A"), ("INVOLVES", "B"), ("PARENT_OF", "j:para:2")}
     assert [(r.reason, r.ord) for r in reasons.collect()] == [("judgment_parent_not_in_graph", 11)]
@@ -74,11 +79,49 @@ def test_references(spark):
 
 
 def test_amendments(spark):
-    rows = spark.createDataFrame([chunk(1, "x:1", doc="X (Amendment).pdf", kind="amendment", meta={"amends_section": "1"}), chunk(2, "x:2", doc="X (Amendment).pdf", kind="amendment", text="Amendment of section 9"), chunk(3, "x:3", doc="X (Amendment).pdf", kind="amendment"), chunk(4, "y:1", doc="Y.pdf", kind="amendment", text="amendment of sub-section 4")], CHUNKS)
-    sections = spark.createDataFrame([("X", "1")], "act string, section_no string")
-    edges, reasons = G.amendments(rows, sections, spark.createDataFrame([("X (Amendment).pdf", "X")], "doc string, amended_act string"))
-    assert [(tuple(r.from_key), tuple(r.to_key)) for r in edges.collect()] == [(("X", "1"), ("X (Amendment)",))]
-    assert sorted((r.ord, r.reason) for r in reasons.collect()) == [(2, "amendment_section_not_in_graph"), (3, "amendment_no_section"), (4, "amendment_no_act")]
+    rows = [
+        chunk(0, "s:1", doc="Stamp Act 1930.pdf", no="1"), chunk(1, "x:1", doc="X (Amendment).pdf", kind="amendment", level="amendment", meta={"amends_section": "1"}, text="in the Stamp Act 1930"),
+        chunk(2, "x:2", doc="X (Amendment).pdf", kind="amendment", level="amendment", text="Amendment of section 9 of the STAMP ACT 1930"), chunk(3, "x:3", doc="X (Amendment).pdf", kind="amendment", level="amendment"),
+        chunk(4, "y:1", doc="Y.pdf", kind="amendment", level="amendment", text="amendment of section 4"), chunk(5, "y:2", doc="Y.pdf", kind="amendment", level="amendment", text="amendment of sub-section 4"),
+        chunk(6, "z:1", doc="Z.pdf", kind="amendment", level="amendment", meta={"amends_section": "2"}, text="the Stamp Act 1930"), chunk(7, "s:2", doc="Stamp Act 1930.pdf", no="2"),
+    ]
+    edges, reasons = G.amendments(table(spark, rows), {"stamp act 1930": "Stamp Act 1930", "stamp act": "other"})
+    assert [(tuple(r.from_key), tuple(r.to_key)) for r in edges.collect()] == [(("Stamp Act 1930", "1"), ("X (Amendment)",))]
+    assert sorted((r.ord, r.reason) for r in reasons.collect()) == [(2, "amendment_section_not_in_graph"), (3, "amendment_no_section"), (4, "amendment_no_act"), (5, "amendment_no_section"), (6, "amendment_section_not_in_graph")]
+
+
+def test_one_key_for_an_act(spark):
+    """A file of any spelling, a reference and an amendment meet at one node."""
+    rows = [
+        chunk(0, "a:1", doc="12345678 copy_of_The Stamp Act, 1930 (1)UPDATED.pdf", no="1"), chunk(1, "b:1", doc="Toll Rules of 1950 [7654321].pdf", kind="rules", no="4", text="section 1 of the Stamp Act 1930; section 9 of the Stamp Act 1930; section 3 of the Mint Act 1920; section 77"),
+        chunk(2, "c:1", doc="Amending.pdf", kind="amendment", level="amendment", meta={"amends_section": "1"}, text="Amendment of the Stamp Act 1930"),
+    ]
+    catalog = spark.createDataFrame([("Stamp Act 1930",), ("Toll Rules 1950",), ("Mint Act 1920",), (None,), ("",)], "act_name string")
+    nodes, edges, reasons = G.corpus_graph(spark.createDataFrame(rows, CHUNKS), catalog)
+    nodes, edges, counts = G.assemble(G.merge_nodes(nodes), G.merge_edges(edges), drop_section_text=True)
+    assert {tuple(r.key) for r in nodes.where("label = 'Act'").collect()} == {("Stamp Act 1930",), ("Toll Rules 1950",), ("Amending",)}
+    got = {(r.type, tuple(r.from_key), tuple(r.to_key)) for r in edges.where("type in ('REFERENCES', 'AMENDED_BY')").collect()}
+    assert got == {("REFERENCES", ("Toll Rules 1950", "4"), ("Stamp Act 1930", "1")), ("REFERENCES", ("Toll Rules 1950", "4"), ("Stamp Act 1930",)), ("AMENDED_BY", ("Stamp Act 1930", "1"), ("Amending",))}
+    assert counts["dangling_edges"] == 0 and nodes.where("label = 'Section' and props['text'] is not null").count() == 0
+    assert {r.reason for r in reasons.collect()} >= {"ref_act_not_in_graph", "ref_section_not_in_graph"}
+
+
+def test_assembly_ends_on_dangling_edges(spark):
+    nodes = spark.createDataFrame([("1", "Section", {"text": "t", "title": "x"}), ("2", "Chunk", {})], "id string, label string, props map<string,string>")
+    edges = edges_of(spark, [("1", "2"), ("1", "9")])
+    with pytest.raises(ValueError):
+        G.assemble(nodes, edges)
+    n, e, counts = G.assemble(nodes, edges, allow_dangling=True)
+    assert (n.count(), e.count(), counts["dangling_edges"]) == (2, 1, 1)
+    assert {r.id: r.point_id for r in n.collect()} == {"1": None, "2": "2"}
+
+
+def test_section_records(spark):
+    nodes = spark.createDataFrame([("1", "Section", ["A", "1"], {"title": "t", "chunk_id": "c1"}), ("2", "Section", ["A", "2"], {}), ("3", "Act", ["A"], {})], "id string, label string, key array<string>, props map<string,string>")
+    via = spark.createDataFrame([("2", "c9"), ("2", "c8"), ("1", "c7")], "id string, via_chunk string")
+    assert sorted((r.id, r.chunk_id, r.text) for r in G.section_records(nodes, via).collect()) == [("1", "c1", None), ("2", "c8", None)]
+    assert [r.title for r in G.section_record(nodes, "A", "1").collect()] == ["t"] and G.section_record(nodes, "A", "9").count() == 0
+    assert [r.act for r in G.canonical_acts(nodes).collect()] == ["A"]
 
 
 def edges_of(spark, pairs, kind="REFERENCES", a="Section", b="Section"):

@@ -41,6 +41,8 @@ def test_lines_and_garbled(spark):
 def test_gazette_threshold(spark):
     assert one(spark, X.gazette_score("c0"), "S.R.O. 12") == 2
     assert one(spark, X.gazette_score("c0"), "NOTIFICATION") == 1
+    assert one(spark, X.gazette_score("c0"), "S R O 12") == one(spark, X.gazette_score("c0"), "SRO12") == 2
+    assert one(spark, X.gazette_score("c0"), "NOTIFICATIONS GAZETTED EXTRAORDINARY") == 0
     assert one(spark, X.doc_type_of("c0", "c1"), "NOTIFICATION", "x.pdf") == "paragraph"
     assert one(spark, X.doc_type_of("c0", "c1"), "S.R.O. 12", "x.pdf") == "rules"
 
@@ -59,15 +61,21 @@ def test_case_header(spark):
     assert (full.court, full.case_no, full.parties) == ("High Court of Osk", "W.P. No. 3/2010", "A vs B")
     single = one(spark, X.case_header("c0"), "[Case: W.P. No. 3/2010]")
     assert (single.court, single.case_no, single.parties) == (None, "W.P. No. 3/2010", None)
+    more = one(spark, X.case_header("c0"), "[Case: A vs B | High Court of Osk | Civil Court | W.P. No. 3/2010 | Appeal 4]")
+    assert (more.court, more.case_no, more.parties) == ("High Court of Osk", "W.P. No. 3/2010", "A vs B | Civil Court | Appeal 4")
+    none = one(spark, X.case_header("c0"), "no header")
+    assert (none.court, none.case_no, none.parties) == (None, None, None)
 
 
 def test_split_parties(spark):
     assert one(spark, X.split_parties("c0"), "A. Khan etc. VS. The State & others") == ["A. Khan", "The State"]
+    assert one(spark, X.split_parties("c0"), " ;A. Khan, versus The State: , v ,;") == ["A. Khan", "The State"]
 
 
 def test_context(spark):
     df = spark.sql("select 'A vs B' p, cast(null as string) c, array('1','2','3','4') n")
-    assert df.select(X.case_context(F.col("p"), F.col("c"), F.col("n"), F.lit(7)).alias("v")).first().v == "[Case: A vs B | 1, 2, 3] [Para 7]"
+    assert df.select(X.case_context(F.col("p"), F.col("c"), F.col("n"), F.lit(7)).alias("v")).first().v == "[Case: A vs B | 1; 2; 3] [Para 7]"
+    assert df.select(X.case_context(F.lit(""), F.col("c"), F.lit(None).cast("array<string>"), F.lit(7)).alias("v")).first().v == ""
 
 
 def test_uuid5(spark):
@@ -87,3 +95,15 @@ def test_lenient_int(spark):
 def test_percent(spark):
     df = spark.sql("select 1 n, 8 t union all select 0, 0")
     assert [r.v for r in df.select(X.percent_text(F.col("n"), F.col("t")).alias("v")).collect()] == ["1 (12%)", "0 (0%)"]
+
+
+def test_act_names(spark):
+    df = spark.createDataFrame([("A.pdf",), (".pdf",), (None,), ("B.pdf",)], "d string")
+    assert [r.a for r in df.select(X.act_name("d", F.create_map(F.lit("A.pdf"), F.lit("Act of A"))).alias("a")).collect()] == ["Act of A", None, None, "B"]
+    same = ["copy_of_The Coastal Rules, 1933 (1)UPDATED_67104593.pdf", "12345678 Coastal Rules of 1933-ocr.PDF", "COASTAL RULES NO. VII OF 1933 [1234567].pdf", "Coastal Rules 1933"]
+    assert {one(spark, X.plain_title("c0"), t) for t in same} == {"coastal rules 1933"}
+
+
+def test_amended_sections(spark):
+    df = spark.sql("select map('amends_section', '4') m, 'Amendment of section 9' t union all select map('amends_section', ''), 'amendment of section 9-A of it' union all select null, 'Amendment of sub-section 3' union all select null, null")
+    assert [r.s for r in df.select(X.amended_section("t", "m").alias("s")).collect()] == ["4", "9-A", None, None]
