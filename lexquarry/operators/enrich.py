@@ -74,11 +74,43 @@ def encode_texts(df: DataFrame, id_col: str, text_col: str, encode: Encode) -> D
     return rows.mapInPandas(run, f"id {dict(rows.dtypes)['id']}, embedding array<float>")
 
 
-def evidence_text(pool: DataFrame, most: int = 8, chars: int = 1200) -> DataFrame:
-    """One text of the first ``most`` pieces of evidence ``(place, doc, section_no, text)``, as a model would be given it."""
-    line = F.format_string("[%d] %s %s\n%s", F.col("place"), F.coalesce("doc", F.lit("")), F.coalesce("section_no", F.lit("")), F.left(F.coalesce("text", F.lit("")), F.lit(chars)))
-    rows = pool.where(F.col("place") <= most).select("place", line.alias("l"))
-    return rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "l"))), lambda x: x["l"]), "\n\n").alias("text"))
+def evidence_line(place: Column, doc: Column, section: Column, title: Column, kind: Column, text: Column, chars: int = 1200) -> Column:
+    """One piece of evidence as a model is given it."""
+    shown = lambda c, other: F.coalesce(F.nullif(c, F.lit("")), F.lit(other))
+    head = F.format_string("[%d] %s — Section %s (%s) [%s]", place, shown(doc, "None"), shown(section, "None"), shown(title, "n/a"), shown(kind, "None"))
+    return F.concat(head, F.lit("\n"), F.left(F.coalesce(text, F.lit("")), F.lit(chars)))
+
+
+def _joined(rows: DataFrame, order: str, by: list[str], sep: str) -> DataFrame:
+    lines = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("line").alias("l"))))
+    return rows.groupBy(*by).agg(F.array_join(F.transform(lines, lambda x: x["l"]), sep).alias("text"))
+
+
+def evidence_text(pool: DataFrame, most: int = 8, chars: int = 1200, by: list[str] | None = None) -> DataFrame:
+    """One text of the first ``most`` pieces of evidence ``(place, doc, section_no, section_title, doc_type, text)``, in all or per ``by``."""
+    line = evidence_line(*(F.col(c) for c in ("place", "doc", "section_no", "section_title", "doc_type", "text")), chars)
+    return _joined(pool.where(F.col("place") <= most).select(*(by or []), "place", line.alias("line")), "place", by or [], "\n\n")
+
+
+def cited_text(graph: DataFrame, most: int = 5, by: list[str] | None = None) -> DataFrame:
+    """Lines of the first ``most`` judgments ``(id, source, case_no, court, outcome)`` that the graph found by citation."""
+    rank = F.row_number().over(W.partitionBy(*(by or [F.lit(0)])).orderBy("id"))
+    rows = graph.where("source = 'CITES'").withColumn("n", rank).where(F.col("n") <= most)
+    line = F.format_string("[C%d] %s — %s (outcome: %s)", "n", F.coalesce("case_no", F.lit("None")), F.coalesce(F.nullif("court", F.lit("")), F.lit("court n/a")), F.coalesce(F.nullif("outcome", F.lit("")), F.lit("n/a")))
+    return _joined(rows.select(*(by or []), "n", line.alias("line")), "n", by or [], "\n")
+
+
+def turns_text(history: list[dict] | None, last: int = 6) -> str:
+    """The last turns of one conversation as ``User:`` and ``Assistant:`` lines; blank ones are left out after the cut."""
+    said = [((h.get("role") or "").lower(), (h.get("content") or "").strip()) for h in (history or [])[-last:]]
+    return "\n".join(f"{'User' if r == 'user' else 'Assistant'}: {c}" for r, c in said if c)
+
+
+def prompt_text(pool: DataFrame, graph: DataFrame | None, turns: str, most: int = 8, named: int = 5) -> str:
+    """All that a model is given of one question's evidence, a bounded text."""
+    cases = "" if graph is None else cited_text(graph, named).first().text
+    parts = [evidence_text(pool, most).first().text, f"Related case law:\n{cases}" if cases else "", f"Conversation so far:\n{turns}" if turns else ""]
+    return "\n\n".join(p for p in parts if p)
 
 
 def history_text(turns: DataFrame, by: str, order: str, role: Column, text: Column, last: int = 6) -> DataFrame:

@@ -430,11 +430,11 @@ def citing_judgments(edges: DataFrame, limit: int = 20) -> DataFrame:
 
 
 def expand_evidence(edges: DataFrame, chunk_nodes: DataFrame, hops: int = 1, max_nodes: int = 40) -> DataFrame:
-    """Sections of the chunks, their neighbours, and the judgments that cite any of them: ``(id, role)``."""
+    """Sections of the chunks, their neighbours, and the judgments that cite the former: ``(id, role)``."""
     seeds = cut(sections_of_chunks(edges, chunk_nodes, max_nodes).select(F.col("section_id").alias("id")).distinct())
     more = expand_sections(edges, seeds, hops, max_nodes).select("id")
     both = seeds.select("id", F.lit("section").alias("role")).unionByName(more.select("id", F.lit("neighbour").alias("role")))
-    judged = citing_judgments(edges).join(F.broadcast(both.select(F.col("id").alias("section_id"))), "section_id", "left_semi").select(F.col("judgment_id").alias("id"), F.lit("judgment").alias("role")).distinct()
+    judged = citing_judgments(edges).join(F.broadcast(seeds.select(F.col("id").alias("section_id"))), "section_id", "left_semi").select(F.col("judgment_id").alias("id"), F.lit("judgment").alias("role")).distinct()
     return both.unionByName(judged)
 
 
@@ -466,7 +466,7 @@ def expand_evidence_each(edges: DataFrame, chunk_nodes: DataFrame, hops: int = 1
     seeds = cut(sections_of_chunks_each(edges, chunk_nodes, max_nodes).select("query", F.col("section_id").alias("id")).distinct())
     more = expand_sections_each(edges, seeds, hops, max_nodes).select("query", "id")
     both = seeds.withColumn("role", F.lit("section")).unionByName(more.withColumn("role", F.lit("neighbour")))
-    judged = both.select("query", F.col("id").alias("section_id")).join(citing_judgments(edges), "section_id").select("query", F.col("judgment_id").alias("id"), F.lit("judgment").alias("role")).distinct()
+    judged = seeds.select("query", F.col("id").alias("section_id")).join(citing_judgments(edges), "section_id").select("query", F.col("judgment_id").alias("id"), F.lit("judgment").alias("role")).distinct()
     return both.unionByName(judged)
 
 

@@ -1,24 +1,72 @@
-"""Queries that run a whole flow: the multi-hop loop and the ingestion of a stream."""
+"""Queries that run a whole flow: searches for a question and the ingestion of a stream."""
 
 from __future__ import annotations
 
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from lexquarry.plans import loop
+from lexquarry.operators import enrich as E
+from lexquarry.operators import graph as G
+from lexquarry.plans import evidence
 from lexquarry.plans.graphs import _with_belongs
 from lexquarry.sources import tables
+from lexquarry.sources.tables import Settings
 from lexquarry.storage import shared_dir
 from lexquarry.streaming import ingest
 
 
-def multi_hop(spark, sf_dir):
-    """Evidence for one question, with expansion along parents and the graph."""
+QUESTION = "which court may refuse to release the storage licence of the notary"
+
+
+def _store(spark, sf_dir) -> evidence.HybridStore:
     chunks = spark.read.parquet(f"{sf_dir}/chunks.parquet")
-    flow = loop.MultiHop(loop.LexicalStore(chunks), edges=_with_belongs(spark, sf_dir))
-    state = flow.run("which court may refuse to release the storage licence of the notary", {"doc_type": ["statute", "judgement"]})
-    return loop.shown_evidence(state.pool)
+    cases = F.coalesce(G.is_judgment(), F.lit(False))
+    return evidence.HybridStore({"statutes": chunks.where(~cases), "judgements": chunks.where(cases)})
+
+
+def _graph(spark, sf_dir) -> evidence.KnowledgeGraph:
+    return evidence.KnowledgeGraph(spark.read.parquet(f"{sf_dir}/nodes.parquet"), _with_belongs(spark, sf_dir))
+
+
+def question_search(spark, sf_dir):
+    """One question's words searched in both collections."""
+    return _store(spark, sf_dir).search(QUESTION, {"level": ["section", "para", "paragraph"]}).select("id", "collection", "score", "place", "doc")
+
+
+def hop_search(spark, sf_dir):
+    """Evidence for one question, with expansion along parents, children and the graph."""
+    state = evidence.HopSearch(_store(spark, sf_dir), Settings(max_hops=2, threshold=0.2), graph=_graph(spark, sf_dir)).run(QUESTION, {"level": "section"})
+    return evidence.shown_evidence(state.pool)
+
+
+def hop_graph(spark, sf_dir):
+    """What the graph adds to that evidence."""
+    state = evidence.HopSearch(_store(spark, sf_dir), Settings(max_hops=2, threshold=0.2), graph=_graph(spark, sf_dir)).run(QUESTION, {"level": "section"})
+    return evidence.shown_graph(state.graph)
+
+
+def fast_answer(spark, sf_dir):
+    """The evidence of one search, reranked."""
+    return evidence.answer(QUESTION, _store(spark, sf_dir), deep=False)["evidence"]
+
+
+def evidence_texts(spark, sf_dir):
+    """Of every document the first eight chunks as a model would be given them."""
+    chunks = spark.read.parquet(f"{sf_dir}/chunks.parquet")
+    w = W.partitionBy("doc").orderBy("ord")
+    pool = chunks.where("doc is not null").withColumn("place", F.row_number().over(w)).where("place <= 8")
+    return E.evidence_text(pool, by=["doc"])
+
+
+def cited_texts(spark, sf_dir):
+    """Of every section the first five judgments that cite it, as a model would be given them."""
+    cites = G.citing_judgments(spark.read.parquet(f"{sf_dir}/edges.parquet"))
+    case = G.load_nodes(spark.read.parquet(f"{sf_dir}/nodes.parquet").where("label = 'Judgment'"))
+    prop = lambda k: F.element_at("props", k).alias(k)
+    named = case.select(F.col("id").alias("judgment_id"), F.get("key", F.lit(0)).alias("case_no"), prop("court"), prop("outcome"))
+    return E.cited_text(cites.join(named, "judgment_id").select("section_id", F.col("judgment_id").alias("id"), F.lit("CITES").alias("source"), "case_no", "court", "outcome"), by=["section_id"])
 
 
 def streamed_chunks(spark, sf_dir):
@@ -40,8 +88,35 @@ def reset_graph(spark, sf_dir):
     return n.select(F.lit("node").alias("kind"), "label").unionByName(e.select(F.lit("edge").alias("kind"), F.col("type").alias("label"))).groupBy("kind", "label").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (multi_hop, streamed_chunks, graph_counts, reset_graph)}
+QUERIES = {f.__name__: f for f in (question_search, hop_search, hop_graph, fast_answer, evidence_texts, cited_texts, streamed_chunks, graph_counts, reset_graph)}
+_WORDS = r"list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> '')"
+_ASKED = ", ".join(f"'{w}'" for w in QUESTION.split())
+
+
+def _searched(where: str, n: int) -> str:
+    """The best 20 of one collection by the words of the question; only the sparse ranking exists."""
+    return f"""SELECT id, {n} AS priority, round(1.0 / (60 + row_number() OVER (ORDER BY s DESC, id)), 6) AS score FROM (
+        SELECT chunk_id AS id, arg_min((SELECT coalesce(sum(k), 0) FROM (SELECT len(list_filter({_WORDS}, lambda w: w = a)) * c AS k FROM asked)), ord) AS s FROM chunks
+        WHERE chunk_id IS NOT NULL AND level IN ('section', 'para', 'paragraph') AND {where} GROUP BY chunk_id) WHERE s > 0 QUALIFY row_number() OVER (ORDER BY s DESC, id) <= 20"""
+
+
 SQL = {
+    "question_search": f"""
+        WITH asked AS (SELECT a, count(*) AS c FROM (SELECT unnest([{_ASKED}]) AS a) GROUP BY a),
+        f AS ({_searched("NOT coalesce(lower(doc_type) IN ('judgement', 'judgment'), false)", 0)} UNION ALL {_searched("coalesce(lower(doc_type) IN ('judgement', 'judgment'), false)", 1)}),
+        r AS (SELECT *, row_number() OVER (PARTITION BY priority ORDER BY score DESC, id) AS k FROM f),
+        o AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY id ORDER BY priority, k) = 1),
+        d AS (SELECT chunk_id AS id, arg_min(doc, (CASE WHEN coalesce(lower(doc_type) IN ('judgement', 'judgment'), false) THEN 1 ELSE 0 END, ord)) AS doc FROM chunks GROUP BY chunk_id)
+        SELECT id, CASE priority WHEN 0 THEN 'statutes' ELSE 'judgements' END AS collection, score, (row_number() OVER (ORDER BY score DESC, priority, k, id))::INT AS place, doc FROM o JOIN d USING (id)""",
+    "evidence_texts": """
+        WITH p AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY ord) AS n FROM chunks WHERE doc IS NOT NULL QUALIFY n <= 8)
+        SELECT doc, string_agg('[' || n || '] ' || coalesce(nullif(doc, ''), 'None') || ' — Section ' || coalesce(nullif(section_no, ''), 'None') || ' (' || coalesce(nullif(section_title, ''), 'n/a') || ') [' || coalesce(nullif(doc_type, ''), 'None') || ']' || chr(10)
+            || left(coalesce(text, ''), 1200), chr(10) || chr(10) ORDER BY n) AS text FROM p GROUP BY doc""",
+    "cited_texts": """
+        WITH c AS (SELECT *, row_number() OVER (PARTITION BY to_id ORDER BY from_id) AS k FROM (SELECT DISTINCT to_id, from_id FROM edges WHERE type = 'CITES' AND to_id IS NOT NULL AND from_id IS NOT NULL) QUALIFY k <= 20),
+        jn AS (SELECT id, any_value(key[1]) AS case_no, any_value(props['court']) AS court, any_value(props['outcome']) AS outcome FROM nodes WHERE label = 'Judgment' AND id IS NOT NULL GROUP BY id),
+        r AS (SELECT *, row_number() OVER (PARTITION BY to_id ORDER BY from_id) AS n FROM c JOIN jn ON id = from_id QUALIFY n <= 5)
+        SELECT to_id AS section_id, string_agg('[C' || n || '] ' || coalesce(case_no, 'None') || ' — ' || coalesce(nullif(court, ''), 'court n/a') || ' (outcome: ' || coalesce(nullif(outcome, ''), 'n/a') || ')', chr(10) ORDER BY n) AS text FROM r GROUP BY to_id""",
     "streamed_chunks": "SELECT DISTINCT chunk_id, doc FROM chunks WHERE chunk_id IS NOT NULL",
     "graph_counts": "SELECT 'node' AS kind, label AS name, count(*) AS n FROM nodes GROUP BY label UNION ALL SELECT 'edge', type, count(*) FROM edges GROUP BY type",
     "reset_graph": """

@@ -296,7 +296,7 @@ SQL = {
         x AS (SELECT id, 'section' AS role FROM s UNION ALL SELECT id, 'neighbour' FROM n),
         cj AS (SELECT DISTINCT to_id, from_id FROM edges WHERE type = 'CITES' AND to_id IS NOT NULL AND from_id IS NOT NULL),
         r AS (SELECT *, row_number() OVER (PARTITION BY to_id ORDER BY from_id) AS k FROM cj)
-        SELECT id, role FROM x UNION ALL SELECT DISTINCT from_id, 'judgment' FROM r WHERE k <= 20 AND to_id IN (SELECT id FROM x)""",
+        SELECT id, role FROM x UNION ALL SELECT DISTINCT from_id, 'judgment' FROM r WHERE k <= 20 AND to_id IN (SELECT id FROM s)""",
     "enrichment_coverage": """
         WITH f AS (SELECT CASE WHEN from_label = 'Judgment' THEN from_id ELSE to_id END AS id, type FROM edges WHERE from_label = 'Judgment' OR to_label = 'Judgment'),
         j AS (SELECT DISTINCT id FROM nodes WHERE label = 'Judgment'),

@@ -99,10 +99,12 @@ class Settings:
     top_k: int = 20
     prefetch: int = 50
     rerank: int = 10
+    fast: int = 6
     final: int = 20
     max_hops: int = 1
     threshold: float = 0.4
-    max_nodes: int = 40
+    kg_hops: int = 1
+    max_nodes: int = 12
     seeds: int = 24
 
     @classmethod

@@ -29,8 +29,8 @@ def test_encode(spark):
 
 
 def test_texts(spark):
-    pool = spark.createDataFrame([(2, None, "4", "b" * 9), (1, "d", None, "a"), (9, "x", "x", "x")], "place int, doc string, section_no string, text string")
-    assert E.evidence_text(pool, 8, 3).first().text == "[1] d \na\n\n[2]  4\nbbb"
+    pool = spark.createDataFrame([(2, None, "4", None, "rules", "b" * 9), (1, "d", None, "t", None, "a"), (9, "x", "x", "x", "x", "x")], "place int, doc string, section_no string, section_title string, doc_type string, text string")
+    assert E.evidence_text(pool, 8, 3).first().text == "[1] d — Section None (t) [None]\na\n\n[2] None — Section 4 (n/a) [rules]\nbbb"
     turns = spark.createDataFrame([(1, i, "user" if i % 2 else "system", "" if i == 6 else f"t{i}") for i in range(8)], "c int, n int, role string, text string")
     got = E.history_text(turns, "c", "n", F.col("role"), F.col("text")).first().history
     assert got == "Assistant: t2\nUser: t3\nAssistant: t4\nUser: t5\nUser: t7"

@@ -4,7 +4,6 @@ import json
 
 import pytest
 
-from lexquarry.plans import loop
 from lexquarry.sources import files, tables
 from lexquarry.streaming import ingest
 
@@ -71,27 +70,3 @@ def test_stream_keeps_each_record_once(spark, tmp_path):
     rows(("b", 5, "2024-01-03"), ("c", 6, "2024-01-03")).write.mode("append").parquet(folder)
     got = ingest.ingest(spark, folder, "*.parquet", target, "k", "ord", "t")
     assert sorted(r.k for r in got.collect()) == ["a", "b", "c"]
-
-
-CHUNKS = "chunk_id string, ord int, doc string, section_no string, parent_id string, text string"
-
-
-def test_loop_expands_parents_when_unsure(spark):
-    chunks = spark.createDataFrame([("p", 1, "d", "1", None, "parent words"), ("c", 2, "d", "1", "p", "salt tax levy"), ("s", 3, "d", "2", "p", "sibling text"), ("o", 4, "e", "3", None, "other matter")], CHUNKS)
-    flow = loop.MultiHop(loop.LexicalStore(chunks), tables.Settings(threshold=0.99))
-    state = flow.run("tax question asked here")
-    assert {r.id for r in state.pool.collect()} == {"p", "c", "s"} and state.hop == 2 and state.low
-    sure = loop.MultiHop(loop.LexicalStore(chunks)).run("salt tax levy")
-    assert [r.id for r in sure.pool.collect()] == ["c"] and sure.hop == 1
-    assert loop.shown_evidence(sure.pool).first().score == 1.0
-
-
-def test_loop_with_planner_and_filters(spark):
-    chunks = spark.createDataFrame([("a", 1, "d", "1", None, "alpha"), ("b", 2, "e", "2", None, "beta")], CHUNKS)
-    plan = lambda q, rows, hop: {"next_query": "beta", "filters": {"doc": "e", "section_no": ""}, "note": "n"}
-    state = loop.MultiHop(loop.LexicalStore(chunks), tables.Settings(threshold=2.0), planner=plan).run("alpha", {"doc": "d"})
-    assert {r.id for r in state.pool.collect()} == {"a", "b"} and state.notes == ["n", "n"][: len(state.notes)]
-    broken = lambda *_: 1 / 0
-    state = loop.MultiHop(loop.LexicalStore(chunks), tables.Settings(threshold=2.0), planner=broken).run("alpha")
-    assert "planner failed" in state.notes[0]
-    assert loop.MultiHop(loop.LexicalStore(chunks)).run("nothing").pool.count() == 0
