@@ -46,7 +46,7 @@ def hash_of(text: str) -> int:
 
 
 def ship_table(rows: DataFrame, kind: str) -> Shipped:
-    """Ship ``rows (h bigint, v)``, ``v`` a bigint or a string; several rows may have one hash.
+    """Ship ``rows (h bigint, v)``, ``v`` a bigint, a string or bytes; several rows may have one hash.
 
     ``rows`` is read three times, so it should be cut from its lineage.
     """
@@ -60,7 +60,7 @@ def ship_table(rows: DataFrame, kind: str) -> Shipped:
     files = [str(f.getPath()) for f in path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path) if f.getPath().getName().startswith("part-")]
     for f in files:
         spark.sparkContext.addFile(f)
-    return Shipped(name, tuple(sorted(f.rsplit("/", 1)[1] for f in files)), dict(rows.dtypes)["v"] == "string")
+    return Shipped(name, tuple(sorted(f.rsplit("/", 1)[1] for f in files)), dict(rows.dtypes)["v"] != "bigint")
 
 
 class Table:
@@ -90,9 +90,12 @@ class Table:
         """The rows of one (signed) hash, from and to."""
         return int(np.searchsorted(self.h, h)), int(np.searchsorted(self.h, h, "right"))
 
+    def data(self, row: int) -> bytes:
+        """The bytes of a row; ``v`` holds where they end."""
+        return self.texts[int(self.v[row - 1]) if row else 0 : int(self.v[row])].tobytes()
+
     def text(self, row: int) -> str:
-        """The text of a row; ``v`` holds where the texts end."""
-        return self.texts[int(self.v[row - 1]) if row else 0 : int(self.v[row])].tobytes().decode("utf-8", "surrogatepass")
+        return self.data(row).decode("utf-8", "surrogatepass")
 
 
 def _append(shipped: Shipped, base: str) -> None:
@@ -103,7 +106,7 @@ def _append(shipped: Shipped, base: str) -> None:
             if not shipped.texts:
                 vs.write(batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64).tobytes())
                 continue
-            texts = [t.encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
+            texts = [t if isinstance(t, bytes) else t.encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
             ends = end + np.cumsum([len(t) for t in texts], dtype=np.int64)
             end = int(ends[-1]) if len(ends) else end
             vs.write(ends.tobytes())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -12,13 +13,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from lexquarry.functions import text as X
-from lexquarry.storage import spread
+from lexquarry.lookup import Shipped, Table, ship_table
+from lexquarry.storage import cut, spread
 
 PREFETCH, TOP_K, RRF_K = 50, 20, 60
-#: Queries that are scored in one pass over the vectors, at most; more are scored block by block.
-QUERY_BLOCK = 4096
-#: A table of query terms is broadcast up to this many rows.
-BROADCAST_ROWS = 200_000
+#: Bytes of queries that are shipped to the executors at once, at most; more queries are scored in further rounds.
+ROUND_BYTES = 256 << 20
+#: Queries and rows that are multiplied at once.
+QUERY_TILE, ROW_TILE = 256, 16_384
+#: Bits of the sketches by which a search may choose the rows that it reads, and the share of the rows that it reads then.
+SKETCH_BITS, SHARE = 256, 0.10
 
 
 def matches(filters: dict[str, object]) -> Column:
@@ -33,109 +37,188 @@ def matches(filters: dict[str, object]) -> Column:
     return reduce(Column.__and__, parts) if parts else F.lit(True)
 
 
-def dense_topk(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def _shipped(queries: DataFrame, kind: str) -> list[Shipped]:
+    """``queries (h, v binary)`` in rounds of a bounded size; the executors write them, the driver holds none."""
+    queries = cut(queries)
+    size = queries.agg(F.sum(F.length("v") + 16)).first()[0] or 0
+    rounds = -(-size // ROUND_BYTES)
+    return [ship_table(queries.where(F.pmod(F.xxhash64("h"), F.lit(rounds)) == r), kind) for r in range(rounds)]
+
+
+def _best(scores: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the ``k`` highest scores, the first of equals first."""
+    at = np.arange(len(scores))
+    if len(scores) > k:
+        at = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
+    return at[np.argsort(-scores[at], kind="stable")[:k]]
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(column), -1)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    w = W.partitionBy("q").orderBy(F.desc("score"), "id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+FOUND = "q bigint, id bigint, score double"
+
+
+def _found(parts: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    q = np.repeat(np.array([p[0] for p in parts], np.int64), [len(p[1]) for p in parts])
+    join = lambda i, kind: np.concatenate([p[i] for p in parts]) if parts else np.empty(0, kind)
+    return pa.RecordBatch.from_arrays([pa.array(q), pa.array(join(1, np.int64)), pa.array(join(2, np.float64))], ["q", "id", "score"])
+
+
+def sketches(v: np.ndarray, bits: int = SKETCH_BITS, seed: int = 11) -> np.ndarray:
+    """Signs of the rows after seeded rotations, in words of 64 bits."""
+    rng, dim = np.random.default_rng(seed), v.shape[1]
+    turns = np.concatenate([np.linalg.qr(rng.normal(size=(dim, dim)))[0] for _ in range(-(-bits // dim))], 1)[:, :bits]
+    return np.packbits(v @ turns > 0, axis=1).view(np.uint64)
+
+
+def dense_topk(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", share: float | None = None) -> DataFrame:
     """``(q, id, score, rank)``: for every query the ``k`` rows of highest inner product, ties by id.
 
-    Queries are scored in blocks: a pass over the rows multiplies each Arrow batch
-    with a block of queries and keeps ``k`` rows per query and partition; those few are
-    ranked at the end.  A row equal to the query itself is a result as any other.
-    Null vectors take no part.
+    One scan of the rows: a task holds the vectors of its split, multiplies them with
+    tiles of the queries, which it maps from a shipped file, and keeps ``k`` rows a
+    query; those are ranked at the end.  With a ``share`` (``index_topk``) only that
+    share of the split, the nearest by their sketches, is multiplied.  A row equal to
+    the query itself is a result as any other.  Null vectors take no part.
     """
-    spark = rows.sparkSession
     data = rows.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<float>").alias("v"))
-    asked = queries.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("q"), F.col(vec_col).cast("array<float>").alias("v")).orderBy("q")
-    parts, block = [], []
-    schema = "q bigint, id bigint, score double"
-
-    def scored(block: list) -> DataFrame:
-        ids = np.array([r.q for r in block], np.int64)
-        matrix = np.array([r.v for r in block], np.float32).astype(np.float64)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best_s, best_i = np.full((len(ids), k), -np.inf), np.full((len(ids), k), -1, np.int64)
-            for b in batches:
-                own = b.column(0).to_numpy()
-                v = np.array(b.column(1).to_pylist(), np.float64).reshape(len(own), -1)
-                s = np.concatenate([best_s, matrix @ v.T], 1)
-                i = np.concatenate([best_i, np.broadcast_to(own, (len(ids), len(own)))], 1)
-                order = np.lexsort((i, -np.round(s, 6)), axis=1)[:, :k]
-                best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-            keep = best_i.ravel() >= 0
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, k)[keep]), pa.array(best_i.ravel()[keep]), pa.array(best_s.ravel()[keep])], ["q", "id", "score"])
-
-        return data.mapInArrow(run, schema)
-
-    for r in asked.toLocalIterator():
-        block.append(r)
-        if len(block) == QUERY_BLOCK:
-            parts.append(scored(block))
-            block = []
-    if block:
-        parts.append(scored(block))
-    if not parts:
-        return spark.createDataFrame([], schema + ", rank int")
-    found = reduce(DataFrame.unionByName, parts).withColumn("score", F.round("score", 6))
-    w = W.partitionBy("q").orderBy(F.desc("score"), "id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    asked = queries.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("h"), F.col(vec_col).cast("array<float>").alias("v"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in _matrix(b.column(1))], pa.binary())], ["h", "v"])
+
+    rounds = _shipped(asked.mapInArrow(pack, "h bigint, v binary"), "vectors")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column(0).to_numpy(), _matrix(b.column(1))) for b in batches if b.num_rows]
+        if not held:
+            return
+        ids, v = (np.concatenate(c) for c in zip(*held))
+        order = np.argsort(ids, kind="stable")
+        ids, v = ids[order], v[order]
+        codes = sketches(v) if share else None
+        for shipped in rounds:
+            table = Table(shipped)
+            asks = table.texts.view(np.float32).reshape(len(table.h), -1)
+            for lo in range(0, len(asks), QUERY_TILE):
+                tile = asks[lo : lo + QUERY_TILE].astype(np.float64)
+                yield _found([(int(q), ids[at], s) for q, (at, s) in zip(table.h[lo : lo + QUERY_TILE], _near(tile, v, codes, k, share) if share else _exact(tile, v, k))])
+
+    return _ranked(spread(data).mapInArrow(run, FOUND), k)
+
+
+def _exact(tile: np.ndarray, v: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions and scores of the ``k`` best rows of each query of the tile."""
+    at: list[list[np.ndarray]] = [[] for _ in tile]
+    scores: list[list[np.ndarray]] = [[] for _ in tile]
+    for lo in range(0, len(v), ROW_TILE):
+        for i, s in enumerate(np.round(tile @ v[lo : lo + ROW_TILE].astype(np.float64).T, 6)):
+            best = _best(s, k)
+            at[i].append(best + lo)
+            scores[i].append(s[best])
+    for a, s in zip(map(np.concatenate, at), map(np.concatenate, scores)):
+        best = _best(s, k)
+        yield a[best], s[best]
+
+
+def _near(tile: np.ndarray, v: np.ndarray, codes: np.ndarray, k: int, share: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same among the share of the rows whose sketches differ least from the query's."""
+    most = min(len(v), max(k, math.ceil(share * len(v))))
+    for q, code in zip(tile, sketches(tile)):
+        apart = np.bitwise_count(codes ^ code).sum(1, dtype=np.int32)
+        read = np.sort(np.argpartition(apart, most - 1)[:most])
+        s = np.round(v[read].astype(np.float64) @ q, 6)
+        best = _best(s, k)
+        yield read[best], s[best]
+
+
+def index_topk(rows: DataFrame, queries: DataFrame, k: int, share: float = SHARE, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """As ``dense_topk``, reading a ``share`` of the vectors only, those of nearest sketches.
+
+    Every row is indexed, by ``SKETCH_BITS`` signs; nothing is fitted.  The chance to
+    miss a true neighbour doesn't grow with the rows, as the share read is the same.
+    """
+    return dense_topk(rows, queries, k, id_col, vec_col, share)
 
 
-def fit_lists(rows: DataFrame, lists: int, sample_rows: int = 20_000, vec_col: str = "embedding", seed: int = 3) -> np.ndarray:
-    """Centroids of an inverted-list index, fitted by k-means on about ``sample_rows`` rows (twice as many at most), chosen by a seeded hash."""
-    some = rows.where(F.col(vec_col).isNotNull()).select(vec_col)
-    n = max(1, some.count())
-    got = some.where(F.pmod(F.xxhash64(F.lit(seed), vec_col), F.lit(n)) < sample_rows).limit(2 * sample_rows).collect()
-    x = np.array([r[0] for r in got], np.float64)
-    rng = np.random.default_rng(seed)
-    c = x[rng.choice(len(x), min(lists, len(x)), replace=False)]
-    for _ in range(12):
-        near = np.argmax(x @ c.T - (c * c).sum(1) / 2, 1)
-        for j in range(len(c)):
-            if (near == j).any():
-                c[j] = x[near == j].mean(0)
-    return c
-
-
-def index_topk(rows: DataFrame, queries: DataFrame, k: int, centroids: np.ndarray, probes: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """As ``dense_topk``, but each query is compared with the rows of its ``probes`` nearest lists only; every row is indexed."""
-    cents = centroids.copy()
-
-    def assign(n: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                v = np.array(b.column(1).to_pylist(), np.float64).reshape(b.num_rows, -1)
-                near = np.argsort(-(v @ cents.T - (cents * cents).sum(1) / 2), axis=1)[:, :n].astype(np.int32)
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, near.size + 1, near.shape[1], dtype=np.int32)), pa.array(near.ravel()))
-                yield pa.RecordBatch.from_arrays([*b.columns, flat], ["id", "v", "lists"])
-
-        return run
-
-    vectors = lambda df: df.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<float>").alias("v"))
-    schema = "id bigint, v array<float>, lists array<int>"
-    left = vectors(rows).mapInArrow(assign(1), schema).select("id", "v", F.get("lists", F.lit(0)).alias("l"))
-    right = vectors(queries).mapInArrow(assign(min(probes, len(cents))), schema).select(F.col("id").alias("q"), F.col("v").alias("qv"), F.explode("lists").alias("l"))
-    pairs = left.join(right, "l").select("q", "id", F.round(X.dot(F.col("qv"), F.col("v")), 6).alias("score"))
-    w = W.partitionBy("q").orderBy(F.desc("score"), "id")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+def text_vectors(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Sparse vectors ``(id, terms, weights)``: lower-cased words of letters and digits by their hashes, each time a word occurs with a weight of 1; ids are unique."""
+    terms = F.transform(F.filter(F.split(F.lower(text_col), "[^a-z0-9]+"), lambda x: x != ""), lambda x: F.xxhash64(x))
+    return df.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), terms.alias("terms")).withColumn("weights", F.transform("terms", lambda _: F.lit(1.0)))
 
 
-def terms(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Sparse vectors ``(id, term, weight)``: lower-cased words of letters and digits with their counts."""
-    w = F.filter(F.split(F.lower(text_col), "[^a-z0-9]+"), lambda x: x != "")
-    return spread(df.select(id_col, text_col)).select(F.col(id_col).alias("id"), F.explode(w).alias("term")).groupBy("id", "term").agg(F.count("*").cast("double").alias("weight"))
+def given_vectors(df: DataFrame, id_col: str, map_col: str) -> DataFrame:
+    """Sparse vectors ``(id, terms, weights)`` of a column of maps from terms to weights."""
+    return df.where(F.col(map_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.transform(F.map_keys(map_col), lambda x: F.xxhash64(x)).alias("terms"), F.map_values(map_col).cast("array<double>").alias("weights"))
 
 
-def sparse_topk(postings: DataFrame, query_terms: DataFrame, k: int) -> DataFrame:
-    """``(q, id, score, rank)`` by the inner product of sparse vectors; ``query_terms (q, term, weight)``.
+def sparse_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """``(q, id, score, rank)`` by the inner product of sparse vectors ``(id, terms, weights)``, of those that share a term; ties by id.
 
-    The queries' terms are broadcast if their counted number allows it, so the
-    postings stay where they are; else both sides are joined by a shuffle.
+    One scan of the rows: a task makes postings of its split for the terms that are
+    asked, adds up one query after the other in an array of its rows, and keeps ``k``
+    rows a query.  No pair of a query and a row is ever a row of a table, so terms that
+    all rows have make neither hot keys nor a large shuffle.
     """
-    asked = query_terms.withColumnRenamed("weight", "qw")
-    if asked.count() <= BROADCAST_ROWS:
-        asked = F.broadcast(asked)
-    hits = postings.join(asked, "term").groupBy("q", "id").agg(F.round(F.sum(F.col("weight") * F.col("qw")), 6).alias("score"))
-    w = W.partitionBy("q").orderBy(F.desc("score"), "id")
-    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            packed = [np.array(t, np.int64).tobytes() + np.array(w, np.float64).tobytes() for t, w in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], ["h", "v"])
+
+    rounds = _shipped(queries.where(F.size("terms") > 0).select("id", "terms", "weights").mapInArrow(pack, "h bigint, v binary"), "terms")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = [Table(r) for r in rounds]
+        asks = [[(int(q), x[: len(x) // 2], x[len(x) // 2 :].view(np.float64)) for i, q in enumerate(t.h) for x in [np.frombuffer(t.data(i), np.int64)]] for t in tables]
+        known = np.unique(np.concatenate([x for r in asks for _, x, _ in r])) if any(asks) else np.empty(0, np.int64)
+        ids, term, row, weight, n = [], [], [], [], 0
+        for b in batches if len(known) else ():
+            ids.append(b.column(0).to_numpy())
+            flat, value = b.column(1).flatten().to_numpy(), b.column(2).flatten().to_numpy()
+            owner = np.repeat(np.arange(n, n + b.num_rows), np.diff(b.column(1).offsets.to_numpy()))
+            at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+            hit = known[at] == flat
+            term.append(at[hit])
+            row.append(owner[hit])
+            weight.append(value[hit])
+            n += b.num_rows
+        if not n:
+            return
+        ids, term, row, weight = map(np.concatenate, (ids, term, row, weight))
+        order = np.lexsort((row, term))
+        term, row, weight = term[order], row[order], weight[order]
+        first = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (row[1:] != row[:-1])))) if len(term) else np.empty(0, np.int64)
+        term, row, weight = term[first], row[first], np.add.reduceat(weight, first) if len(first) else weight
+        begin = np.searchsorted(term, np.arange(len(known) + 1))
+        by_id = np.argsort(ids, kind="stable")
+        place = np.empty(n, np.int64)
+        place[by_id] = np.arange(n)
+        row, ids = place[row], ids[by_id]
+        score, touched, parts = np.zeros(n), np.zeros(n, bool), []
+        for q, terms, weights in (x for r in asks for x in r):
+            spans = [(begin[t], begin[t + 1], w) for t, w in zip(np.searchsorted(known, terms), weights) if begin[t] < begin[t + 1]]
+            for lo, hi, w in spans:
+                score[row[lo:hi]] += weight[lo:hi] * w
+                touched[row[lo:hi]] = True
+            at = np.flatnonzero(touched)
+            s = np.round(score[at], 6)
+            best = _best(s, k)
+            parts.append((q, ids[at[best]], s[best]))
+            score[at], touched[at] = 0.0, False
+            if len(parts) == 1000:
+                yield _found(parts)
+                parts = []
+        yield _found(parts)
+
+    return _ranked(spread(vectors.select("id", "terms", "weights")).mapInArrow(run, FOUND), k)
 
 
 def fuse(dense: DataFrame, sparse: DataFrame, top_k: int = TOP_K, rrf_k: int = RRF_K) -> DataFrame:
@@ -192,6 +275,23 @@ def verify_vectors(df: DataFrame, vec_col: str, dim: int) -> DataFrame:
     return df.agg(F.count("*").alias("n"), F.count_if(v.isNull()).alias("missing"), F.count_if(F.size(v) != dim).alias("wrong_dim"), F.count_if(F.abs(X.l2_norm(v) - 1) > 1e-2).alias("off_norm"))
 
 
+def gold_hits(found: DataFrame, gold: DataFrame) -> DataFrame:
+    """``(q, rank)`` of results ``(q, doc, section_no, rank)`` that are in ``gold (q, doc, section_no)``; a null section in it stands for any."""
+    g = gold.select("q", "doc", F.col("section_no").alias("wanted"))
+    return found.join(g, ["q", "doc"]).where(F.col("wanted").isNull() | (F.col("section_no").cast("string") == F.col("wanted"))).select("q", "rank").distinct()
+
+
+def gold_recall(before: DataFrame, after: DataFrame, gold: DataFrame, k: int = 5) -> DataFrame:
+    """``(stage, k, n_queries, hits, recall)`` of two rankings of the same queries, before and after reranking: a query counts if one of its first ``k`` results is gold."""
+    asked = gold.select("q").distinct()
+    parts = []
+    for stage, found in (("retrieved", before), ("reranked", after)):
+        hit = gold_hits(found.where(F.col("rank") <= k), gold).select("q").distinct().withColumn("hit", F.lit(1))
+        one = asked.join(hit, "q", "left").agg(F.count("*").alias("n_queries"), F.count("hit").alias("hits"))
+        parts.append(one.select(F.lit(stage).alias("stage"), F.lit(k).alias("k"), "n_queries", "hits", F.round(F.col("hits") / F.col("n_queries"), 6).alias("recall")))
+    return parts[0].unionByName(parts[1])
+
+
 def recall_at(found: DataFrame, gold: DataFrame, ks: tuple[int, ...]) -> DataFrame:
     """Per ``k`` the share of queries of which one of the first ``k`` results is in ``gold (q, id)``; queries without results count 0."""
     hit = found.join(gold, ["q", "id"]).groupBy("q").agg(F.min("rank").alias("first"))

@@ -17,7 +17,9 @@ def vectors(spark, n=200, dim=8, seed=1):
 
 
 def test_dense_topk_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(R, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(R, "QUERY_TILE", 3)
+    monkeypatch.setattr(R, "ROW_TILE", 17)
+    monkeypatch.setattr(R, "ROUND_BYTES", 200)
     x, df = vectors(spark)
     got = R.dense_topk(df.repartition(5), df.where("vec_id % 20 = 0"), 7)
     s = np.round(x[::20].astype(np.float64) @ x.astype(np.float64).T, 6)
@@ -25,6 +27,10 @@ def test_dense_topk_against_brute_force(spark, monkeypatch):
     assert {(r.q, r.id, r["rank"]) for r in got.collect()} == want
 
 
+def test_best_takes_the_first_of_equals():
+    assert R._best(np.array([1.0, 3.0, 3.0, 2.0, 3.0]), 2).tolist() == [1, 2] and R._best(np.array([1.0]), 5).tolist() == [0] and R._best(np.array([]), 2).tolist() == []
+
+
 def test_dense_edge_cases(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [1.0, 0.0]), (4, [0.0, 1.0])], "vec_id bigint, embedding array<float>")
     got = [(r.q, r.id, r["rank"]) for r in R.dense_topk(df, df.where("vec_id < 3"), 2).orderBy("rank").collect()]
@@ -34,17 +40,45 @@ def test_dense_edge_cases(spark):
 
 
 def test_index_recall(spark):
-    _, df = vectors(spark, 600, 8, 2)
+    _, df = vectors(spark, 2000, 48, 2)
     asked = df.where("vec_id % 20 = 0")
     exact = {(r.q, r.id) for r in R.dense_topk(df, asked, 10).collect()}
-    near = {(r.q, r.id) for r in R.index_topk(df, asked, 10, R.fit_lists(df, 12), 7).collect()}
-    assert len(exact & near) / len(exact) >= 0.9
+    found = R.index_topk(df, asked, 10).collect()
+    assert len(exact & {(r.q, r.id) for r in found}) / len(exact) >= 0.9 and len(found) == len(exact)
+    assert {r.id for r in R.index_topk(df, asked.limit(1), 3, 1e-9).collect()} and R.index_topk(df.limit(0), asked, 3).count() == 0
+
+
+def test_sparse_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(R, "ROUND_BYTES", 500)
+    rng = random.Random(3)
+    words = ["of", "of", "of", "the"] + [f"w{i}" for i in range(30)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 25))) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(6)
+    v = R.text_vectors(df, "doc_id", "text")
+    want = set()
+    for q in range(0, 150, 20):
+        scores = {i: sum(t.split().count(w) for w in texts[q].split()) for i, t in enumerate(texts)}
+        best = sorted((i for i in scores if scores[i]), key=lambda i: (-scores[i], i))[:5]
+        want |= {(q, i, float(scores[i]), r + 1) for r, i in enumerate(best)}
+    assert {(r.q, r.id, r.score, r["rank"]) for r in R.sparse_topk(v, v.where("id % 20 = 0"), 5).collect()} == want
+    given = spark.createDataFrame([(1, {"a": 0.5, "b": -2.0}), (2, {"b": 1.0}), (3, {}), (4, None), (5, {"c": 1.0})], "id int, m map<string,double>")
+    g = R.given_vectors(given, "id", "m")
+    assert sorted(tuple(r) for r in R.sparse_topk(g, g.where("id = 2"), 9).collect()) == [(2, 1, -2.0, 2), (2, 2, 1.0, 1)]
+
+
+def test_gold_recall(spark):
+    found = lambda *x: spark.createDataFrame(x, "q int, doc string, section_no string, rank int")
+    gold = spark.createDataFrame([(1, "a", "302"), (2, "b", None), (2, "c", "9"), (3, "d", "1")], "q int, doc string, section_no string")
+    before = found((1, "a", "302", 6), (2, "b", None, 5), (3, "d", "2", 1))
+    after = found((1, "a", "302", 1), (1, "a", "302", 2), (2, "x", "9", 1))
+    assert [tuple(r) for r in R.gold_recall(before, after, gold).collect()] == [("retrieved", 5, 3, 1, 0.333333), ("reranked", 5, 3, 1, 0.333333)]
 
 
 def test_sparse_and_fusion(spark):
     docs = spark.createDataFrame([(1, "Tax court tax"), (2, "court of session"), (3, None), (4, "")], "doc_id bigint, text string")
-    asked = spark.createDataFrame([(9, "tax", 2.0), (9, "court", 1.0), (8, "none", 1.0)], "q bigint, term string, weight double")
-    got = [(r.q, r.id, r.score, r["rank"]) for r in R.sparse_topk(R.terms(docs, "doc_id", "text"), asked, 5).orderBy("rank").collect()]
+    asked = spark.createDataFrame([(9, {"tax": 2.0, "court": 1.0}), (8, {"none": 1.0})], "q bigint, m map<string,double>")
+    found = R.sparse_topk(R.text_vectors(docs, "doc_id", "text"), R.given_vectors(asked, "q", "m"), 5)
+    got = [(r.q, r.id, r.score, r["rank"]) for r in found.orderBy("rank").collect()]
     assert got == [(9, 1, 5.0, 1), (9, 2, 1.0, 2)]
     dense = spark.createDataFrame([(9, 2, 1), (9, 7, 2)], "q bigint, id bigint, rank int")
     sparse = spark.createDataFrame([(9, 1, 1), (9, 2, 2)], "q bigint, id bigint, rank int")
