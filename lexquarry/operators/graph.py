@@ -24,6 +24,14 @@ NODE_KEYS = {
     "Judgment": ["case_no"], "Court": ["name"], "Party": ["name"], "Offence": ["name"],
 }
 EDGE_TYPES = ["CONTAINS", "PARENT_OF", "BELONGS_TO", "AMENDED_BY", "REFERENCES", "CITES", "DECIDED_BY", "INVOLVES", "CONCERNS"]
+#: Properties of nodes beside their keys, and the kinds of the ends of edges.
+NODE_PROPERTIES = {
+    "Act": ["doc", "doc_type"], "Section": ["title", "chunk_id", "text"], "Chunk": ["doc", "level", "section_no", "parent_id", "collection", "point_id"], "Judgment": ["doc", "court", "parties", "outcome", "date"],
+}
+EDGE_ENDS = {
+    "CONTAINS": [("Act", "Section"), ("Act", "Part"), ("Part", "Section"), ("Act", "Chapter"), ("Chapter", "Section")], "PARENT_OF": [("Chunk", "Chunk")], "BELONGS_TO": [("Chunk", "Section")], "AMENDED_BY": [("Section", "Act")],
+    "REFERENCES": [("Section", "Section"), ("Section", "Act")], "CITES": [("Judgment", "Section")], "DECIDED_BY": [("Judgment", "Court")], "INVOLVES": [("Judgment", "Party")], "CONCERNS": [("Judgment", "Offence")],
+}
 #: Kinds of documents whose sections become nodes.
 STATUTES = ("statute", "rules", "amendment", "order")
 SOURCES = {

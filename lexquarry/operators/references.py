@@ -91,12 +91,12 @@ def month_of(ts: str) -> Column:
 
 def corpus_references(chunks: DataFrame, edges: DataFrame) -> DataFrame:
     """All references of the corpus ``(tab, field, row_key, key, month, due)``; null and empty ones are none."""
-    parts = [("chunks", chunks, "parent_id", "ord"), ("edges", edges, "from_id", "edge_id"), ("edges", edges, "to_id", "edge_id")]
-    rows = [
-        df.where(F.col(field) != "").select(F.lit(tab).alias("tab"), F.lit(field).alias("field"), F.col(key).alias("row_key"), F.col(field).alias("key"), month_of("ingested_at").alias("month"), month_end("ingested_at").alias("due"))
-        for tab, df, field, key in parts
-    ]
-    return reduce(DataFrame.unionByName, rows)
+    def of(df: DataFrame, tab: str, row_key: str, fields: list[str]) -> DataFrame:
+        ends = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("key")) for f in fields))
+        rows = df.select(F.lit(tab).alias("tab"), F.col(row_key).alias("row_key"), "ingested_at", F.inline(ends))
+        return rows.where("key <> ''").select("tab", "field", "row_key", "key", month_of("ingested_at").alias("month"), month_end("ingested_at").alias("due"))
+
+    return of(chunks, "chunks", "ord", ["parent_id"]).unionByName(of(edges, "edges", "edge_id", ["from_id", "to_id"]))
 
 
 def corpus_targets(chunks: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -72,10 +72,10 @@ def cited_texts(spark, sf_dir):
 def streamed_chunks(spark, sf_dir):
     """Chunks taken in as a stream, each id once."""
     target = f"{shared_dir(spark)}/streamed-{uuid.uuid4().hex}"
-    cols = ["chunk_id", "ord", "ingested_at", "doc"]
+    cols = ["chunk_id", "ord", "doc"]
     one = spark.read.parquet(f"{sf_dir}/chunks.parquet").inputFiles()[0]
     folder, glob = (f"{sf_dir}/chunks.parquet", "*.parquet") if not one.endswith("chunks.parquet") else (sf_dir, "chunks.parquet")
-    return ingest.ingest(spark, folder, glob, target, "chunk_id", "ord", "ingested_at", cols=cols).select("chunk_id", "doc")
+    return ingest.ingest(spark, folder, glob, target, "chunk_id", "ord", cols).select("chunk_id", "doc")
 
 
 def graph_counts(spark, sf_dir):
@@ -117,7 +117,7 @@ SQL = {
         jn AS (SELECT id, any_value(key[1]) AS case_no, any_value(props['court']) AS court, any_value(props['outcome']) AS outcome FROM nodes WHERE label = 'Judgment' AND id IS NOT NULL GROUP BY id),
         r AS (SELECT *, row_number() OVER (PARTITION BY to_id ORDER BY from_id) AS n FROM c JOIN jn ON id = from_id QUALIFY n <= 5)
         SELECT to_id AS section_id, string_agg('[C' || n || '] ' || coalesce(case_no, 'None') || ' — ' || coalesce(nullif(court, ''), 'court n/a') || ' (outcome: ' || coalesce(nullif(outcome, ''), 'n/a') || ')', chr(10) ORDER BY n) AS text FROM r GROUP BY to_id""",
-    "streamed_chunks": "SELECT DISTINCT chunk_id, doc FROM chunks WHERE chunk_id IS NOT NULL",
+    "streamed_chunks": "SELECT chunk_id, arg_max(doc, ord) AS doc FROM chunks WHERE chunk_id IS NOT NULL GROUP BY chunk_id",
     "graph_counts": "SELECT 'node' AS kind, label AS name, count(*) AS n FROM nodes GROUP BY label UNION ALL SELECT 'edge', type, count(*) FROM edges GROUP BY type",
     "reset_graph": """
         SELECT 'node' AS kind, label, count(*) AS n FROM nodes WHERE coalesce(label NOT IN ('Court', 'Party'), true) GROUP BY label

@@ -8,6 +8,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
+
+from lexquarry.functions import text as X
+from lexquarry.storage import cut
 
 #: A page extractor: from a file's bytes to the texts of its pages.
 Extractor = Callable[[bytes], list[str]]
@@ -50,6 +54,31 @@ def read_pages(spark: SparkSession, folder: str, glob: str = "*.pdf", extract: E
     return files.select("path", "content").mapInPandas(run, "name string, path string, pages array<string>, error string")
 
 
+def extract_documents(spark: SparkSession, folder: str, glob: str = "*.[pP][dD][fF]", extract: Extractor = pdf_pages, judgments: bool = True) -> DataFrame:
+    """``(ord, name, path, title, pages, text, doc_type, needs_ocr, error)`` of a folder's files, numbered by name.
+
+    The title is made from the name, the kind is detected from text and name, and a
+    text that looks garbled needs character recognition.  A file that can't be read
+    has its error and nothing else, and no number.
+    """
+    docs = read_pages(spark, folder, glob, extract).withColumn("text", F.array_join("pages", "\n", ""))
+    docs = cut(docs)  # the extractor runs once
+    order = docs.where("error is null").select("path", F.row_number().over(W.orderBy("name", "path")).alias("ord"))
+    known = F.col("error").isNull()
+    return docs.join(order, "path", "left").select(
+        "ord", "name", "path", X.title_from_filename("name").alias("title"), "pages", "text",
+        F.when(known, X.doc_type_of("text", "name", judgments)).alias("doc_type"), F.when(known, X.looks_garbled("text")).alias("needs_ocr"), "error",
+    )
+
+
+def json_list(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """The records of one file that must hold an array of objects; another shape, or no file, is an error."""
+    shape = [(r.shape, r.rejected) for r in json_rejects(spark, path).collect()]
+    if shape != [("list", 0)]:
+        raise ValueError(f"{path} holds no list of records, but {shape}")
+    return json_records(spark, path, schema).drop("file", "pos")
+
+
 def json_records(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """``(file, pos, record)``: the objects of JSON files that hold an array, an object of objects, or an array without its ``[``.
 

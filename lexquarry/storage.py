@@ -1,13 +1,18 @@
 """Shared storage: where lineage is cut and where small side files are kept.
 
 Everything goes to the folder named by ``spark.checkpoint.dir``, which all
-executors share.  Only where that setting is absent (tests on one machine) a
-temporary folder is made.
+executors share.  Only where that setting is absent and Spark runs in one process
+(tests) a temporary folder is made, which goes with the process; on a cluster the
+setting is needed.  Checkpoints that nothing refers to any more are removed by Spark if
+``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
 """
 
 from __future__ import annotations
 
+import atexit
 import hashlib
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,9 +25,13 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    app = spark.sparkContext.applicationId
+    app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+    if not re.fullmatch(r"local(?:\[.*\])?", master):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
     if app not in _fallback:
-        _fallback[app] = "file://" + tempfile.mkdtemp(prefix="lexquarry-")
+        folder = tempfile.mkdtemp(prefix="lexquarry-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _fallback[app] = "file://" + folder
     return _fallback[app]
 
 
@@ -55,12 +64,18 @@ def ship(spark: SparkSession, payload: bytes, kind: str) -> str:
     return name
 
 
+_shuffled = re.compile(r"(?m)^[ :+-]*(?:Join|Aggregate|Window|Distinct|Repartition\w*|Sort|Deduplicate|GlobalLimit|Intersect|Except)\b")
+
+
 def spread(rows: DataFrame) -> DataFrame:
     """``rows`` of a scan over at least as many tasks as there are cores.
 
     Input in fewer splits than cores (a small file of one row group) is dealt out by
-    one shuffle; larger input, which has more splits than that, is left as it is.
+    one shuffle; larger input, which has more splits than that, is left as it is.  So are
+    rows that come out of a shuffle: their tasks are counted when they run.
     """
+    if _shuffled.search(rows._jdf.queryExecution().optimizedPlan().toString()):
+        return rows
     cores = rows.sparkSession.sparkContext.defaultParallelism
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
