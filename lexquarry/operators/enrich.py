@@ -130,3 +130,14 @@ def markdown(df: DataFrame, most: int = 1000) -> str:
     cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
     head = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     return "\n".join(head + ["| " + " | ".join(cell(v) for v in r) + " |" for r in rows])
+
+
+def report(parts: dict[str, DataFrame], most: int = 1000) -> dict[str, list[dict]]:
+    """Small report tables as one JSON-ready document; like ``markdown`` it is for aggregates and refuses more than ``most`` rows of one."""
+    out = {}
+    for name, df in parts.items():
+        rows = df.limit(most + 1).collect()
+        if len(rows) > most:
+            raise ValueError(f"more than {most} rows of {name}")
+        out[name] = [r.asDict(recursive=True) for r in rows]
+    return out

@@ -64,13 +64,43 @@ def meta_keys(df: DataFrame, meta: str, order: str) -> DataFrame:
 
 def nearest_rank(df: DataFrame, value: Column) -> DataFrame:
     """Count, least, median, 95th percentile and largest by nearest rank; nulls take no part."""
-    v = df.select(value.alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("n"))
-    # the values' counts are few against the rows; their running total gives exact ranks
-    total = F.sum("n").over(W.partitionBy(F.lit(0)))
-    upto = F.sum("n").over(W.partitionBy(F.lit(0)).orderBy("v"))
-    ranked = v.select("v", "n", upto.alias("upto"), total.alias("total"))
-    at = lambda p: F.min(F.when(F.col("upto") >= F.ceil(F.lit(p) * F.col("total")), F.col("v")))
-    return ranked.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.min("v").alias("least"), at(0.5).alias("p50"), at(0.95).alias("p95"), F.max("v").alias("largest"))
+    at = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY v)")
+    return df.select(value.alias("v")).agg(F.count("v").alias("n"), F.min("v").alias("least"), at(0.5).cast(df.select(value).schema[0].dataType).alias("p50"), at(0.95).cast(df.select(value).schema[0].dataType).alias("p95"), F.max("v").alias("largest"))
+
+
+#: Names of the types that values of records have.
+TYPE_NAMES = {"VOID": "null", "BOOLEAN": "bool", "BIGINT": "int", "DECIMAL": "float", "DOUBLE": "float", "FLOAT": "float", "STRING": "str", "ARRAY": "list", "OBJECT": "dict"}
+
+
+def type_name(v: Column) -> Column:
+    """The name of a variant's type."""
+    kind = F.regexp_extract(F.schema_of_variant(v), r"^[A-Z]+", 0)
+    return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in TYPE_NAMES.items() for x in kv)), kind), F.lower(kind))
+
+
+def profile_records(df: DataFrame, records: str, order: str) -> DataFrame:
+    """``(field, majority, types, n_rows, coverage, nulls, n_distinct, example)`` of the fields of records, a column of variants.
+
+    ``types`` counts the types of a field's values; the majority is the commonest of
+    those that aren't null, the first by name of equals.  The rows of a field are the
+    records that have it; coverage is its share of values that aren't empty in all records.
+    """
+    n = df.count()
+    df.createOrReplaceTempView("_lexquarry_records")
+    long = df.sparkSession.sql(f"SELECT `{order}` AS at, e.key AS field, e.value AS v FROM _lexquarry_records, LATERAL variant_explode(`{records}`) AS e")
+    said = F.to_json("v")
+    cells = long.select("at", "field", type_name(F.col("v")).alias("type"), said.alias("value"), (F.col("v").isNull() | F.is_variant_null("v") | said.isin('""', "[]", "{}")).alias("empty"))
+    values = cells.groupBy("field", "type", "value", "empty").agg(F.count("*").alias("n"), F.min("at").alias("at"))
+    full = ~F.col("empty")
+    kinds = values.groupBy("field", "type").agg(
+        F.sum("n").alias("n"), F.sum(F.when(full, F.col("n")).otherwise(0)).alias("full"), F.count(F.when(full, 1)).alias("n_distinct"), F.min(F.when(full, F.struct("at", "value"))).alias("first"),
+    )
+    known = F.when(F.col("type") != "null", F.struct((-F.col("n")).alias("n"), "type"))
+    types = F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n"))))
+    return kinds.groupBy("field").agg(
+        F.coalesce(F.min(known)["type"], F.lit("null")).alias("majority"), types.alias("types"), F.sum("n").alias("n_rows"), F.round(F.sum("full") / F.lit(max(1, n)), 4).alias("coverage"),
+        F.coalesce(F.sum(F.when(F.col("type") == "null", F.col("n"))), F.lit(0)).alias("nulls"), F.sum("n_distinct").alias("n_distinct"), F.min("first")["value"].alias("example"),
+    )
 
 
 def structure_counts(df: DataFrame) -> DataFrame:

@@ -269,27 +269,31 @@ def upsert(existing: DataFrame, new: DataFrame, key: str, order: str) -> DataFra
     return existing.join(latest.select(key), key, "left_anti").select(*existing.columns).unionByName(latest.select(*existing.columns))
 
 
-def verify_vectors(df: DataFrame, vec_col: str, dim: int) -> DataFrame:
-    """Rows, wrong dimensions, norms off 1 by more than 0.01, null vectors."""
-    v = F.col(vec_col)
-    return df.agg(F.count("*").alias("n"), F.count_if(v.isNull()).alias("missing"), F.count_if(F.size(v) != dim).alias("wrong_dim"), F.count_if(F.abs(X.l2_norm(v) - 1) > 1e-2).alias("off_norm"))
+def verify_vectors(df: DataFrame, vec_col: str, dim: int, sparse_col: str | None = None, text_col: str | None = None, sample: int | None = None) -> DataFrame:
+    """Rows, wrong dimensions, norms off 1 by more than 0.01, null vectors, and where given empty sparse vectors and missing texts.
 
-
-def gold_hits(found: DataFrame, gold: DataFrame) -> DataFrame:
-    """``(q, rank)`` of results ``(q, doc, section_no, rank)`` that are in ``gold (q, doc, section_no)``; a null section in it stands for any."""
-    g = gold.select("q", "doc", F.col("section_no").alias("wanted"))
-    return found.join(g, ["q", "doc"]).where(F.col("wanted").isNull() | (F.col("section_no").cast("string") == F.col("wanted"))).select("q", "rank").distinct()
-
-
-def gold_recall(before: DataFrame, after: DataFrame, gold: DataFrame, k: int = 5) -> DataFrame:
-    """``(stage, k, n_queries, hits, recall)`` of two rankings of the same queries, before and after reranking: a query counts if one of its first ``k`` results is gold."""
-    asked = gold.select("q").distinct()
-    parts = []
-    for stage, found in (("retrieved", before), ("reranked", after)):
-        hit = gold_hits(found.where(F.col("rank") <= k), gold).select("q").distinct().withColumn("hit", F.lit(1))
-        one = asked.join(hit, "q", "left").agg(F.count("*").alias("n_queries"), F.count("hit").alias("hits"))
-        parts.append(one.select(F.lit(stage).alias("stage"), F.lit(k).alias("k"), "n_queries", "hits", F.round(F.col("hits") / F.col("n_queries"), 6).alias("recall")))
-    return parts[0].unionByName(parts[1])
+    All rows are looked at; a ``sample`` of so many by a hash, 1 to 30, is the quick look that tools take.
+    """
+    if sample is not None:
+        df = df.orderBy(F.xxhash64(vec_col)).limit(max(1, min(30, sample)))
+    v, checks = F.col(vec_col), []
+    if sparse_col:
+        checks.append(F.count_if(F.col(sparse_col).isNull() | (F.size(sparse_col) == 0)).alias("empty_sparse"))
+    if text_col:
+        checks.append(F.count_if(X.is_empty_text(text_col)).alias("no_text"))
+    return df.agg(F.count("*").alias("n"), F.count_if(v.isNull()).alias("missing"), F.count_if(F.size(v) != dim).alias("wrong_dim"), F.count_if(F.abs(X.l2_norm(v) - 1) > 1e-2).alias("off_norm"), *checks)
+
+
+def points(chunks: DataFrame, vec_col: str, dim: int, sparse_col: str | None = None, key: str = "chunk_id") -> DataFrame:
+    """Rows ready to be put into a collection: a point id, the payload with metadata that is never null, and the vectors; a vector of another dimension or an empty sparse one is an error."""
+    bad = (F.size(vec_col) != dim) | F.col(vec_col).isNull()
+    told = lambda what: F.raise_error(F.concat(F.lit(f"{what} of "), F.col(key)))
+    vectors = [F.when(bad, told("wrong dimension").cast("array<float>")).otherwise(F.col(vec_col).cast("array<float>")).alias("dense")]
+    if sparse_col:
+        vectors.append(F.when(F.col(sparse_col).isNull() | (F.size(sparse_col) == 0), told("empty sparse vector").cast("map<string,double>")).otherwise(F.col(sparse_col)).alias("sparse"))
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    payload = [F.coalesce("meta", none).alias("meta") if c == "meta" else F.col(c) for c in chunks.columns if c not in (vec_col, sparse_col)]
+    return chunks.select(X.uuid5(key).alias("point_id"), F.struct(*payload).alias("payload"), *vectors)
 
 
 def recall_at(found: DataFrame, gold: DataFrame, ks: tuple[int, ...]) -> DataFrame:

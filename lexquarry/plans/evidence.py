@@ -96,6 +96,19 @@ class HybridStore:
         every = reduce(DataFrame.unionByName, parts)
         return every.groupBy("id").agg(F.min_by(F.struct("collection", *FIELDS), F.col("at")).alias("x")).select("id", "x.*")
 
+    def exact_lookup(self, doc: str | None, section_no: str | None, top_k: int = 10) -> DataFrame:
+        """Chunks of a document and section in the first collection, by ``ord``, ``top_k`` at most; a null or empty part is no condition."""
+        rows = next(iter(self.collections.values()))
+        return rows.where(R.matches({"doc": doc, "section_no": section_no})).orderBy("ord").limit(top_k)
+
+    def info(self) -> DataFrame:
+        """``(collection, points, ids, dense_size, fields)`` of every collection."""
+        parts = []
+        for name, rows in self.collections.items():
+            size = F.max(F.size(self.vec_col)) if self.vec_col in rows.columns else F.lit(None).cast("int")
+            parts.append(rows.agg(F.count("*").alias("points"), F.countDistinct("chunk_id").alias("ids"), size.alias("dense_size")).select(F.lit(name).alias("collection"), "*", F.lit(", ".join(f"{c} {t}" for c, t in rows.dtypes)).alias("fields")))
+        return reduce(DataFrame.unionByName, parts)
+
     def children(self, parents: DataFrame, top_k: int = CHILDREN) -> DataFrame:
         """``(parent_id, id, at)``: of each of the few parents the first children by ``ord``, ``top_k`` a collection."""
         few = F.broadcast(parents.select(F.col("id").alias("parent_id")).distinct())

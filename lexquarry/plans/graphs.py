@@ -96,9 +96,9 @@ def assembly_summary(spark, sf_dir):
 
 
 def verified_counts(spark, sf_dir):
+    """Loaded nodes against the rows that were delivered; labels with redelivered rows are not ok."""
     nodes = _t(spark, sf_dir, "nodes")
-    expected = nodes.groupBy("label").agg(F.countDistinct("id").alias("expected"))
-    return G.verify_counts(G.load_nodes(nodes), "label", expected)
+    return G.verify_counts(G.load_nodes(nodes), "label", nodes.groupBy("label").agg(F.count("*").alias("expected")))
 
 
 def repeated_keys(spark, sf_dir):
@@ -109,13 +109,6 @@ def label_counts(spark, sf_dir):
     return _t(spark, sf_dir, "nodes").groupBy("label").agg(F.count("*").alias("n"))
 
 
-def bounded_bfs(spark, sf_dir):
-    """Sections within two hops of the five smallest section ids that refer to others."""
-    edges = _t(spark, sf_dir, "edges")
-    seeds = edges.where("type = 'REFERENCES' and from_label = 'Section' and to_label = 'Section' and from_id is not null and to_id is not null").select(F.col("from_id").alias("id")).distinct().orderBy("id").limit(5)
-    return G.expand_sections(edges, seeds, 2, 1000)
-
-
 def _with_belongs(spark, sf_dir) -> DataFrame:
     """The edges with those that the chunk ids of section nodes stand for."""
     own = _t(spark, sf_dir, "nodes").where("label = 'Section'").select(F.explode("chunk_ids").alias("from_id"), F.col("id").alias("to_id"))
@@ -123,22 +116,11 @@ def _with_belongs(spark, sf_dir) -> DataFrame:
     return belongs.unionByName(_t(spark, sf_dir, "edges").select(*belongs.columns))
 
 
-def chunk_sections(spark, sf_dir):
-    edges = _with_belongs(spark, sf_dir)
-    return G.sections_of_chunks(edges, edges.where("type = 'BELONGS_TO' and from_id is not null").select(F.col("from_id").alias("id")).distinct(), 25)
-
-
 def citing_judgments(spark, sf_dir):
     return G.citing_judgments(_t(spark, sf_dir, "edges"))
 
 
-def expanded_evidence(spark, sf_dir):
-    edges = _with_belongs(spark, sf_dir)
-    chunks = edges.where("type = 'BELONGS_TO' and from_id is not null").select(F.col("from_id").alias("id")).distinct().orderBy("id").limit(24)
-    return G.expand_evidence(edges, chunks, 1, 1000)
-
-
-def bounded_bfs_each(spark, sf_dir):
+def bounded_bfs(spark, sf_dir):
     """Sections within two hops of every section that refers to another, 1,000 for each at most."""
     edges = _t(spark, sf_dir, "edges")
     seeds = edges.where("type = 'REFERENCES' and from_label = 'Section' and to_label = 'Section' and from_id is not null and to_id is not null").select(F.col("from_id").alias("query"), F.col("from_id").alias("id"))
@@ -149,13 +131,13 @@ def _each_chunk(edges) -> DataFrame:
     return edges.where("type = 'BELONGS_TO' and from_id is not null").select(F.col("from_id").alias("query"), F.col("from_id").alias("id"))
 
 
-def chunk_sections_each(spark, sf_dir):
+def chunk_sections(spark, sf_dir):
     """The sections of every chunk, 25 for each at most."""
     edges = _with_belongs(spark, sf_dir)
     return G.sections_of_chunks_each(edges, _each_chunk(edges), 25)
 
 
-def expanded_evidence_each(spark, sf_dir):
+def expanded_evidence(spark, sf_dir):
     """Sections, neighbours and citing judgments of every chunk."""
     edges = _with_belongs(spark, sf_dir)
     return G.expand_evidence_each(edges, _each_chunk(edges), 1, 1000)
@@ -171,7 +153,7 @@ def key_resolvability(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (graph_nodes, judgment_nodes, graph_edges, graph_reasons, graph_references, graph_amendments, assembled_graph, section_records, canonical_acts, loaded_nodes, loaded_edges, dangling_edges, assembly_summary, verified_counts, repeated_keys, label_counts, bounded_bfs, bounded_bfs_each, chunk_sections, chunk_sections_each, citing_judgments, expanded_evidence, expanded_evidence_each, enrichment_coverage, key_resolvability)
+    for f in (graph_nodes, judgment_nodes, graph_edges, graph_reasons, graph_references, graph_amendments, assembled_graph, section_records, canonical_acts, loaded_nodes, loaded_edges, dangling_edges, assembly_summary, verified_counts, repeated_keys, label_counts, bounded_bfs, chunk_sections, citing_judgments, expanded_evidence, enrichment_coverage, key_resolvability)
 }
 
 _STEM = r"nullif(trim(regexp_replace(doc, '\.[^.]*$', '')), '')"
@@ -248,6 +230,7 @@ _BASE = rf"""
     mm AS (SELECT label, k, arg_min(doc, ord) AS source_file, arg_min(title, ord) FILTER (title IS NOT NULL) AS title, count(DISTINCT chunk_id) AS n_chunks FROM m GROUP BY label, k)"""
 _REF = "type = 'REFERENCES' AND from_label = 'Section' AND to_label = 'Section' AND from_id IS NOT NULL AND to_id IS NOT NULL"
 _BOTH = f"both_ AS (SELECT from_id AS a, to_id AS b FROM edges WHERE {_REF} UNION SELECT to_id, from_id FROM edges WHERE {_REF})"
+_BEL = "bel AS (SELECT unnest(chunk_ids) AS from_id, id AS to_id FROM nodes WHERE label = 'Section' UNION ALL SELECT from_id, to_id FROM edges WHERE type = 'BELONGS_TO' AND to_label = 'Section')"
 SQL = {
     "graph_edges": f"WITH {_BASE} SELECT * FROM ee WHERE type NOT IN ('REFERENCES', 'AMENDED_BY')",
     "graph_references": f"WITH {_BASE} SELECT * FROM ee WHERE type = 'REFERENCES'",
@@ -278,25 +261,24 @@ SQL = {
             (SELECT count(*) FROM (SELECT DISTINCT type, from_id, to_id FROM edges WHERE from_id IS NOT NULL AND to_id IS NOT NULL)) AS edges_out,
             (SELECT count(*) FROM edges e WHERE NOT EXISTS (SELECT 1 FROM nodes WHERE id = e.from_id) OR NOT EXISTS (SELECT 1 FROM nodes WHERE id = e.to_id)) AS dangling_edges,
             (SELECT count(*) - count(DISTINCT id) FROM nodes) AS repeated_nodes""",
-    "verified_counts": "SELECT label, count(DISTINCT id) AS loaded, count(DISTINCT id) AS expected, true AS ok FROM nodes GROUP BY label",
+    "verified_counts": "SELECT label, count(DISTINCT id) AS loaded, count(*) AS expected, count(DISTINCT id) = count(*) AS ok FROM nodes GROUP BY label",
     "repeated_keys": "SELECT label, id, count(*) AS n FROM nodes GROUP BY label, id HAVING count(*) > 1",
     "label_counts": "SELECT label, count(*) AS n FROM nodes GROUP BY label",
     "bounded_bfs": f"""
-        WITH {_BOTH}, h0 AS (SELECT DISTINCT from_id AS id FROM edges WHERE {_REF} ORDER BY id LIMIT 5),
-        h1 AS (SELECT DISTINCT b AS id FROM both_ WHERE a IN (SELECT id FROM h0) AND b NOT IN (SELECT id FROM h0)),
-        h2 AS (SELECT DISTINCT b AS id FROM both_ WHERE a IN (SELECT id FROM h1) AND b NOT IN (SELECT id FROM h0) AND b NOT IN (SELECT id FROM h1))
-        SELECT id, 1 AS hop FROM h1 UNION ALL SELECT id, 2 FROM h2""",
-    "chunk_sections": "SELECT DISTINCT id AS section_id, c AS via_chunk FROM (SELECT id, unnest(chunk_ids) AS c FROM nodes WHERE label = 'Section') ORDER BY id, c LIMIT 25",
+        WITH {_BOTH}, h0 AS (SELECT DISTINCT from_id AS query, from_id AS id FROM edges WHERE {_REF}),
+        n1 AS (SELECT DISTINCT query, b AS id FROM h0 JOIN both_ ON a = h0.id WHERE b <> query),
+        h1 AS (SELECT * FROM n1 QUALIFY row_number() OVER (PARTITION BY query ORDER BY id) <= 1000),
+        n2 AS (SELECT DISTINCT query, b AS id FROM h1 JOIN both_ ON a = h1.id WHERE b <> query AND NOT EXISTS (SELECT 1 FROM h1 x WHERE x.query = h1.query AND x.id = b)),
+        h2 AS (SELECT n2.* FROM n2 LEFT JOIN (SELECT query, count(*) AS had FROM h1 GROUP BY query) USING (query) QUALIFY row_number() OVER (PARTITION BY query ORDER BY id) + coalesce(had, 0) <= 1000)
+        SELECT query, id, 1 AS hop FROM h1 UNION ALL SELECT query, id, 2 FROM h2""",
+    "chunk_sections": f"WITH {_BEL} SELECT query, section_id, via_chunk FROM (SELECT DISTINCT from_id AS query, to_id AS section_id, from_id AS via_chunk FROM bel WHERE from_id IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY query ORDER BY section_id, via_chunk) <= 25",
     "citing_judgments": "SELECT to_id AS section_id, from_id AS judgment_id, (row_number() OVER (PARTITION BY to_id ORDER BY from_id))::INT AS rank FROM (SELECT DISTINCT to_id, from_id FROM edges WHERE type = 'CITES' AND to_id IS NOT NULL AND from_id IS NOT NULL) QUALIFY rank <= 20",
     "expanded_evidence": f"""
-        WITH {_BOTH}, bel AS (SELECT unnest(chunk_ids) AS from_id, id AS to_id FROM nodes WHERE label = 'Section'),
-        ch AS (SELECT DISTINCT from_id AS id FROM bel WHERE from_id IS NOT NULL ORDER BY id LIMIT 24),
-        s AS (SELECT DISTINCT to_id AS id FROM bel WHERE from_id IN (SELECT id FROM ch)),
-        n AS (SELECT DISTINCT b AS id FROM both_ WHERE a IN (SELECT id FROM s) AND b NOT IN (SELECT id FROM s WHERE id IS NOT NULL)),
-        x AS (SELECT id, 'section' AS role FROM s UNION ALL SELECT id, 'neighbour' FROM n),
-        cj AS (SELECT DISTINCT to_id, from_id FROM edges WHERE type = 'CITES' AND to_id IS NOT NULL AND from_id IS NOT NULL),
-        r AS (SELECT *, row_number() OVER (PARTITION BY to_id ORDER BY from_id) AS k FROM cj)
-        SELECT id, role FROM x UNION ALL SELECT DISTINCT from_id, 'judgment' FROM r WHERE k <= 20 AND to_id IN (SELECT id FROM s)""",
+        WITH {_BOTH}, {_BEL},
+        s AS (SELECT DISTINCT from_id AS query, to_id AS id FROM bel WHERE from_id IS NOT NULL),
+        n AS (SELECT DISTINCT query, b AS id FROM s JOIN both_ ON a = s.id WHERE NOT EXISTS (SELECT 1 FROM s x WHERE x.query = s.query AND x.id = b)),
+        cj AS (SELECT * FROM (SELECT DISTINCT to_id, from_id FROM edges WHERE type = 'CITES' AND to_id IS NOT NULL AND from_id IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY to_id ORDER BY from_id) <= 20)
+        SELECT query, id, 'section' AS role FROM s UNION ALL SELECT query, id, 'neighbour' FROM n UNION ALL SELECT DISTINCT query, from_id, 'judgment' FROM s JOIN cj ON to_id = s.id""",
     "enrichment_coverage": """
         WITH f AS (SELECT CASE WHEN from_label = 'Judgment' THEN from_id ELSE to_id END AS id, type FROM edges WHERE from_label = 'Judgment' OR to_label = 'Judgment'),
         j AS (SELECT DISTINCT id FROM nodes WHERE label = 'Judgment'),

@@ -43,6 +43,12 @@ def token_percentiles(spark, sf_dir):
     return P.nearest_rank(_chunks(spark, sf_dir), F.col("tokens").cast("bigint"))
 
 
+def record_types(spark, sf_dir):
+    """The fields of the events' JSON records, with the types of their values."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.try_parse_json("props").alias("r"))
+    return P.profile_records(e, "r", "event_id").select("field", "majority", F.to_json("types").alias("types"), "n_rows", "coverage", "nulls", "n_distinct", "example")
+
+
 def structure_counts(spark, sf_dir):
     return P.structure_counts(_chunks(spark, sf_dir))
 
@@ -75,7 +81,7 @@ def running_footers(spark, sf_dir):
     return P.running_footers(_docs(spark, sf_dir), "ord")
 
 
-QUERIES = {f.__name__: f for f in (profile_fields, field_examples, categorical_counts, per_doc_counts, meta_keys, token_percentiles, structure_counts, sequence_mismatch, duplicate_keys, amendment_coverage, header_coverage, broken_parents, doc_summary, running_footers)}
+QUERIES = {f.__name__: f for f in (profile_fields, field_examples, categorical_counts, per_doc_counts, meta_keys, token_percentiles, record_types, structure_counts, sequence_mismatch, duplicate_keys, amendment_coverage, header_coverage, broken_parents, doc_summary, running_footers)}
 
 _TYPES = {"is_parent": "boolean", "tokens": "int"}
 _ONE = """
@@ -92,6 +98,12 @@ SQL = {
     ),
     "per_doc_counts": "SELECT doc, count(*) AS n FROM chunks GROUP BY doc",
     "meta_keys": "SELECT k AS key, count(*) AS n, arg_min(v, ord) AS sample FROM (SELECT ord, unnest(map_keys(meta)) AS k, unnest(map_values(meta)) AS v FROM chunks) GROUP BY k",
+    "record_types": """
+        WITH v AS (SELECT event_id, key AS field, value::VARCHAR AS value, CASE type WHEN 'NULL' THEN 'null' WHEN 'BOOLEAN' THEN 'bool' WHEN 'BIGINT' THEN 'int' WHEN 'UBIGINT' THEN 'int' WHEN 'DOUBLE' THEN 'float' WHEN 'VARCHAR' THEN 'str' WHEN 'ARRAY' THEN 'list' ELSE 'dict' END AS type
+            FROM events, json_each(props)),
+        k AS (SELECT field, type, count(*) AS n, count(*) FILTER (type <> 'null' AND value NOT IN ('""', '[]', '{}')) AS f, count(DISTINCT value) FILTER (type <> 'null' AND value NOT IN ('""', '[]', '{}')) AS d, arg_min(value, event_id) FILTER (type <> 'null' AND value NOT IN ('""', '[]', '{}')) AS x, min(event_id) AS seen FROM v GROUP BY ALL)
+        SELECT field, coalesce(arg_min(type, (-n, type)) FILTER (type <> 'null'), 'null') AS majority, '{' || string_agg('"' || type || '":' || n, ',' ORDER BY type) || '}' AS types, sum(n)::BIGINT AS n_rows, round(sum(f) / (SELECT count(*) FROM events), 4) AS coverage,
+            coalesce(sum(n) FILTER (type = 'null'), 0)::BIGINT AS nulls, sum(d)::BIGINT AS n_distinct, arg_min(x, seen) AS example FROM k GROUP BY field""",
     "token_percentiles": "SELECT count(tokens) AS n, min(tokens)::BIGINT AS least, percentile_disc(0.5) WITHIN GROUP (ORDER BY tokens)::BIGINT AS p50, percentile_disc(0.95) WITHIN GROUP (ORDER BY tokens)::BIGINT AS p95, max(tokens)::BIGINT AS largest FROM chunks",
     "structure_counts": "SELECT count(*) AS n, count(DISTINCT nullif(parent_id, '')) AS parents, count(*) FILTER (parent_id <> '') AS with_parent, count(*) FILTER (is_parent) AS parent_rows, count(*) FILTER (NOT is_parent) AS other_rows FROM chunks",
     "sequence_mismatch": r"""

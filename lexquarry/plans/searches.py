@@ -257,6 +257,10 @@ SQL = {
         SELECT q, id, rerank_score, (row_number() OVER (PARTITION BY q ORDER BY rerank_score DESC, rank, id))::INT AS place FROM f QUALIFY place <= 6""",
     "exact_lookup": "SELECT doc, (row_number() OVER (PARTITION BY doc ORDER BY ord))::INT AS rank, ord, chunk_id FROM chunks WHERE section_no = '10' AND level IN ('section', 'para') QUALIFY rank <= 10",
     "children": "SELECT parent_id, (row_number() OVER (PARTITION BY parent_id ORDER BY ord))::INT AS rank, ord, chunk_id FROM chunks WHERE parent_id <> '' QUALIFY rank <= 20",
+    "point_lookup": f"""
+        WITH p AS (SELECT chunk_id, min(ord) AS ord FROM chunks WHERE chunk_id IN (SELECT parent_id FROM chunks WHERE parent_id <> '') GROUP BY chunk_id),
+        h AS (SELECT chunk_id, ord, sha1(unhex('{X.DNS}') || encode(chunk_id)) AS h FROM p)
+        SELECT chunk_id, ord, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || ['8','9','a','b'][(('0x' || h[17:17])::INT % 4) + 1] || h[18:20] || '-' || h[21:32] AS point_id FROM h""",
     "collection_info": "SELECT CASE WHEN lower(doc_type) IN ('judgement', 'judgment') THEN 'judgments' ELSE 'statutes' END AS collection, count(*) AS points, count(DISTINCT chunk_id) AS ids, max(tokens) AS max_tokens FROM chunks GROUP BY 1",
     "payloads": "SELECT ord, CASE WHEN lower(doc_type) IN ('judgement', 'judgment') THEN 'judgment' ELSE 'statute' END AS domain, left(text, 300) AS text, coalesce(len(map_keys(meta)), 0)::INT AS n_meta FROM chunks",
     "verified_vectors": "SELECT count(*) AS n, count(*) FILTER (embedding IS NULL) AS missing, count(*) FILTER (len(embedding) <> 64) AS wrong_dim, count(*) FILTER (abs(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) - 1) > 0.01) AS off_norm FROM embeddings",

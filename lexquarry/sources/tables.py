@@ -145,6 +145,11 @@ def _forget(spark: SparkSession, path: str, old: list[int]) -> None:
             fs.delete(_fs(spark, f"{path}/data/{name}/{p}")[1], True)
 
 
+def both(a: DataFrame, b: DataFrame) -> DataFrame:
+    """All rows of two tables of records; a column that one lacks is null there."""
+    return a.unionByName(b, allowMissingColumns=True)
+
+
 def present(spark: SparkSession, root: str, wanted: list[str]) -> list[str]:
     """Those of the wanted collections that are there; all of them if none is."""
     there = [c for c in wanted if versions(spark, f"{root}/{c}")]

@@ -35,3 +35,7 @@ def test_texts(spark):
     got = E.history_text(turns, "c", "n", F.col("role"), F.col("text")).first().history
     assert got == "Assistant: t2\nUser: t3\nAssistant: t4\nUser: t5\nUser: t7"
     assert E.markdown(turns.select("c", "text").limit(1)) == "| c | text |\n|---|---|\n| 1 | t0 |"
+    assert E.report({"turns": turns.select("c").limit(1)}) == {"turns": [{"c": 1}]}
+    assert E.turns_text([{"role": "USER", "content": " a "}, {"role": None, "content": None}, {"content": "b"}]) == "User: a\nAssistant: b" and E.turns_text(None) == ""
+    cites = spark.createDataFrame([("2", "CITES", None, None, "won"), ("1", "CITES", "C 1", "Court", None), ("0", "REFERENCES", "x", "x", "x")], "id string, source string, case_no string, court string, outcome string")
+    assert E.cited_text(cites).first().text == "[C1] C 1 — Court (outcome: n/a)\n[C2] None — court n/a (outcome: won)"

@@ -45,6 +45,13 @@ def test_store_of_vectors_and_collections(spark):
     assert got[0].score == round(1 / 61, 6)
 
 
+def test_lookups_of_the_first_collection(spark):
+    st = store(spark)
+    assert [r.chunk_id for r in st.exact_lookup("d", "1", 2).collect()] == ["p", "c"] and st.exact_lookup("e", None).count() == 1
+    info = st.info().first()
+    assert (info.collection, info.points, info.ids, info.dense_size) == ("chunks", 8, 7, None) and "is_parent boolean" in info.fields
+
+
 def run(spark, question, rows=ROWS, graph=None, planner=None, filters=None, **settings):
     return V.HopSearch(store(spark, rows), Settings(**settings), planner=planner, graph=graph).run(question, filters)
 

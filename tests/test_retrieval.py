@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lexquarry.operators import profiling as P
@@ -138,3 +139,14 @@ def test_profile(spark):
     assert (got["s"].nulls, got["s"].non_empty, got["s"].coverage, got["s"].example) == (1, 1, 0.3333, "x")
     assert got["a"].non_empty == 1 and got["n"].non_empty == 2 and got["b"].non_empty == 2 and got["n"].example == "0"
     assert P.profile_fields(df.limit(0), ["s"], "ord").count() == 0
+
+
+def test_points_and_checks(spark):
+    rows = spark.createDataFrame([("a", {"x": "1"}, [1.0, 0.0], {"t": 1.0}, "text"), ("b", None, [0.0, 1.0], {"u": 1.0}, "")], "chunk_id string, meta map<string,string>, v array<float>, s map<string,double>, text string")
+    got = R.points(rows, "v", 2, "s").orderBy("payload.chunk_id").collect()
+    assert [(r.payload.chunk_id, r.payload.meta, list(r.dense)) for r in got] == [("a", {"x": "1"}, [1.0, 0.0]), ("b", {}, [0.0, 1.0])]
+    for bad in (R.points(rows, "v", 3, "s"), R.points(rows.withColumn("s", F.map_filter("s", lambda k, _: k == "t")), "v", 2, "s")):
+        with pytest.raises(Exception, match="wrong dimension|empty sparse"):
+            bad.collect()
+    assert tuple(R.verify_vectors(rows.withColumn("s", F.lit(None).cast("map<string,double>")), "v", 2, "s", "text").first()) == (2, 0, 0, 0, 2, 1)
+    assert R.verify_vectors(rows, "v", 2, sample=0).first().n == 1
