@@ -99,8 +99,8 @@ SQL = {
     "per_doc_counts": "SELECT doc, count(*) AS n FROM chunks GROUP BY doc",
     "meta_keys": "SELECT k AS key, count(*) AS n, arg_min(v, ord) AS sample FROM (SELECT ord, unnest(map_keys(meta)) AS k, unnest(map_values(meta)) AS v FROM chunks) GROUP BY k",
     "record_types": """
-        WITH v AS (SELECT event_id, key AS field, value::VARCHAR AS value, CASE type WHEN 'NULL' THEN 'null' WHEN 'BOOLEAN' THEN 'bool' WHEN 'BIGINT' THEN 'int' WHEN 'UBIGINT' THEN 'int' WHEN 'DOUBLE' THEN 'float' WHEN 'VARCHAR' THEN 'str' WHEN 'ARRAY' THEN 'list' ELSE 'dict' END AS type
-            FROM events, json_each(props)),
+        WITH v AS (SELECT event_id, j.key AS field, j.value::VARCHAR AS value, CASE j.type WHEN 'NULL' THEN 'null' WHEN 'BOOLEAN' THEN 'bool' WHEN 'BIGINT' THEN 'int' WHEN 'UBIGINT' THEN 'int' WHEN 'DOUBLE' THEN 'float' WHEN 'VARCHAR' THEN 'str' WHEN 'ARRAY' THEN 'list' ELSE 'dict' END AS type
+            FROM events, json_each(props) j),
         k AS (SELECT field, type, count(*) AS n, count(*) FILTER (type <> 'null' AND value NOT IN ('""', '[]', '{}')) AS f, count(DISTINCT value) FILTER (type <> 'null' AND value NOT IN ('""', '[]', '{}')) AS d, arg_min(value, event_id) FILTER (type <> 'null' AND value NOT IN ('""', '[]', '{}')) AS x, min(event_id) AS seen FROM v GROUP BY ALL)
         SELECT field, coalesce(arg_min(type, (-n, type)) FILTER (type <> 'null'), 'null') AS majority, '{' || string_agg('"' || type || '":' || n, ',' ORDER BY type) || '}' AS types, sum(n)::BIGINT AS n_rows, round(sum(f) / (SELECT count(*) FROM events), 4) AS coverage,
             coalesce(sum(n) FILTER (type = 'null'), 0)::BIGINT AS nulls, sum(d)::BIGINT AS n_distinct, arg_min(x, seen) AS example FROM k GROUP BY field""",
