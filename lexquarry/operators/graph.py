@@ -206,8 +206,8 @@ def first_sections(chunks: DataFrame) -> DataFrame:
     return chunks.where(is_section() & (F.col("act") != "")).groupBy("act", "section_no").agg(F.min("ord").alias("_first"))
 
 
-def amendments(chunks: DataFrame, aliases: dict[str, str]) -> tuple[DataFrame, DataFrame]:
-    """``AMENDED_BY`` edges and reasons; ``chunks`` has its ``act`` and text.
+def amendments(chunks: DataFrame, sections: DataFrame, aliases: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """``AMENDED_BY`` edges and reasons; ``chunks`` has its ``act`` and text, ``sections`` are those of ``first_sections``.
 
     The amended section is named by the chunk's metadata, else by its text; the
     amended act is the longest of ``aliases`` in the text.  The section must have been
@@ -215,7 +215,7 @@ def amendments(chunks: DataFrame, aliases: dict[str, str]) -> tuple[DataFrame, D
     """
     c = F.col
     rows = chunks.where((F.lower("doc_type") == "amendment") & (c("act") != "")).select("ord", "chunk_id", "doc", "act", X.amended_section("text", "meta").alias("said"), alias_ladder(c("text"), aliases).alias("amended"))
-    there = first_sections(chunks).select(c("act").alias("amended"), c("section_no").alias("said"), "_first")
+    there = sections.select(c("act").alias("amended"), c("section_no").alias("said"), "_first")
     rows = rows.join(there, ["amended", "said"], "left")
     reason = F.when(c("said").isNull(), "amendment_no_section").when(c("amended").isNull(), "amendment_no_act").when(~F.coalesce(c("_first") < c("ord"), F.lit(False)), "amendment_section_not_in_graph")
     rows = rows.withColumn("reason", reason)
@@ -305,17 +305,35 @@ def reference_edges(refs: DataFrame, sections: DataFrame, acts: DataFrame) -> tu
     return edges, rows.where(c("_sec").isNull() & ~other).select(reason.alias("reason"), "ord")
 
 
-def corpus_graph(chunks: DataFrame, catalog: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Node rows, edge rows and reasons of a whole corpus: hierarchy, amendments and references of statutes, and judgments, under one key for each act."""
-    rows = cut(with_act(first_deliveries(chunks), catalog))
-    aliases = {} if catalog is None else act_aliases(catalog)
-    n1, e1, r1 = statute_graph(rows.drop("text"))
-    n2, e2, r2 = judgment_graph(rows.drop("text"))
-    e3, r3 = amendments(rows, aliases)
-    sections = rows.where(is_section() & (F.col("act") != ""))
-    laws = rows.where(F.lower("doc_type").isin(*STATUTES) & (F.col("act") != ""))
-    e4, r4 = reference_edges(references(sections, aliases), sections.select("act", "section_no"), laws.select("act").distinct())
-    return _union([n1, n2]), _union([e1, e2, e3, e4]), _union([r1, r2, r3, r4])
+PARTS = ("statutes", "judgments", "amendments", "references")
+
+
+def corpus_graph(chunks: DataFrame, catalog: DataFrame | None = None, parts: tuple[str, ...] = PARTS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Node rows, edge rows and reasons of a whole corpus, or of those ``parts`` of it, under one key for each act.
+
+    Texts, which only amendments and references need, are left out of the rows that
+    all parts share and are fetched for amending chunks and sections by ``ord``.
+    """
+    c = F.col
+    rows = cut(with_act(first_deliveries(chunks.drop("text")), catalog))
+    aliases = {} if catalog is None or not {"amendments", "references"} & set(parts) else act_aliases(catalog)
+
+    def with_text(some: Column) -> DataFrame:
+        return rows.where(some & (c("act") != "")).join(chunks.where(some & c("text").isNotNull()).select("ord", "text"), "ord", "left")
+
+    found: list[tuple[DataFrame | None, DataFrame, DataFrame]] = []
+    if "statutes" in parts:
+        found.append(statute_graph(rows))
+    if "judgments" in parts:
+        found.append(judgment_graph(rows))
+    if "amendments" in parts:
+        found.append((None, *amendments(with_text(F.lower("doc_type") == "amendment"), first_sections(rows), aliases)))
+    if "references" in parts:
+        sections = rows.where(is_section() & (c("act") != ""))
+        laws = rows.where(F.lower("doc_type").isin(*STATUTES) & (c("act") != ""))
+        found.append((None, *reference_edges(references(with_text(is_section()), aliases), sections.select("act", "section_no"), laws.select("act").distinct())))
+    nodes = [n for n, _, _ in found if n is not None]
+    return _union(nodes) if nodes else None, _union([e for _, e, _ in found]), _union([r for _, _, r in found])
 
 
 def assemble(nodes: DataFrame, edges: DataFrame, drop_section_text: bool = False, allow_dangling: bool = False) -> tuple[DataFrame, DataFrame, dict[str, int]]:

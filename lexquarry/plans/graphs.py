@@ -15,8 +15,8 @@ def _t(spark, sf_dir, name) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _graph(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return G.corpus_graph(_t(spark, sf_dir, "chunks"), _t(spark, sf_dir, "act_catalog"))
+def _graph(spark, sf_dir, *parts: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return G.corpus_graph(_t(spark, sf_dir, "chunks"), _t(spark, sf_dir, "act_catalog"), parts or G.PARTS)
 
 
 CASES = ["Judgment", "Court", "Party"]
@@ -24,13 +24,13 @@ CASES = ["Judgment", "Court", "Party"]
 
 def graph_nodes(spark, sf_dir):
     """The nodes of the statutes and of chunks, with their titles and how many chunks name them."""
-    nodes = G.merge_nodes(_graph(spark, sf_dir)[0].where(~F.col("label").isin(CASES)))
+    nodes = G.merge_nodes(_graph(spark, sf_dir, "statutes", "judgments")[0].where(~F.col("label").isin(CASES)))
     return nodes.select("label", F.array_join("key", ":").alias("k"), F.element_at("props", "title").alias("title"), "n_chunks", "source_file")
 
 
 def judgment_nodes(spark, sf_dir):
     """Judgments, courts and parties that case headers give."""
-    nodes = G.merge_nodes(_graph(spark, sf_dir)[0].where(F.col("label").isin(CASES)))
+    nodes = G.merge_nodes(_graph(spark, sf_dir, "judgments")[0].where(F.col("label").isin(CASES)))
     return nodes.select("label", F.array_join("key", ":").alias("k"), F.element_at("props", "outcome").alias("outcome"), "n_chunks")
 
 
@@ -40,17 +40,17 @@ def _shown(edges: DataFrame) -> DataFrame:
 
 def graph_edges(spark, sf_dir):
     """The edges of hierarchies and case headers, with how many chunks give them."""
-    return _shown(G.merge_edges(_graph(spark, sf_dir)[1].where("type not in ('REFERENCES', 'AMENDED_BY')")))
+    return _shown(G.merge_edges(_graph(spark, sf_dir, "statutes", "judgments")[1]))
 
 
 def graph_references(spark, sf_dir):
     """Every reference between sections, else from a section to an act."""
-    return _shown(G.merge_edges(_graph(spark, sf_dir)[1].where("type = 'REFERENCES'")))
+    return _shown(G.merge_edges(_graph(spark, sf_dir, "references")[1]))
 
 
 def graph_amendments(spark, sf_dir):
     """Every amended section with the act that amends it."""
-    return _shown(G.merge_edges(_graph(spark, sf_dir)[1].where("type = 'AMENDED_BY'")))
+    return _shown(G.merge_edges(_graph(spark, sf_dir, "amendments")[1]))
 
 
 def graph_reasons(spark, sf_dir):

@@ -85,7 +85,7 @@ def test_amendments(spark):
         chunk(4, "y:1", doc="Y.pdf", kind="amendment", level="amendment", text="amendment of section 4"), chunk(5, "y:2", doc="Y.pdf", kind="amendment", level="amendment", text="amendment of sub-section 4"),
         chunk(6, "z:1", doc="Z.pdf", kind="amendment", level="amendment", meta={"amends_section": "2"}, text="the Stamp Act 1930"), chunk(7, "s:2", doc="Stamp Act 1930.pdf", no="2"),
     ]
-    edges, reasons = G.amendments(table(spark, rows), {"stamp act 1930": "Stamp Act 1930", "stamp act": "other"})
+    edges, reasons = G.amendments(table(spark, rows), G.first_sections(table(spark, rows)), {"stamp act 1930": "Stamp Act 1930", "stamp act": "other"})
     assert [(tuple(r.from_key), tuple(r.to_key)) for r in edges.collect()] == [(("Stamp Act 1930", "1"), ("X (Amendment)",))]
     assert sorted((r.ord, r.reason) for r in reasons.collect()) == [(2, "amendment_section_not_in_graph"), (3, "amendment_no_section"), (4, "amendment_no_act"), (5, "amendment_no_section"), (6, "amendment_section_not_in_graph")]
 
