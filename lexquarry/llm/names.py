@@ -229,11 +229,11 @@ def _alike_readings(read: DataFrame) -> DataFrame:
     surname by the given name or one an edit away, or, where one side has initials
     only, by the initial; an organisation's by its business.
     """
-    words = cut(read.select(F.col("anchor").alias("word")).distinct())
-    link = words.select(F.col("word").alias("a"), F.col("word").alias("b")).unionByName(_both_ways(cut(near_words(words))))
-    given = cut(read.where("kind = 'p' and given <> ''").select(F.col("given").alias("word")).distinct())
-    typos = cut(near_words(given).where(F.levenshtein("a", "b") == 1))
-    typos = _both_ways(typos).groupBy(F.col("a").alias("given")).agg(F.collect_list("b").alias("also"))  # of one word's neighbours
+    person = (F.col("kind") == "p") & (F.col("given") != "")
+    words = cut(read.select(F.explode(F.array_distinct(F.array("anchor", F.when(person, F.col("given")).otherwise(F.col("anchor"))))).alias("word")).distinct())
+    near = _both_ways(cut(near_words(words)))
+    link = words.select(F.col("word").alias("a"), F.col("word").alias("b")).unionByName(near)
+    typos = near.where(F.levenshtein("a", "b") == 1).groupBy(F.col("a").alias("given")).agg(F.collect_list("b").alias("also"))  # of one word's neighbours
 
     c, key = F.col, lambda sign, x: F.concat(F.lit(sign), x)
     full = F.concat(F.array(key("g", c("given")), key("v", c("initial"))), F.transform(F.coalesce("also", F.array().cast("array<string>")), lambda x: key("g", x)))
