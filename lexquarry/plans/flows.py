@@ -52,6 +52,11 @@ def fast_answer(spark, sf_dir):
     return evidence.answer(QUESTION, _store(spark, sf_dir), deep=False)["evidence"]
 
 
+def judgment_texts(spark, sf_dir):
+    """The text of every judgment that an extractor would be given."""
+    return E.judgment_texts(spark.read.parquet(f"{sf_dir}/chunks.parquet"))
+
+
 def evidence_texts(spark, sf_dir):
     """Of every document the first eight chunks as a model would be given them."""
     chunks = spark.read.parquet(f"{sf_dir}/chunks.parquet")
@@ -88,16 +93,20 @@ def reset_graph(spark, sf_dir):
     return n.select(F.lit("node").alias("kind"), "label").unionByName(e.select(F.lit("edge").alias("kind"), F.col("type").alias("label"))).groupBy("kind", "label").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (question_search, hop_search, hop_graph, fast_answer, evidence_texts, cited_texts, streamed_chunks, graph_counts, reset_graph)}
+QUERIES = {f.__name__: f for f in (question_search, hop_search, hop_graph, fast_answer, judgment_texts, evidence_texts, cited_texts, streamed_chunks, graph_counts, reset_graph)}
 _WORDS = r"list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> '')"
 _ASKED = ", ".join(f"'{w}'" for w in QUESTION.split())
 
 
-def _searched(where: str, n: int) -> str:
+_CASE = "coalesce(lower(doc_type) IN ('judgement', 'judgment'), false)"
+_LEVELS = "level IN ('section', 'para', 'paragraph')"
+
+
+def _searched(where: str, n: int, levels: str = _LEVELS) -> str:
     """The best 20 of one collection by the words of the question; only the sparse ranking exists."""
     return f"""SELECT id, {n} AS priority, round(1.0 / (60 + row_number() OVER (ORDER BY s DESC, id)), 6) AS score FROM (
         SELECT chunk_id AS id, arg_min((SELECT coalesce(sum(k), 0) FROM (SELECT len(list_filter({_WORDS}, lambda w: w = a)) * c AS k FROM asked)), ord) AS s FROM chunks
-        WHERE chunk_id IS NOT NULL AND level IN ('section', 'para', 'paragraph') AND {where} GROUP BY chunk_id) WHERE s > 0 QUALIFY row_number() OVER (ORDER BY s DESC, id) <= 20"""
+        WHERE chunk_id IS NOT NULL AND {levels} AND {where} GROUP BY chunk_id) WHERE s > 0 QUALIFY row_number() OVER (ORDER BY s DESC, id) <= 20"""
 
 
 SQL = {
@@ -108,6 +117,17 @@ SQL = {
         o AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY id ORDER BY priority, k) = 1),
         d AS (SELECT chunk_id AS id, arg_min(doc, (CASE WHEN coalesce(lower(doc_type) IN ('judgement', 'judgment'), false) THEN 1 ELSE 0 END, ord)) AS doc FROM chunks GROUP BY chunk_id)
         SELECT id, CASE priority WHEN 0 THEN 'statutes' ELSE 'judgements' END AS collection, score, (row_number() OVER (ORDER BY score DESC, priority, k, id))::INT AS place, doc FROM o JOIN d USING (id)""",
+    "fast_answer": f"""
+        WITH asked AS (SELECT a, count(*) AS c FROM (SELECT unnest([{_ASKED}]) AS a) GROUP BY a),
+        f AS ({_searched(f"NOT {_CASE}", 0, "true")} UNION ALL {_searched(_CASE, 1, "true")}),
+        r AS (SELECT *, row_number() OVER (PARTITION BY priority ORDER BY score DESC, id) AS k FROM f),
+        o AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY id ORDER BY priority, k) = 1),
+        m AS (SELECT id, row_number() OVER (ORDER BY score DESC, priority, k, id) AS place FROM o),
+        t AS (SELECT * FROM chunks WHERE chunk_id IN (SELECT id FROM m) QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY CASE WHEN {_CASE} THEN 1 ELSE 0 END, ord) = 1),
+        s AS (SELECT m.place AS found, t.*, round((SELECT count(*) FROM asked WHERE list_contains({_WORDS}, a)) / (SELECT count(*) FROM asked), 6) AS said FROM m JOIN t ON chunk_id = id)
+        SELECT (row_number() OVER (ORDER BY said DESC, found, chunk_id))::INT AS place, chunk_id, doc, section_no, section_title, doc_type, round_even(said, 4) AS score, false AS from_graph, left(text, 300) AS text FROM s QUALIFY place <= 6""",
+    "judgment_texts": """
+        SELECT doc, left(string_agg(coalesce(text, ''), chr(10) ORDER BY ord), 8000) AS text FROM (SELECT * FROM chunks WHERE lower(doc_type) IN ('judgement', 'judgment') AND doc IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc ORDER BY ord) <= 6) GROUP BY doc""",
     "evidence_texts": """
         WITH p AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY ord) AS n FROM chunks WHERE doc IS NOT NULL QUALIFY n <= 8)
         SELECT doc, string_agg('[' || n || '] ' || coalesce(nullif(doc, ''), 'None') || ' — Section ' || coalesce(nullif(section_no, ''), 'None') || ' (' || coalesce(nullif(section_title, ''), 'n/a') || ') [' || coalesce(nullif(doc_type, ''), 'None') || ']' || chr(10)
