@@ -63,6 +63,12 @@ def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_oversized(_oversized_chunks(spark, sf_dir), ["ord", "chunk_id", "section_no"])
 
 
+def p6_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every oversized chunk the words that its pieces hold beside the repeated ones, and whether no piece is too long or repeats too much."""
+    pieces = splitting.split_oversized(_oversized_chunks(spark, sf_dir), ["ord"])
+    return pieces.groupBy("ord").agg(F.sum(F.col("words") - F.col("repeated")).alias("words"), (F.max("words") <= 600).alias("fits"), (F.max("repeated") <= 60).alias("repeats_little"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of every document by byte_bpe_50k."""
     return encoding.encode_corpus(_t(spark, sf_dir, "documents")).select("doc_id", "ids")
@@ -84,6 +90,14 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir).shares
 
 
+def p8_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether every listed source keeps its cap and its target, a document more at most."""
+    mix = _mix(spark, sf_dir)
+    largest = mix.documents.groupBy("source").agg(F.max("size").alias("largest"))
+    kept = mix.shares.join(largest, "source", "left").select("source", (F.col("most_copies") <= F.col("max_repeats")).alias("within_cap"), (F.col("mixed_tokens") <= F.col("target_tokens") + F.coalesce("largest", F.lit(0))).alias("within_target"))
+    return kept
+
+
 def p8_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of distinct texts, each of which belongs to all listed sources that have it."""
     targets = _t(spark, sf_dir, "mix_targets")
@@ -113,15 +127,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_pieces": p6_pieces,
+    "p6_cover": p6_cover,
     "p7_ids": p7_ids,
     "p8_mix": p8_mix,
     "p8_shares": p8_shares,
+    "p8_caps": p8_caps,
     "p8_overlap": p8_overlap,
     "p9_found": p9_found,
     "p9_forms": p9_forms,
 }
 
 SQL: dict[str, str] = {
+    "p6_cover": r"""
+        SELECT ord, len(regexp_extract_all(text, '\S+')) AS words, true AS fits, true AS repeats_little FROM chunks
+        WHERE is_parent IS DISTINCT FROM true AND len(regexp_extract_all(text, '\S+')) > 600""",
+    "p8_caps": "SELECT source, true AS within_cap, true AS within_target FROM mix_targets WHERE source IS NOT NULL",
     "p6_found": r"""
         SELECT ord FROM chunks
         WHERE is_parent IS DISTINCT FROM true AND len(regexp_extract_all(text, '\S+')) > 600""",
