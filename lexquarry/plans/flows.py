@@ -9,7 +9,7 @@ from pyspark.sql.window import Window as W
 
 from lexquarry.operators import enrich as E
 from lexquarry.operators import graph as G
-from lexquarry.plans import evidence
+from lexquarry.plans import evidence, graphs
 from lexquarry.plans.graphs import _with_belongs
 from lexquarry.sources import tables
 from lexquarry.sources.tables import Settings
@@ -109,7 +109,37 @@ def _searched(where: str, n: int, levels: str = _LEVELS) -> str:
         WHERE chunk_id IS NOT NULL AND {levels} AND {where} GROUP BY chunk_id) WHERE s > 0 QUALIFY row_number() OVER (ORDER BY s DESC, id) <= 20"""
 
 
+_MERGED = """
+        r{0} AS (SELECT *, row_number() OVER (PARTITION BY priority ORDER BY score DESC, id) AS k FROM f{0}),
+        o{0} AS (SELECT * FROM r{0} QUALIFY row_number() OVER (PARTITION BY id ORDER BY priority, k) = 1),
+        m{0} AS (SELECT id, row_number() OVER (ORDER BY score DESC, priority, k, id) AS pos FROM o{0})"""
+#: The loop as it goes on tables where the first search is good enough: search, expansion, search, graph; ends in ``final`` and ``kg``.
+_LOOP = f"""
+        WITH asked AS (SELECT a, count(*) AS c FROM (SELECT unnest([{_ASKED}]) AS a) GROUP BY a),
+        t AS (SELECT *, round((SELECT count(*) FROM asked WHERE list_contains({_WORDS}, a)) / (SELECT count(*) FROM asked), 6) AS said FROM chunks WHERE chunk_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY CASE WHEN {_CASE} THEN 1 ELSE 0 END, ord) = 1),
+        f1 AS ({_searched(f"NOT {_CASE}", 0, "level = 'section'")} UNION ALL {_searched(_CASE, 1, "level = 'section'")}), {_MERGED.format(1)},
+        kid AS (SELECT c.chunk_id AS id, m1.pos, CASE WHEN {_CASE.replace("doc_type", "c.doc_type")} THEN 1 ELSE 0 END AS n, c.ord FROM chunks c JOIN m1 ON c.parent_id = m1.id JOIN t ON t.chunk_id = m1.id AND t.is_parent WHERE c.chunk_id IS NOT NULL),
+        kids AS (SELECT id, pos, n, row_number() OVER (PARTITION BY pos, n ORDER BY ord) AS r FROM kid QUALIFY r <= 20),
+        w AS (SELECT parent_id AS id, pos, 0 AS k, 0 AS n FROM m1 JOIN t ON chunk_id = m1.id WHERE parent_id <> '' UNION ALL SELECT id, pos, 1, n * 1000 + r FROM kids),
+        e AS (SELECT id, row_number() OVER (ORDER BY w) AS pos FROM (SELECT id, min((pos, k, n)) AS w FROM w GROUP BY id) WHERE id IN (SELECT chunk_id FROM t)),
+        f2 AS ({_searched(f"NOT {_CASE}", 0, "true")} UNION ALL {_searched(_CASE, 1, "true")}), {_MERGED.format(2)},
+        p3 AS (SELECT id, arg_min(pos, step) AS pos, min(step) AS step FROM (SELECT id, pos, 1 AS step FROM m1 UNION ALL SELECT id, pos, 2 FROM e UNION ALL SELECT id, pos, 3 FROM m2) GROUP BY id),
+        best AS (SELECT id, row_number() OVER (ORDER BY said DESC, pos, id) AS place FROM m2 JOIN t ON chunk_id = id QUALIFY place <= 10),
+        seed AS (SELECT p3.id FROM p3 LEFT JOIN best ON best.id = p3.id ORDER BY place NULLS LAST, step, pos LIMIT 24),
+        {graphs._BEL}, {graphs._BOTH},
+        pair AS (SELECT DISTINCT to_id, from_id FROM bel WHERE from_id IN (SELECT id FROM seed) ORDER BY to_id, from_id LIMIT 12),
+        near AS (SELECT DISTINCT b AS id FROM both_ WHERE a IN (SELECT to_id FROM pair) AND b NOT IN (SELECT to_id FROM pair) ORDER BY id LIMIT 12),
+        sec AS (SELECT id, seed, any_value(key) AS key, any_value(coalesce(props['chunk_id'], (SELECT min(from_id) FROM pair WHERE to_id = nodes.id))) AS chunk
+            FROM nodes JOIN (SELECT DISTINCT to_id AS id, true AS seed FROM pair UNION ALL SELECT id, false FROM near) USING (id) WHERE label = 'Section' GROUP BY id, seed),
+        sat AS (SELECT *, row_number() OVER (ORDER BY seed DESC, id) AS pos FROM sec),
+        p4 AS (SELECT id, pos, step, false AS from_graph FROM p3 UNION ALL SELECT chunk, min(pos), 4, true FROM sat WHERE chunk IN (SELECT chunk_id FROM t) AND chunk NOT IN (SELECT id FROM p3) GROUP BY chunk),
+        final AS (SELECT row_number() OVER (ORDER BY said DESC, rank, chunk_id) AS place, t.*, from_graph FROM (SELECT *, row_number() OVER (ORDER BY step, pos, id) AS rank FROM p4) JOIN t ON chunk_id = id QUALIFY place <= 20),
+        cite AS (SELECT from_id AS id FROM (SELECT DISTINCT to_id, from_id FROM edges WHERE type = 'CITES' AND to_id IS NOT NULL AND from_id IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY to_id ORDER BY from_id) <= 20 AND to_id IN (SELECT to_id FROM pair)),
+        kg AS (SELECT id, 'REFERENCES' AS source, key[1] AS act, key[2] AS section_no, NULL AS case_no, NULL AS court, NULL AS outcome, NULL AS date FROM sat WHERE coalesce(chunk NOT IN (SELECT chunk_id FROM t), true)
+            UNION ALL SELECT id, 'CITES', NULL, NULL, any_value(key[1]), any_value(props['court']), any_value(props['outcome']), any_value(props['date']) FROM nodes WHERE label = 'Judgment' AND id IN (SELECT id FROM cite) GROUP BY id)"""
 SQL = {
+    "hop_search": _LOOP + " SELECT place::INT AS place, chunk_id, doc, section_no, section_title, doc_type, round_even(said, 4) AS score, from_graph, left(text, 300) AS text FROM final WHERE place <= 12",
+    "hop_graph": _LOOP + " SELECT (row_number() OVER (ORDER BY source DESC, id))::INT AS place, source, act, section_no, case_no, court, outcome, date FROM kg QUALIFY place <= 12",
     "question_search": f"""
         WITH asked AS (SELECT a, count(*) AS c FROM (SELECT unnest([{_ASKED}]) AS a) GROUP BY a),
         f AS ({_searched("NOT coalesce(lower(doc_type) IN ('judgement', 'judgment'), false)", 0)} UNION ALL {_searched("coalesce(lower(doc_type) IN ('judgement', 'judgment'), false)", 1)}),
